@@ -1,0 +1,84 @@
+"""Pair merging for many short words at once.
+
+Each word is a row: its symbols, a linked list (next and previous places) and an agenda, the rank of the pair that
+starts at each place. A step pops the lowest rank of every row (the leftmost of equals), joins the two symbols,
+unlinks the second and renews the ranks of the two pairs beside it. That is the work of a heap and a linked list for
+one word, done for all rows together.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+NONE = np.int32(2**31 - 1)
+PAD = (1 << 20) - 1
+
+
+class PairTable:
+    """Ranks of symbol pairs and what the pairs become. Symbols are numbers below PAD."""
+
+    def __init__(self, pairs: list[tuple[int, int, int, int]]):
+        """pairs: (first, second, rank, joined)."""
+        p = np.array(sorted(pairs), np.int64).reshape(-1, 4)
+        self.keys, self.ranks, self.to = p[:, 0] << 20 | p[:, 1], p[:, 2].astype(np.int32), p[:, 3].astype(np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, q), len(self.keys) - 1)
+        hit = self.keys[at] == q
+        return np.where(hit, self.ranks[at], NONE), self.to[at]
+
+    def merge(self, words: list[list[int]]) -> np.ndarray:
+        """The symbols left of each word, in a row each; -1 where there is none."""
+        width = max(map(len, words))
+        n = len(words)
+        sym = np.full((n, width + 1), PAD, np.int32)  # the last column stands for what is beyond either end
+        lens = np.fromiter(map(len, words), np.int64, n)
+        sym[:, :width][np.arange(width) < lens[:, None]] = np.concatenate([np.asarray(w, np.int32) for w in words]) if n < 64 else np.fromiter((s for w in words for s in w), np.int32, int(lens.sum()))
+        after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
+        before[:, 0] = width
+        rank = np.full((n, width + 1), NONE, np.int32)
+        to = np.zeros((n, width + 1), np.int32)
+        rows, cols = np.nonzero(sym[:, 1:] != PAD)
+        rank[rows, cols], to[rows, cols] = self.find(sym[rows, cols], sym[rows, cols + 1])
+        act = np.arange(n)
+        while len(act):
+            now = rank[act]
+            i = now.argmin(1)
+            go = now[np.arange(len(act)), i] != NONE
+            act, i = act[go], i[go]
+            if not len(act):
+                break
+            j = after[act, i]
+            k = after[act, j]
+            s = to[act, i]
+            sym[act, i], sym[act, j], rank[act, j] = s, -1, NONE
+            after[act, i], before[act, k] = k, i
+            h = before[act, i]
+            rank[act, i], to[act, i] = self.find(s, sym[act, k])
+            rank[act, h], to[act, h] = self.find(sym[act, h], s)
+            rank[act[h == width], width] = NONE
+        sym[sym == PAD] = -1
+        return sym[:, :width]
+
+
+def by_length(words: list[str], most: int):
+    """Groups of words of like length, up to ``most`` characters."""
+    for lo, hi in ((1, 6), (7, 12), (13, 20), (21, most)):
+        some = [w for w in words if lo <= len(w) <= hi]
+        for at in range(0, len(some), 20_000):
+            yield some[at : at + 20_000]
+
+
+def slices(texts, size: int = 2_000_000):
+    """Runs of consecutive texts of about ``size`` characters together, one text at least."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
