@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-Wt = Window.partitionBy("symbol").orderBy("t")
-X = Window.partitionBy("t")
+def Wt():
+    """All rows of a symbol in the order of its calendar."""
+    return Window.partitionBy("symbol").orderBy("t")
+
+
+def X():
+    """The cross section of a day."""
+    return Window.partitionBy("t")
 
 
 def W(w: int):
     """The last ``w`` rows of a symbol's calendar, the current one included."""
-    return Wt.rowsBetween(-(w - 1), 0)
+    return Wt().rowsBetween(-(w - 1), 0)
 
 
 def finite(c: Column) -> Column:

@@ -16,8 +16,8 @@ MIN_POOL = 30
 
 def forward_return(horizon: int, execution: str = "t1") -> Column:
     """From the next open (t1) or this close (t0) to the close ``horizon`` rows ahead."""
-    start = F.lead("o", 1).over(Wt) if execution == "t1" else F.col("c")
-    return finite(F.try_divide(F.lead("c", horizon).over(Wt), start) - 1)
+    start = F.lead("o", 1).over(Wt()) if execution == "t1" else F.col("c")
+    return finite(F.try_divide(F.lead("c", horizon).over(Wt()), start) - 1)
 
 
 def region(dev_end, sel_end) -> Column:
@@ -157,7 +157,7 @@ def block_bootstrap(ic: DataFrame, reps: int = 200, block: int = 6, seed: int =
 def vol_regimes(panel: DataFrame, window: int = 20) -> DataFrame:
     """Rows (t, vol, regime): centred mean of the daily mean absolute log return, cut at the terciles of the sample; a missing one counts as high."""
     half = window // 2
-    r = panel.withColumn("r", F.abs(F.ln("c") - F.ln(F.lag("c", 1).over(Wt))))
+    r = panel.withColumn("r", F.abs(F.ln("c") - F.ln(F.lag("c", 1).over(Wt()))))
     day = r.groupBy("t").agg(F.avg("r").alias("m"))
     # A table of days: a window without a partition holds only the calendar.
     day = day.withColumn("vol", F.avg("m").over(Window.orderBy("t").rowsBetween(-half, half - 1)))
@@ -168,15 +168,15 @@ def vol_regimes(panel: DataFrame, window: int = 20) -> DataFrame:
 def ewm(x: Column, span: int, least: int) -> Column:
     """Exponentially weighted mean over present values, weights counting all rows: sums scaled by the weight of their row."""
     up = F.pow(F.lit((span + 1.0) / (span - 1.0)), F.col("t").cast("double"))
-    over = Wt.rowsBetween(Window.unboundedPreceding, 0)
+    over = Wt().rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(x).over(over)
     return F.when(n >= least, F.sum(x * up).over(over) / F.sum(F.when(x.isNotNull(), up)).over(over))
 
 
 def market_beta(panel: DataFrame, span: int = 252, least: int = 252) -> DataFrame:
     """The panel with ``beta``: EWM covariance with the equal-weight market over its EWM variance, one row late."""
-    r = panel.withColumn("_r", F.try_divide(F.col("c"), F.lag("c", 1).over(Wt)) - 1).withColumn("_m", F.avg("_r").over(Window.partitionBy("t")))
+    r = panel.withColumn("_r", F.try_divide(F.col("c"), F.lag("c", 1).over(Wt())) - 1).withColumn("_m", F.avg("_r").over(Window.partitionBy("t")))
     e = lambda c: ewm(c, span, least)
     r = r.withColumn("_em", e(F.col("_m"))).withColumn("_er", e(F.col("_r"))).withColumn("_emr", e(F.col("_m") * F.col("_r"))).withColumn("_emm", e(F.col("_m") * F.col("_m")))
     beta = F.try_divide(F.col("_emr") - F.col("_em") * F.col("_er"), F.col("_emm") - F.col("_em") * F.col("_em"))
-    return r.withColumn("_b", beta).withColumn("beta", F.lag("_b", 1).over(Wt)).select(*panel.columns, "beta")
+    return r.withColumn("_b", beta).withColumn("beta", F.lag("_b", 1).over(Wt())).select(*panel.columns, "beta")

@@ -46,6 +46,10 @@ def rolled(f, x: Column, w: int, least: int) -> Column:
     return gate(f(x).over(W(w)), F.count(x).over(W(w)), least)
 
 
+def constant(x: Column, w: int) -> Column:
+    return F.min(x).over(W(w)) == F.max(x).over(W(w))
+
+
 # --- time series -------------------------------------------------------------------------------------------------
 
 
@@ -90,13 +94,13 @@ def ts_zscore(stage, x, w):
 @op("ts", 1, "window", lambda w: max(3, w))
 def ts_skew(stage, x, w):
     n = F.count(x).over(W(w)).cast("double")
-    return gate(F.skewness(x).over(W(w)) * F.sqrt(n * (n - 1)) / (n - 2), n, max(3, w))
+    return gate(F.when(constant(x, w), 0.0).otherwise(F.skewness(x).over(W(w)) * F.sqrt(n * (n - 1)) / (n - 2)), n, max(3, w))
 
 
 @op("ts", 1, "window", lambda w: max(4, w))
 def ts_kurt(stage, x, w):
     n = F.count(x).over(W(w)).cast("double")
-    return gate((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x).over(W(w)) + 6), n, max(4, w))
+    return gate(F.when(constant(x, w), -3.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x).over(W(w)) + 6)), n, max(4, w))
 
 
 @op("ts", 2, "window", half3)
@@ -118,12 +122,12 @@ def ts_slope(stage, x, w):
 
 @op("ts", 1, "delay")
 def ts_delay(stage, x, d):
-    return F.lag(x, d).over(Wt)
+    return F.lag(x, d).over(Wt())
 
 
 @op("ts", 1, "delay")
 def ts_diff(stage, x, d):
-    return x - F.lag(x, d).over(Wt)
+    return x - F.lag(x, d).over(Wt())
 
 
 def decayed(stage, x, weights: list[float], least: int) -> Column:
@@ -148,7 +152,7 @@ def ts_av_diff(stage, x, w):
 
 @op("ts", 1, "window")
 def ts_momentum(stage, x, w):
-    return x / den(F.lag(x, w).over(Wt)) - 1
+    return x / den(F.lag(x, w).over(Wt())) - 1
 
 
 @op("ts", 2, "window", half)
@@ -176,7 +180,7 @@ def ts_decay_exp(stage, x, w):
 
 @op("ts", 1, "hump")
 def hump(stage, x, h):
-    before = F.lag(x, 1).over(Wt)
+    before = F.lag(x, 1).over(Wt())
     return F.when(F.abs(x - before) / at_least(F.abs(before), 1e-12) >= h, x).otherwise(before)
 
 
@@ -237,9 +241,9 @@ def ts_rank_corr(stage, x, y, w):
 
 @op("ts", 1, "window")
 def ts_streak(stage, x, w):
-    s = stage(F.signum(x - F.lag(x, 1).over(Wt)))
-    before = F.lag(s, 1).over(Wt)
-    run = stage(F.sum(F.when((s == before) & s.isNotNull() & before.isNotNull(), 0).otherwise(1)).over(Wt))
+    s = stage(F.signum(x - F.lag(x, 1).over(Wt())))
+    before = F.lag(s, 1).over(Wt())
+    run = stage(F.sum(F.when((s == before) & s.isNotNull() & before.isNotNull(), 0).otherwise(1)).over(Wt()))
     length = F.row_number().over(Window.partitionBy("symbol", run).orderBy("t"))
     return clip(s * length, -float(w), float(w))
 
@@ -279,33 +283,33 @@ def ts_triple_corr(stage, x, y, z, w):
 
 @op("cs", 1)
 def cs_rank(stage, x):
-    return average_rank(x, "t") / F.count(x).over(X)
+    return average_rank(x, "t") / F.count(x).over(X())
 
 
 @op("cs", 1)
 def cs_zscore(stage, x):
-    return (x - F.avg(x).over(X)) / at_least(F.stddev_samp(x).over(X), 1e-12)
+    return (x - F.avg(x).over(X())) / at_least(F.stddev_samp(x).over(X()), 1e-12)
 
 
 @op("cs", 1)
 def cs_winsorize(stage, x, k=3.0):
-    m, s = F.avg(x).over(X), at_least(F.stddev_samp(x).over(X), 1e-12)
+    m, s = F.avg(x).over(X()), at_least(F.stddev_samp(x).over(X()), 1e-12)
     return clip(x, m - k * s, m + k * s)
 
 
 @op("cs", 1)
 def cs_scale(stage, x):
-    return x / at_least(F.sum(F.abs(x)).over(X), 1e-12)
+    return x / at_least(F.sum(F.abs(x)).over(X()), 1e-12)
 
 
 @op("cs", 1)
 def cs_demean(stage, x):
-    return x - F.avg(x).over(X)
+    return x - F.avg(x).over(X())
 
 
 @op("cs", 1)
 def cs_robust_z(stage, x):
-    q = stage(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(X))
+    q = stage(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(X()))
     return (x - q[1]) / at_least(q[2] - q[0], 1e-12)
 
 

@@ -35,23 +35,23 @@ def continuous(contracts: DataFrame) -> DataFrame:
 
 
 def rolling_z(x: Column, window: int = 250, least: int = 60) -> Column:
-    over = Wt.rowsBetween(-(window - 1), 0)
+    over = Wt().rowsBetween(-(window - 1), 0)
     return F.when(F.count(x).over(over) >= least, F.try_divide(x - F.avg(x).over(over), F.stddev_samp(x).over(over)))
 
 
 def product_series(panel: DataFrame, factor: str, horizon: int, start: int = 0, limit: float | None = None, window: int = 250, least: int = 60) -> DataFrame:
     """Rows (symbol, t, date, p): rolling z of the factor times the forward return, every ``horizon`` rows from ``start``; dropped if a limit is hit on the way."""
-    d = panel.withColumn("z", rolling_z(F.col(factor), window, least)).withColumn("fwd", F.try_divide(F.lead("c", horizon).over(Wt), F.lead("o", 1).over(Wt)) - 1)
-    hit = F.lit(0) if limit is None else F.coalesce((F.abs(F.try_divide(F.col("c"), F.lag("c", 1).over(Wt)) - 1) >= 0.95 * limit).cast("int"), F.lit(0))
-    d = d.withColumn("hit", hit).withColumn("hits", F.coalesce(F.sum("hit").over(Wt.rowsBetween(1, horizon)), F.lit(0)))
+    d = panel.withColumn("z", rolling_z(F.col(factor), window, least)).withColumn("fwd", F.try_divide(F.lead("c", horizon).over(Wt()), F.lead("o", 1).over(Wt())) - 1)
+    hit = F.lit(0) if limit is None else F.coalesce((F.abs(F.try_divide(F.col("c"), F.lag("c", 1).over(Wt())) - 1) >= 0.95 * limit).cast("int"), F.lit(0))
+    d = d.withColumn("hit", hit).withColumn("hits", F.coalesce(F.sum("hit").over(Wt().rowsBetween(1, horizon)), F.lit(0)))
     return d.where((F.col("t") >= start) & ((F.col("t") - start) % horizon == 0) & (F.col("hits") == 0)).select("symbol", "t", "date", (F.col("z") * F.col("fwd")).alias("p")).where("p is not null")
 
 
 def positions(panel: DataFrame, factor: str, horizon: int, cost_bps: float = 2.0) -> DataFrame:
     """Rows (symbol, t, date, pos, turn, net): the sign of the factor held for ``horizon`` rows, cost on each change."""
-    d = panel.withColumn("fwd", F.try_divide(F.lead("c", horizon).over(Wt), F.lead("o", 1).over(Wt)) - 1)
+    d = panel.withColumn("fwd", F.try_divide(F.lead("c", horizon).over(Wt()), F.lead("o", 1).over(Wt())) - 1)
     d = d.where((F.col("t") % horizon == 0) & F.col("fwd").isNotNull() & F.col(factor).isNotNull()).withColumn("pos", F.signum(factor))
-    d = d.withColumn("turn", F.abs(F.col("pos") - F.coalesce(F.lag("pos", 1).over(Wt), F.lit(0.0))))
+    d = d.withColumn("turn", F.abs(F.col("pos") - F.coalesce(F.lag("pos", 1).over(Wt()), F.lit(0.0))))
     return d.select("symbol", "t", "date", "pos", "turn", (F.col("pos") * F.col("fwd") - F.col("turn") * cost_bps / 1e4).alias("net"))
 
 

@@ -106,7 +106,7 @@ _clipped = _clip("x", "-30", "30")
 
 SQL = {
     "ts_mean": _mean, "ts_std": _std, "ts_max": _max, "ts_min": _min, "ts_sum": _g(_roll("sum"), 5), "ts_rank": _rank("x"),
-    "ts_zscore": f"(x - ({_mean})) / {_floor(_std, '1e-12')}", "ts_skew": _g(_roll("skewness"), 10), "ts_kurt": _g(_roll("kurtosis"), 10),
+    "ts_zscore": f"(x - ({_mean})) / {_floor(_std, '1e-12')}", "ts_skew": _g(f"CASE WHEN {_roll('min')} = {_roll('max')} THEN 0.0 ELSE {_roll('skewness')} END", 10), "ts_kurt": _g(f"CASE WHEN {_roll('min')} = {_roll('max')} THEN -3.0 ELSE {_roll('kurtosis')} END", 10),
     "ts_corr": _g(_corr, 5, _PAIR), "ts_cov": _g(_cov, 5, _PAIR),
     "ts_slope": _g(f"(avg(x * t) OVER w - (avg(x) OVER w) * (avg(t) OVER w)) / {_floor(_roll('var_samp'), '1e-12')}", 5),
     "ts_delay": "lag(x, 3) OVER s", "ts_diff": "x - lag(x, 3) OVER s", "ts_decay_linear": _decay([10.0 - k for k in range(10)]),
