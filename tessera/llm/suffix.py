@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -270,22 +271,19 @@ def occurrences(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     return at, key.view(np.int64), mixed.view(np.int64)  # (sums[b] - sums[a]) * base^a is the same wherever a string stands
 
 
-PICK = "array<struct<at:int,key:long,context:long>>"
-
-
 def find_picks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows ``(doc_id, at, key, context)``."""
+    """Rows ``(doc_id, at, key, context)``, made as flat columns a few hundred texts at a time."""
 
-    @pandas_udf(PICK)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            rows = []
-            for t in s:
-                at, key, ctx = occurrences((t or "").encode(), length)
-                rows.append([{"at": a, "key": k, "context": c} for a, k, c in zip(at.tolist(), key.tolist(), ctx.tolist())])
-            yield pd.Series(rows)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 400):
+                part = batch.slice(a, 400)
+                got = [occurrences((t.as_py() or "").encode(), length) for t in part.column(1)]
+                of = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+                at, key, ctx = (np.concatenate([g[k] for g in got]) for k in range(3))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(key), pa.array(ctx)], ["doc_id", "at", "key", "context"])
 
-    return docs.select("doc_id", found("text").alias("p")).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.at", "p.key", "p.context")
+    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, at int, key long, context long")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -299,7 +297,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 4_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 2_000) -> DataFrame:
     """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique."""
     half = length // 2
     picked = materialize(find_picks(docs, length), "picks")
