@@ -23,7 +23,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .common import materialize
 
@@ -297,7 +296,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 2_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000) -> DataFrame:
     """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique."""
     half = length // 2
     picked = materialize(find_picks(docs, length), "picks")
@@ -314,20 +313,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
     total = reps.count()
     shards = max(1, -(-total // shard_contexts))
 
-    @pandas_udf("array<binary>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, places in batches:
-            rows = []
-            for t, ps in zip(texts, places):
-                raw = (t or "").encode()
-                rows.append([raw[max(0, p - half + 1) : p + length] for p in ps])
-            yield pd.Series(rows)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                ids, texts, places = batch.slice(a, 200).columns
+                of, out = [], []
+                for i, (t, ps) in enumerate(zip(texts, places)):
+                    raw = (t.as_py() or "").encode()
+                    for p in ps.as_py():
+                        of.append(i)
+                        out.append((p["key"] % shards, p["at"], p["asks"], raw[max(0, p["at"] - half + 1) : p["at"] + length]))
+                cols = zip(*out) if out else ((), (), (), ())
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                shard, at, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
+                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), at, asks, piece], ["shard", "doc_id", "at", "asks", "piece"])
 
     wanted = reps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "asks"))).alias("places"))
-    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "places", cut("text", F.col("places.at")).alias("bytes"))
-    pieces = pieces.select("doc_id", F.explode(F.arrays_zip("places", "bytes")).alias("z")).select(
-        F.pmod("z.places.key", F.lit(shards)).alias("shard"), "doc_id", "z.places.at", "z.places.asks", F.col("z.bytes").alias("piece")
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, at int, asks boolean, piece binary")
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "at"], kind="stable")
@@ -340,7 +343,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
                 rows += [(doc, s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
-    kind = dict(docs.dtypes)["doc_id"]
     sorted_ = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
     return many.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")).unionByName(sorted_)
 
@@ -353,24 +355,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s"))
     spans = materialize(spans, "spans")
 
-    @pandas_udf("spans array<struct<a:int,b:int>>, kept binary")
-    def removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, found in batches:
-            out = []
-            for t, s in zip(texts, found):
-                raw = (t or "").encode()
-                runs = _merged(np.array([x["a"] for x in s]), np.minimum(len(raw), np.array([x["b"] for x in s])))
-                kept, at = [], 0
-                for a, b in runs:
-                    kept.append(raw[at:a])
-                    at = b
-                out.append(([{"a": a, "b": b} for a, b in runs], b"".join([*kept, raw[at:]])))
-            yield pd.DataFrame(out, columns=["spans", "kept"])
+    kind = dict(docs.dtypes)["doc_id"]
+    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                ids, texts, found = batch.slice(at, 200).columns
+                spans_, kept, sizes = [], [], []
+                for t, s in zip(texts, found):
+                    raw = (t.as_py() or "").encode()
+                    s = s.as_py()
+                    runs = _merged(np.array([x["a"] for x in s]), np.minimum(len(raw), np.array([x["b"] for x in s])))
+                    edges = [0, *(x for r in runs for x in r), len(raw)]
+                    spans_.append([{"a": a, "b": b} for a, b in runs])
+                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    sizes.append(len(raw))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(spans_, span), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "spans", "kept", "n_bytes"])
 
     text = F.coalesce("text", F.lit(""))
     joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
-    touched = joined.where("s is not null").select("doc_id", removed("text", "s").alias("r"), F.octet_length(text).cast("long").alias("n_bytes")).select("doc_id", "r.spans", "r.kept", "n_bytes")
+    touched = joined.where("s is not null").select("doc_id", "text", "s").mapInArrow(removed, f"doc_id {kind}, spans array<struct<a:int,b:int>>, kept binary, n_bytes long")
     return touched.unionByName(joined.where("s is null").select("doc_id", none.alias("spans"), text.cast("binary").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes")))
 
 
