@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 LENGTH = 400
 GRAM = 8
@@ -296,12 +296,16 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000) -> DataFrame:
-    """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique.
+
+    Also returns the tables it reads, to discard once the rows are written.
+    """
     half = length // 2
     picked = materialize(find_picks(docs, length), "picks")
     keys = picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     again = materialize(picked.join(keys, "key"), "again")
+    discard(picked)
     first = F.min(F.struct("doc_id", "at")).alias("first")
     contexts = materialize(again.groupBy("key", "context").agg(F.count("*").alias("n"), first), "contexts")
     # Contexts met more than once: every string in them repeats.
@@ -344,7 +348,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
     sorted_ = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
-    return many.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")).unionByName(sorted_)
+    return many.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")).unionByName(sorted_), [again, contexts, reps]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -352,8 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Null text counts as empty; documents shorter than ``length`` keep all. Extra columns are ignored.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    spans = materialize(spans, "spans")
+    found, used = repeated_spans(docs, length)
+    spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
+    discard(*used)
 
     kind = dict(docs.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
