@@ -30,7 +30,7 @@ class Pieces:
     chunks are kept, at most ``cache`` of them. ``check`` compares new chunks with the library, batch by batch.
     """
 
-    def __init__(self, path: str, check: bool = True, cache: int = 300_000):
+    def __init__(self, path: str, check: bool = True, cache: int = 400_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -67,7 +67,8 @@ class Pieces:
         self.raw = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.shown = [t.replace(SPACE, " ") for t in self.text]
         self.bos, self.eos = self.lib.bos_id(), self.lib.eos_id()
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.coded: dict[str, bytes] = {}  # of chunks: identifiers
+        self.read: dict[str, str] = {}  # and decoded text
         self.check, self.cache, self.fresh = check, cache, []
 
     def merge(self, chunk: str) -> list[int]:
@@ -145,24 +146,29 @@ class Pieces:
     def many(self, texts: list[str | None]) -> Iterator[tuple[bytes, int, str]]:
         """For each text: identifiers as little-endian 32-bit integers, their number, decoded text; with begin and end identifiers."""
         held = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {c: self.cut(c) for c in set().union(*held) - self.chunks.keys()}
-        new = self.learn({p for ps in fresh.values() for p in ps} - self.parts.keys())
-        got, raw, shown, last_byte = {}, self.raw, self.shown, max(self.byte_of)
+        coded, read, parts = self.coded, self.read, self.parts
+        fresh = {c: self.cut(c) for c in set().union(*held) - coded.keys()}
+        new = self.learn({p for ps in fresh.values() for p in ps} - parts.keys())
+        parts.update(new)
+        raw, shown, last_byte = self.raw, self.shown, max(self.byte_of)
         for c, ps in fresh.items():
-            ids = [i for p in ps for i in (new[p] if p in new else self.parts[p])]
-            got[c] = (b"".join([raw[i] for i in ids]), "".join([shown[i] for i in ids]) if min(ids) > last_byte else self.plain(ids))
+            ids = parts[ps[0]] if len(ps) == 1 else [i for p in ps for i in parts[p]]
+            coded[c] = b"".join([raw[i] for i in ids])
+            read[c] = "".join([shown[i] for i in ids]) if min(ids) > last_byte else self.plain(ids)
             if self.check:
                 self.fresh.append((c, ids))
-        chunks = self.chunks
         bos, eos = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
         for h in held:
-            parts = [got[c] if c in got else chunks[c] for c in h]
-            ids = b"".join([bos, *[p[0] for p in parts], eos])
-            yield ids, len(ids) // 4, "".join([p[1] for p in parts])[1:]
-        for store, more in ((self.parts, new), (chunks, got)):
-            if len(store) + len(more) > self.cache:
-                store.clear()
-            store.update((k, v) for k, v in more.items() if len(k) <= 64)
+            ids = b"".join([bos, *map(coded.__getitem__, h), eos])
+            yield ids, len(ids) // 4, "".join(map(read.__getitem__, h))[1:]
+        for added, stores in ((fresh, (coded, read)), (new, (parts,))):
+            full, long = len(stores[0]) > self.cache, [k for k in added if len(k) > 64]
+            for store in stores:
+                if full:
+                    store.clear()
+                else:
+                    for k in long:
+                        del store[k]
 
     def encode(self, text: str | None) -> tuple[bytes, int, str]:
         return next(iter([*self.many([text])]))
