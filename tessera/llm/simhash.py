@@ -9,7 +9,7 @@ Hot buckets: a cloud of near copies fills the same few buckets, and its pairs gr
 bucket that are close to the bucket's smallest fingerprint are linked to it first, and the components of those
 star edges label the fingerprints. Then only fingerprints with different labels have to be compared: within a
 bucket, those outside the label of the largest component against the rest. Every link between different
-components is found, and links inside one change nothing.
+components is found, and links inside one change nothing. The last search for components is over labels alone.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _segment(at: int, bits: int) -> str:
 
 
 def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Components of distinct fingerprints ``(fp)`` linked at ``distance`` (4 at most) bits: rows ``(node, root)`` of those with a link."""
+    """Components of distinct fingerprints ``(fp)`` linked at ``distance`` (4 at most) bits: a row ``(fp, root)`` for each."""
     if distance > 4:
         raise ValueError("the segments and radii here hold for a distance of 4 at most")
     own = fps.select("fp", F.explode(F.array(*[F.expr(f"{_segment(a, b)} | {k}L << 32") for k, (a, b, _) in enumerate(SEGMENTS)])).alias("key"))
@@ -89,7 +89,8 @@ def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     right = mixed.select("key", F.col("fp").alias("pivot"), F.col("label").alias("b"), F.col("filed").alias("filed_b"))
     met = left.join(right, (left.key == right.key) & (F.col("a") != F.col("b")) & (F.col("filed") | F.col("filed_b")) & F.expr(near))
     across = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return connected_components(stars.unionByName(across))
+    roots = connected_components(across)  # over labels: what the star edges joined is one node here
+    return labelled.join(roots, labelled.label == roots.node, "left").select("fp", F.coalesce("root", "label").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE) -> DataFrame:
@@ -100,9 +101,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE) -
     """
     fp = materialize(fingerprints(docs, words), "fp")
     firsts = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    comps = link(firsts.select("fp"), distance)
-    joined = firsts.join(comps, firsts.fp == comps.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined, "roots")
+    joined = materialize(firsts.join(link(firsts.select("fp"), distance), "fp"), "roots")
     ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of = joined.join(ids, "root").select("fp", "component_id")
     return fp.join(of, "fp").select("doc_id", "fp", "component_id")
