@@ -8,6 +8,12 @@ the context that holds every string of that pick (199 bytes before it, 400 from
 Contexts that are equal byte for byte meet by their digests first: all their strings repeat, and one of them stands
 for all in the shard. So a passage copied a million times costs the shard one context.
 
+A key with more than ``most`` different contexts (a passage of 200 to 399 bytes that many documents share) is split
+before it reaches a shard: its strings are dealt by their place around the pick into blocks of 25, then 5, then 1
+start positions, and a block's key is all the bytes its strings have in common. Blocks whose keys occur once are
+dropped, as they are above. A block of one position has the whole string as its key, so the splitting ends, and no
+shard gets more than ``most`` contexts of one key.
+
 A shard sorts the suffixes of its contexts by induced sorting: suffixes are classified, leftmost-smaller (LMS) ones
 sorted, the rest induced in linear passes, bucket by bucket in NumPy. Prefixes that neighbours share are found in text
 order (permuted common prefixes): only where the preceding bytes differ are bytes compared; from there the length
@@ -21,13 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 LENGTH = 400
-GRAM = 8
+STRIDE = 1 << 20  # longer texts are picked and hashed in overlapping pieces of so many start positions
+WIDTHS = (25, 5, 1)
 _MIX, _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
@@ -238,8 +246,6 @@ def picks(raw: bytes, length: int = LENGTH) -> np.ndarray:
         h >>= np.uint64(24)
     m = n - length + window  # positions that can be picked
     # The place in the low bits makes the first of equals the least; the order of values stays.
-    if m >= 1 << 24:
-        raise ValueError("texts over 16 MB must be cut with overlap first")
     v = (h[:m] & ~np.uint64((1 << 24) - 1)) | np.arange(m, dtype=np.uint64)
     pad = -m % window
     blocks = np.append(v, np.full(pad, np.uint64(2**64 - 1))).reshape(-1, window)
@@ -251,7 +257,19 @@ def picks(raw: bytes, length: int = LENGTH) -> np.ndarray:
 
 def occurrences(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, keys, digests of contexts) of a text's picks."""
-    at = picks(raw, length)
+    if len(raw) > STRIDE + length:
+        parts = []
+        for s in range(0, len(raw) - length + 1, STRIDE):
+            base = max(0, s - length)
+            at, key, mixed = _hashed(raw[base : s + STRIDE + 2 * length], picks(raw[s : s + STRIDE + length - 1], length) + s - base, length)
+            parts.append((at + base, key, mixed))
+        at, key, mixed = (np.concatenate(c) for c in zip(*parts))
+        at, one = np.unique(at, return_index=True)
+        return at, key[one], mixed[one]
+    return _hashed(raw, picks(raw, length), length)
+
+
+def _hashed(raw: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -296,26 +314,70 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000) -> tuple[DataFrame, list[DataFrame]]:
+def split_blocks(docs: DataFrame, blocks: DataFrame, width: int, into: int, length: int = LENGTH) -> DataFrame:
+    """Rows ``(doc_id, at, key, context, asks)``: blocks of ``width`` start positions that end at ``at``, cut into blocks of ``into``."""
+    wanted = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", "asks")).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                ids, texts, places = batch.slice(a, 100).columns
+                of, rows = [], []
+                for i, (t, ps) in enumerate(zip(texts, places)):
+                    raw = (t.as_py() or "").encode()
+                    for p in ps.as_py():
+                        for j in range(-(-width // into)):
+                            last = p["at"] - j * into
+                            end = last - into + 1 + length
+                            if last < 0 or end > len(raw):
+                                continue
+                            core = xxhash.xxh3_64_intdigest(raw[last:end], (p["key"] + j) % (1 << 64))
+                            whole = xxhash.xxh3_64_intdigest(raw[max(0, last - into + 1) : last + length], min(last, into))
+                            of.append(i)
+                            rows.append((last, core - (1 << 63), whole - (1 << 63), p["asks"]))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                at, key, ctx, asks = (pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else ((),) * 4, kinds))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), at, key, ctx, asks], ["doc_id", "at", "key", "context", "asks"])
+
+    joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places")
+    return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, at int, key long, context long, asks boolean")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000, most: int = 500) -> tuple[DataFrame, list[DataFrame]]:
     """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique.
 
     Also returns the tables it reads, to discard once the rows are written.
     """
-    half = length // 2
+    kind = dict(docs.dtypes)["doc_id"]
+    width = length // 2
     picked = materialize(find_picks(docs, length), "picks")
     keys = picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = materialize(picked.join(keys, "key"), "again")
+    blocks = materialize(picked.join(keys, "key").withColumn("asks", F.lit(True)), "again")
     discard(picked)
-    first = F.min(F.struct("doc_id", "at")).alias("first")
-    contexts = materialize(again.groupBy("key", "context").agg(F.count("*").alias("n"), first), "contexts")
-    # Contexts met more than once: every string in them repeats.
-    many = again.join(contexts.where("n > 1").select("key", "context"), ["key", "context"]).select("doc_id", F.greatest(F.col("at") - half + 1, F.lit(0)).alias("a"), (F.col("at") + length).alias("b"))
-    # The others are held against all contexts of their key, one for each.
-    mixed = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("key")
-    reps = contexts.join(mixed, "key").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), (F.col("n") == 1).alias("asks"))
-    reps = materialize(reps, "reps")
-    total = reps.count()
-    shards = max(1, -(-total // shard_contexts))
+    used, spans, few = [blocks], [], []
+    for into in (*(w for w in WIDTHS if w < width), 0):
+        one = F.min(F.struct("doc_id", "at", "asks")).alias("one")
+        contexts = materialize(blocks.groupBy("key", "context").agg(F.count("*").alias("n"), one), "contexts")
+        # Contexts met more than once: every string in them repeats.
+        many = blocks.where("asks").join(contexts.where("n > 1").select("key", "context"), ["key", "context"])
+        spans.append(many.select("doc_id", F.greatest(F.col("at") - width + 1, F.lit(0)).alias("a"), (F.col("at") + length).alias("b")))
+        # The others are held against all contexts of their key, one for each.
+        asking = F.max(F.expr("n = 1 and one.asks")).alias("asking")
+        mixed = contexts.groupBy("key").agg(F.count("*").alias("kinds"), asking).where("kinds > 1 and asking").select("key", "kinds")
+        reps = contexts.join(mixed, "key").select("key", "one.doc_id", "one.at", F.expr("n = 1 and one.asks").alias("asks"), "kinds", F.lit(width).alias("width"))
+        reps = materialize(reps, "reps")
+        used += [contexts, reps]
+        few.append(reps.where(F.col("kinds") <= most) if into else reps)
+        hot = reps.where(F.col("kinds") > most)
+        if not into or hot.isEmpty():
+            break
+        blocks = materialize(split_blocks(docs, hot, width, into, length), "blocks")
+        used.append(blocks)
+        width = into
+    asked = few[0]
+    for more in few[1:]:
+        asked = asked.unionByName(more)
+    shards = max(1, -(-asked.count() // shard_contexts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,20 +387,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
                 for i, (t, ps) in enumerate(zip(texts, places)):
                     raw = (t.as_py() or "").encode()
                     for p in ps.as_py():
+                        start = max(0, p["at"] - p["width"] + 1)
                         of.append(i)
-                        out.append((p["key"] % shards, p["at"], p["asks"], raw[max(0, p["at"] - half + 1) : p["at"] + length]))
+                        out.append((p["key"] % shards, start, p["asks"], raw[start : p["at"] + length]))
                 cols = zip(*out) if out else ((), (), (), ())
                 kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                shard, at, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
-                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), at, asks, piece], ["shard", "doc_id", "at", "asks", "piece"])
+                shard, start, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
+                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), start, asks, piece], ["shard", "doc_id", "start", "asks", "piece"])
 
-    wanted = reps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "asks"))).alias("places"))
-    kind = dict(docs.dtypes)["doc_id"]
-    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, at int, asks boolean, piece binary")
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "width", "key", "asks")).alias("places"))
+    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, start int, asks boolean, piece binary")
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "at"], kind="stable")
-        start = np.maximum(0, frame["at"].to_numpy(np.int64) - half + 1)
+        frame = frame.sort_values(["doc_id", "start"], kind="stable")
+        start = frame["start"].to_numpy(np.int64)
         flags = repeated_strings(frame["piece"].tolist(), frame["doc_id"].to_numpy(), start, length)
         rows = []
         for doc, s, asks, f in zip(frame["doc_id"].tolist(), start.tolist(), frame["asks"].tolist(), flags):
@@ -347,16 +409,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
                 rows += [(doc, s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
-    sorted_ = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
-    return many.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")).unionByName(sorted_), [again, contexts, reps]
+    found = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
+    for more in spans:
+        found = found.unionByName(more.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")))
+    return found, used
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 500) -> DataFrame:
     """Rows ``(doc_id, spans array<struct<a,b>>, kept binary, n_bytes)``: maximal removed runs, and the bytes left, of each document.
 
     Null text counts as empty; documents shorter than ``length`` keep all. Extra columns are ignored.
     """
-    found, used = repeated_spans(docs, length)
+    found, used = repeated_spans(docs, length, most=most)
     spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
     discard(*used)
 

@@ -184,12 +184,8 @@ def test_suffix_arrays():
         assert sa.tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
-def test_repeats_against_brute_force(spark):
-    random.seed(4)
-    text = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
-    a, b = text(900), text(700)
-    texts = [*ODD, text(300) + a + text(300), a[100:] + text(50), b, b, b[:399], text(200) + a[200:620] + b[:410] + text(10), "ab" * 700]
-    got = {r.doc_id: r for r in suffix.remove_repeats(docs_of(spark, texts)).collect()}
+def check_repeats(spark, texts, **how):
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs_of(spark, texts), **how).collect()}
     raw = [(t or "").encode() for t in texts]
     seen = {}
     for t in raw:
@@ -202,9 +198,35 @@ def test_repeats_against_brute_force(spark):
                 cover[p : p + 400] = True
         assert bytes(got[i].kept) == bytes(np.frombuffer(t, np.uint8)[~cover]), i
         assert len(got[i].spans) == int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
+
+
+def test_repeats_against_brute_force(spark):
+    random.seed(4)
+    text = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
+    a, b = text(900), text(700)
+    texts = [*ODD, text(300) + a + text(300), a[100:] + text(50), b, b, b[:399], text(200) + a[200:620] + b[:410] + text(10), "ab" * 700]
+    check_repeats(spark, texts)
     assert suffix.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_repeats_of_split_keys(spark):
+    random.seed(5)
+    text = lambda n: "".join(random.choice("abcd ") for _ in range(n))
+    texts = []
+    for n in (230, 370, 385, 396, 399, 400, 403, 460):
+        shared = text(n)
+        texts += [text(random.randrange(250)) + shared + text(random.randrange(250)) for _ in range(7)]
+        texts += [shared, shared + "x", "x" + shared, texts[-1][3:], texts[-1] + texts[-2]]
+    check_repeats(spark, texts, most=3)
+
+
+def test_picks_of_long_texts(monkeypatch):
+    raw = np.random.default_rng(6).integers(97, 100, 20_000).astype(np.uint8).tobytes()
+    whole = suffix.occurrences(raw)
+    monkeypatch.setattr(suffix, "STRIDE", 1500)
+    assert all((x == y).all() for x, y in zip(whole, suffix.occurrences(raw)))
+
+
 def test_html(spark):
     page = (
         '<html><head><title>no</title><script>var t="</p>";</script></head><body><nav>menu</nav><header>top</header><div class="ad">buy</div><article><h1>Head &amp; line</h1>'
