@@ -1,14 +1,14 @@
 """Exact duplicate passages by suffix arrays over shards.
 
-A 400-byte string that also starts elsewhere is found where its copies are sure to meet. Of its first 200 start
+A 400-byte string that also starts elsewhere is found where its copies are sure to meet. Of its first 250 start
 positions the one with the least hash of 8 bytes is picked, the same one in every copy, as a window of a minimizer
-scheme over the whole text; the 200 bytes from there are its key. Keys that occur once are dropped. For the others,
-the context that holds every string of that pick (199 bytes before it, 400 from it) goes to the shard of its key.
+scheme over the whole text; the 150 bytes from there are its key. Keys that occur once are dropped. For the others,
+the context that holds every string of that pick (249 bytes before it, 400 from it) goes to the shard of its key.
 
 Contexts that are equal byte for byte meet by their digests first: all their strings repeat, and one of them stands
 for all in the shard. So a passage copied a million times costs the shard one context.
 
-A key with more than ``most`` different contexts (a passage of 200 to 399 bytes that many documents share) is split
+A key with more than ``most`` different contexts (a passage of 150 to 399 bytes that many documents share) is split
 before it reaches a shard: its strings are dealt by their place around the pick into blocks of 25, then 5, then 1
 start positions, and a block's key is all the bytes its strings have in common. Blocks whose keys occur once are
 dropped, as they are above. A block of one position has the whole string as its key, so the splitting ends, and no
@@ -22,6 +22,7 @@ falls by one a step.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +41,15 @@ _MIX, _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
 def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
-    """The suffix array of small non-negative integers, by induced sorting. Order beyond ``depth`` symbols may be left open.
+    """The suffix array of small non-negative integers, by induced sorting. Order beyond ``depth`` LMS substrings (2 symbols each, at least) may be left open.
 
     The shortest suffix of equal ones comes first. Names of LMS substrings that are not yet unique are sorted by
-    doubling over the reduced string: its alphabet is too large for passes bucket by bucket.
+    doubling or tripling over the reduced string: its alphabet is too large for passes bucket by bucket.
     """
     n = len(text)
     if n < 2:
         return np.arange(n)
-    t = np.append(text.astype(np.int64) + 1, 0)  # a sentinel below all
+    t = np.append(text.astype(np.int32) + np.int32(1), np.int32(0))  # a sentinel below all
     n += 1
     # Types: S if smaller than the next suffix. Runs of equal symbols take the type of what follows them.
     less = np.append(t[:-1] < t[1:], True)
@@ -59,12 +60,13 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
     small[-1] = True
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     sizes = np.bincount(t)
+    narrow = np.uint16 if len(sizes) < 1 << 16 else np.int64  # short integers sort by radix
     top = np.cumsum(sizes)
     bottom = top - sizes
 
     def induce(order: np.ndarray) -> np.ndarray:
         """Sort all suffixes given the LMS ones in order."""
-        sa = np.full(n, -1, np.int64)
+        sa = np.full(n, -1, np.int32)
         tail = t[order]
         count = np.bincount(tail, minlength=len(sizes))
         place = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(top - count, count)
@@ -103,7 +105,7 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
         if not len(before):
             return
         c = t[before]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(narrow), kind="stable")
         before, c = before[order], c[order]
         count = np.bincount(c, minlength=len(sizes))
         rank = np.arange(len(c)) - np.repeat(np.cumsum(count) - count, count)
@@ -115,7 +117,7 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
             at -= count
 
     # 1. LMS substrings in the order of their symbols: induce from any order of their first symbols, then name them.
-    sa = induce(lms[np.argsort(t[lms], kind="stable")])
+    sa = induce(lms[np.argsort(t[lms].astype(narrow), kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
@@ -136,13 +138,15 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
     names = np.empty(n, np.int64)
     names[ordered] = np.cumsum(differ) - 1
     rank = names[lms]
-    # 2. The order of the LMS suffixes: by doubling while names repeat.
-    span = 1
+    # 2. The order of the LMS suffixes: by names of two or three neighbours at once, while names repeat.
+    span, size = 1, len(rank) + 2
+    step = 3 if size**3 < 1 << 62 else 2
     while len(rank) and rank.max() + 1 < len(rank) and span <= depth:
-        nxt = np.append(rank[span:] + 1, np.zeros(min(span, len(rank)), np.int64))[: len(rank)]
-        both = rank * (len(rank) + 2) + nxt
-        rank = np.unique(both, return_inverse=True)[1]
-        span *= 2
+        joined = rank
+        for j in range(1, step):
+            joined = joined * size + np.append(rank[j * span :] + 1, np.zeros(min(j * span, len(rank)), np.int64))[: len(rank)]
+        rank = np.unique(joined, return_inverse=True)[1]
+        span *= step
     # 3. All suffixes from the LMS ones.
     return induce(lms[np.argsort(rank, kind="stable")])[1:]
 
@@ -165,19 +169,20 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     at = np.flatnonzero(irreducible)
     length = np.zeros(n, np.int64)
     live = at[phi[at] >= 0]
-    wide = np.append(text.astype(np.int64), np.full(8, -1))
-    k = 0
-    while len(live) and k < most + n:
-        other = phi[live] + k
-        mine = live + k
-        inside = (mine < n) & (other < n)
-        live, mine, other = live[inside], mine[inside], other[inside]
-        same = wide[mine] == wide[other]
-        length[live[same]] += 1
+    # Four symbols at a time, then one by one. Past the end stands what no text has, and two places never reach it together.
+    wide = np.append(text.astype(np.int16), np.full(8, -1, np.int16))
+    fours = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 4)).view(np.int64).ravel()
+    k, part = 0, []
+    while len(live) and k < 4 * most:
+        same = fours[live + k] == fours[phi[live] + k]
+        part.append(live[~same])
         live = live[same]
-        k += 1
-        if k >= 4 * most:
-            break
+        k += 4
+        length[live] = k
+    live = np.concatenate(part) if part else live[:0]
+    for _ in range(3):
+        live = live[wide[live + length[live]] == wide[phi[live] + length[live]]]
+        length[live] += 1
     source = np.maximum.accumulate(np.where(irreducible, here, 0))
     plcp = np.maximum(0, length[source] - (here - source))
     return np.minimum(plcp, most)[sa]
@@ -195,7 +200,7 @@ def repeated_strings(contexts: list[bytes], owners: np.ndarray, starts: np.ndarr
     of = np.repeat(np.arange(len(contexts)), sizes)
     at = np.arange(len(body)) + of
     text[at] = body.astype(np.int16) + 1  # 0 parts contexts
-    sa = suffix_array(text, depth=2 * length)
+    sa = suffix_array(text, depth=length // 2)
     lcp = common_prefixes(text, sa, length)
     which = np.searchsorted(base, sa, side="right") - 1
     offset = sa - base[which]
@@ -219,22 +224,33 @@ def repeated_strings(contexts: list[bytes], owners: np.ndarray, starts: np.ndarr
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of base and of its inverse, modulo 2^64."""
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        row = np.full(1 << bits, factor, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row, dtype=np.uint64))
+    return tuple(out)
+
+
 def _prefix_hash(raw: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(sums of raw[i] * base^-i, powers of base), all modulo 2^64."""
-    n = len(raw) + 1
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        power, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-        power[0] = down[0] = 1
-        power, down = np.cumprod(power, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        sums = np.zeros(n, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[:-1], out=sums[1:], dtype=np.uint64)
+    power, down = _powers(base, max(16, (len(raw) + 1).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=sums[1:], dtype=np.uint64)
     return sums, power
 
 
+def window_of(length: int) -> int:
+    """How many start positions a pick is the least of; the bytes of a string after them are its key."""
+    return length * 5 // 8
+
+
 def picks(raw: bytes, length: int = LENGTH) -> np.ndarray:
-    """Start positions of the minimizers: for each ``length``-byte string, the least-hashed 8 bytes of its first length / 2 positions (the first of equals)."""
-    n, window = len(raw), length // 2
+    """Start positions of the minimizers: for each ``length``-byte string, the least-hashed 8 bytes of its first ``window_of(length)`` positions (the first of equals)."""
+    n, window = len(raw), window_of(length)
     if n < length:
         return np.zeros(0, np.int64)
     r = np.frombuffer(raw + bytes(8), np.uint8)
@@ -274,11 +290,12 @@ def _hashed(raw: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
         none = np.zeros(0, np.int64)
         return none, none, none
     r = np.frombuffer(raw, np.uint8)
-    half = length // 2
-    lo, hi = np.maximum(0, at - half + 1), np.minimum(len(raw), at + length)
+    window = window_of(length)
+    core = length - window
+    lo, hi = np.maximum(0, at - window + 1), np.minimum(len(raw), at + length)
     with np.errstate(over="ignore"):
         sums, power = _prefix_hash(r, _BASE)
-        key = (sums[at + half] - sums[at]) * power[at]
+        key = (sums[at + core] - sums[at]) * power[at]
         one = (sums[hi] - sums[lo]) * power[lo]
         sums, power = _prefix_hash(r, _BASE2 | 1)
         two = (sums[hi] - sums[lo]) * power[lo]
@@ -349,7 +366,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
     Also returns the tables it reads, to discard once the rows are written.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    width = length // 2
+    width = window_of(length)
     picked = materialize(find_picks(docs, length), "picks")
     keys = picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     blocks = materialize(picked.join(keys, "key").withColumn("asks", F.lit(True)), "again")
