@@ -87,6 +87,23 @@ def walk_forward(ic: DataFrame, folds: int) -> DataFrame:
     return ic_stats(segments(ic, folds).withColumnRenamed("bucket", "fold"), "fold")
 
 
+def drawdown_ratio(ic: DataFrame) -> DataFrame:
+    """Largest fall of the summed IC, turned to the sign of its mean, over its end value; null under 5 rows or for an end of nearly zero."""
+    whole, upto = Window.partitionBy("factor"), Window.partitionBy("factor").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    turned = ic.withColumn("a", F.when(F.avg("ic").over(whole) >= 0, F.col("ic")).otherwise(-F.col("ic")))
+    summed = turned.withColumn("c", F.sum("a").over(upto))
+    fallen = summed.withColumn("fall", F.max("c").over(upto) - F.col("c")).groupBy("factor").agg(F.max("fall").alias("fall"), F.abs(F.sum("a")).alias("end"), F.count("*").alias("n"))
+    return fallen.select("factor", F.when((F.col("n") >= 5) & (F.col("end") > 1e-9), F.try_divide("fall", "end")).alias("ratio"), "n")
+
+
+def shift_placebo(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, shifts: tuple[int, ...] = (0, 5, 10, 21)) -> DataFrame:
+    """Mean rank IC of each factor as it was ``shift`` rows before; rows (factor, shift, mean, n), null under 2 days. All shifts share one pass."""
+    late = panel.withColumns({f"{f}@{k}": F.lag(f, k).over(Wt()) for f in factors for k in shifts})
+    ic = rank_ic(cells(late, [f"{f}@{k}" for f in factors for k in shifts], horizon, step, ok))
+    name, shift = F.substring_index("factor", "@", 1).alias("factor"), F.substring_index("factor", "@", -1).cast("int").alias("shift")
+    return ic.groupBy(name, shift).agg(F.when(F.count("*") >= 2, F.avg("ic")).alias("mean"), F.count("*").alias("n"))
+
+
 def top_k(valid: DataFrame, k_frac: float = 0.2, least: int = 8, cost_bps: float = 10.0) -> DataFrame:
     """Rows (factor, t, date, k, gross, turn, net): mean return of the best k over the pool, turnover against the last traded day, cost on both sides."""
     d = pooled(valid, least).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * k_frac).cast("int")))

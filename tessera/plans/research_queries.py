@@ -76,6 +76,8 @@ QUERIES = {
     "ic_rolling": lambda s, d: rounded(E.rolling_stability(daily(s, d), 20)),
     "ic_decay": lambda s, d: rounded(E.decay(daily(s, d))),
     "ic_walk_forward": lambda s, d: rounded(E.walk_forward(daily(s, d), 5)),
+    "ic_drawdown": lambda s, d: rounded(E.drawdown_ratio(daily(s, d))),
+    "shift_placebo": lambda s, d: rounded(E.shift_placebo(valued(s, d), list(FACTORS), H, STEP, tradable())),
     "top_k_days": lambda s, d: rounded(E.top_k(valid(s, d))),
     "top_k_summary": lambda s, d: rounded(E.top_k_summary(E.top_k(valid(s, d)), 52 / STEP)),
     "rank_autocorr": lambda s, d: rounded(E.rank_autocorrelation(valid(s, d), STEP)),
@@ -134,6 +136,18 @@ ORACLES = {
       g AS (SELECT factor, k, CASE WHEN count(*) >= 3 THEN regr_slope(m, bucket) END AS slope, arg_min(m, bucket) AS first, arg_max(m, bucket) AS last, max(n) AS n FROM b GROUP BY ALL)
       SELECT factor, k, round(slope, {D}) AS slope, round(first, {D}) AS first, round(last, {D}) AS last, round((last - first) / (sqrt(2.0) * std / sqrt(n // k)), {D}) AS z, sign(first) * sign(last) < 0 AS flips FROM g JOIN w USING (factor)""",
     "ic_walk_forward": f"""{_VALUED} SELECT factor, CAST(((i + 1) * 5 - 1) // n AS INTEGER) AS fold, round(avg(ic), {D}) AS mean, round(stddev_samp(ic), {D}) AS std, round(avg(ic) / stddev_samp(ic), {D}) AS ir, count(*) AS n FROM seq GROUP BY ALL""",
+    "ic_drawdown": f"""{_VALUED}, a AS (SELECT factor, t, CASE WHEN avg(ic) OVER (PARTITION BY factor) >= 0 THEN ic ELSE -ic END AS a FROM ic),
+      c AS (SELECT factor, t, a, sum(a) OVER (PARTITION BY factor ORDER BY t) AS c FROM a), p AS (SELECT *, max(c) OVER (PARTITION BY factor ORDER BY t) AS p FROM c)
+      SELECT factor, round(CASE WHEN count(*) >= 5 AND abs(sum(a)) > 1e-9 THEN max(p - c) / abs(sum(a)) END, {D}) AS ratio, count(*) AS n FROM p GROUP BY 1""",
+    "shift_placebo": f"""{_VALUED}, l AS (SELECT s.shift, v.t, v.symbol, amount, fwd, lag(momentum, s.shift) OVER w AS momentum, lag(volume_z, s.shift) OVER w AS volume_z
+        FROM valued v, (SELECT CAST(unnest([0, 5, 10, 21]) AS INTEGER) AS shift) s WINDOW w AS (PARTITION BY s.shift, v.symbol ORDER BY v.t)),
+      u AS (SELECT shift, t, f.factor, f.f, fwd FROM (SELECT *, unnest([{{'factor': 'momentum', 'f': momentum}}, {{'factor': 'volume_z', 'f': volume_z}}]) AS f FROM l)
+        WHERE t % {STEP} = 0 AND amount > 0 AND fwd IS NOT NULL AND f.f IS NOT NULL),
+      k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY shift, factor, t) AS n FROM u) WHERE n >= 30),
+      r AS (SELECT *, rank() OVER (PARTITION BY shift, factor, t ORDER BY f) + (count(*) OVER (PARTITION BY shift, factor, t, f) - 1) / 2.0 AS rf,
+        rank() OVER (PARTITION BY shift, factor, t ORDER BY fwd) + (count(*) OVER (PARTITION BY shift, factor, t, fwd) - 1) / 2.0 AS rr FROM k),
+      i AS (SELECT shift, factor, t, corr(rf, rr) AS x FROM r GROUP BY ALL HAVING stddev_samp(rf) * stddev_samp(rr) > 0)
+      SELECT factor, shift, round(CASE WHEN count(*) >= 2 THEN avg(x) END, {D}) AS mean, count(*) AS n FROM i GROUP BY ALL""",
     "top_k_days": f"{_VALUED} SELECT factor, t, date, k, {_R('gross')}, {_R('turn')}, {_R('net')} FROM topk",
     "top_k_summary": f"""{_VALUED} SELECT factor, round(avg(gross) / stddev_samp(gross), {D}) AS spread_ir, round(avg(net) / stddev_samp(net), {D}) AS net_ir, round(avg(gross) * 13.0 * 100, {D}) AS gross_annual,
       round(avg(net) * 13.0 * 100, {D}) AS net_annual, round(avg(turn), {D}) AS turn, round(avg(gross) * 1e4 / (2 * avg(turn)), {D}) AS break_even_bps, count(*) AS n FROM topk GROUP BY 1""",
