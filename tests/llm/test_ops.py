@@ -10,7 +10,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import bpe, decontaminate, html, licenses, pieces, pii, simhash, suffix, toxicity, webp
+from tessera.llm import bpe, decontaminate, html, licenses, pieces, pii, shingles, simhash, suffix, toxicity, webp
 
 ODD = [None, "", " ", "a", "a\x00b", "▁x ", "İ ΣΑΣ X'starts it's", "a  b\n\n<s>é́ <0x0A> 😀\n", "<|endoftext|>x", "x" * 5000, "word " * 3000, "a", "�"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -56,6 +56,34 @@ def test_simhash_components(spark):
     assert kept.count() == len(set(root)) and "extra" in kept.columns
 
 
+def test_near_copies_of_five_words(spark):
+    random.seed(8)
+    words = [f"w{i}" for i in range(500)]
+    texts = [*ODD]
+    for _ in range(40):  # clouds around a base, with up to four changed words in 60 to 250
+        base = [random.choice(words) for _ in range(random.randrange(60, 250))]
+        for k in range(6):
+            t = list(base)
+            for _ in range(k % 5):
+                t[random.randrange(len(t))] = random.choice(words)
+            texts.append(" ".join(t))
+    t = [random.choice(words) for _ in range(88)]
+    texts += [" ".join(t), " ".join(t[1:40] + t[:1] + t[40:])]  # one moved word
+    sets = []
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    alike = [[j for j, b in enumerate(sets) if (len(a & b) >= 0.8 * len(a | b))] for a in sets]
+    for _ in texts:  # to a fixed point
+        root = [min(root[j] for j in alike[i]) for i in range(len(texts))]
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root and root[-1] == len(texts) - 2
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, texts), None).collect()}
+    assert kept == set(root)
+    assert shingles.near_copies(docs_of(spark, texts).limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     item = "In the town of Springfield Anna buys 12 kg of apples and 7 pears before she walks back to the old mill by the river"
     again = item.replace("Anna", "Bella").replace("12", "31").replace("7", "9")
