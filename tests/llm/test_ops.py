@@ -103,6 +103,26 @@ def test_licences(spark):
     assert got == {0: ("MIT", "own"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "own"), 3: (None, "none"), 4: (None, "none"), 5: ("MIT", "inherited")}
 
 
+def test_wrapped_licences(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\n"
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */\n"
+    lgpl = "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    rest = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    mit = "MIT License\n\nCopyright (c) 2020 A. Nobody\n\n" + "\n\n".join(x.replace(" of ", " of\n").replace("is hereby", "is\nhereby") for x in (grant, notice, rest))
+    code = "x = 1\n" * 80
+    files = [("g/a.py", gpl + code), ("b/a.c", bsd + code), ("l/a.c", lgpl + code), ("m/a.c", mpl + code), ("t/LICENSE", mit), ("t/u/x.py", "code"), ("f/full", mit), ("f/x.py", "code"), ("o/a.py", grant + "\n" + code)]
+    files += [("p/a", "this thing was released under the MIT License, so take what you like and go on with your day"), ("p/b", "it was released under the Foo License, so take care"), ("p/c", gpl.replace("version 3", "version 2") + code)]
+    files += [("w/only", mpl), ("w/x", "code")]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, licenses.templates(spark)).collect()}
+    want = [("GPL-3.0", "own"), ("BSD-3-Clause", "own"), ("LGPL-2.1", "own"), ("MPL-2.0", "own"), ("MIT", "own"), ("MIT", "inherited"), ("MIT", "own"), ("MIT", "inherited"), ("MIT", "own"), ("MIT", "own"), (None, "none"), (None, "none"), ("MPL-2.0", "own"), ("MPL-2.0", "inherited")]
+    assert [got[i] for i in range(len(files))] == want
+    assert all(licenses.words_of(r.wording) == r.w for r in licenses.templates(spark).select("wording", licenses.terms(licenses.F.col("wording")).alias("w")).collect())
+
+
 def test_counts_match_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     count = bpe.TokenCounter(path)
