@@ -26,15 +26,21 @@ def _sql(s: str) -> str:
 
 
 def tokens(text: Column | str = "text") -> Column:
-    """Array of words in lower case without punctuation. Slots start with U+0001 (name), U+0002 (number) or U+0003 (unit), then their value."""
+    """Array of words in lower case without punctuation. Slots start with U+0001 (name), U+0002 (number) or U+0003 (unit), then their value.
+
+    A number with separators (2.50, 1,200, 10:30, 3/4) is one slot, as is a unit with a slash: U+0004 stands for separators within them.
+    """
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    c = F.translate(c, "\u0001\u0002\u0003", "")
+    c = F.translate(c, "\u0004\u0001\u0002\u0003", " ")
     c = F.regexp_replace(c, r"(\p{Ll}[,;:]? )(?=\p{Lu})", "$1\u0001")
-    unit = "|".join(u.replace("/", "\\/") for u in UNITS.split())
+    unit = "|".join(u.replace("/", "\\/") for u in sorted(UNITS.split(), key=len, reverse=True))
     numbers = F.regexp_replace(c, r"(?<![\p{L}\p{N}])([0-9][0-9.,:/]*+)", "\u0002$1")
     numbers = F.regexp_replace(numbers, rf"(\u0002[0-9.,:/]++ ?)((?:{unit})(?![\p{{L}}\p{{N}}]))", "$1 \u0003$2")
+    numbers = F.regexp_replace(numbers, r"(\u0002[0-9]++|\G[0-9]++)[.,:/]++(?=[0-9])", "$1\u0004")
+    numbers = F.regexp_replace(numbers, rf"(\u0003(?:{unit}))/(?=(?:{unit})(?![\p{{L}}\p{{N}}]))", "$1\u0004")
+    numbers = F.replace(numbers, F.lit("\u0003km/h"), F.lit("\u0003km\u0004h"))
     c = F.when(c.rlike("[0-9]"), numbers).otherwise(c)
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}\p{M}\x01-\x03]+", -1), lambda w: w != "")
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}\p{M}\x01-\x04]+", -1), lambda w: w != "")
 
 
 def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:

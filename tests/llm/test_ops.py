@@ -96,6 +96,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_separated_numbers(spark):
+    item = "A baker sells one loaf for 2.50 and 1,200 rolls at 10:30 with 3/4 of the flour while the van goes 45.5 km/h to 1.75 markets on 01/02/2024, then rests"
+    again = item.replace("2.50", "3.8").replace("1,200", "900").replace("10:30", "9").replace("3/4", "1/2").replace("45.5", "1,045.25").replace("1.75", "12").replace("01/02/2024", "3/11/2025")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [item, f"So. {again} and more", item.replace(" one loaf", " 1,000.00 loaves").replace("2.50 and", "2.50 or"), "v1.2 has 5 km/h, 7 m/s or 3 kg/box and 1..2, 12. Then \u0004x 1,234,567.89kg"]
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got[0].coverage == got[1].coverage == 1.0 and got[1].matched == got[1].windows and got[1].consistent == 1.0
+    w = docs_of(spark, texts).where("doc_id = 3").select(decontaminate.tokens().alias("w")).first().w
+    number, unit, sep = "\u0002", "\u0003", "\u0004"
+    assert w == ["v1", f"{number}2", "has", f"{number}5", f"{unit}km{sep}h", f"{number}7", f"{unit}m{sep}s", "or", f"{number}3", f"{unit}kg", "box", "and", f"{number}1{sep}2", f"{number}12", "then", "x", f"{number}1{sep}234{sep}567{sep}89", f"{unit}kg"]
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/c/y.py", "Licensed under the Apache License, Version 2.0.\ncode code code code"), ("d/z.py", None), (None, ""), ("a/x", "a licence to be silly about things")]
     df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "doc_id long, path string, text string")
