@@ -160,7 +160,34 @@ def permutation_null(valid: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     return daily.groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
 
 
-def block_bootstrap(ic: DataFrame, reps: int = 200, block: int = 6, seed: int = 7) -> DataFrame:
+def two_sided(z: Column) -> Column:
+    """erfc(|z| / sqrt 2). Spark has no erfc; this runs over a row for each factor."""
+
+    def erfc(x):
+        import math
+
+        return None if x is None else math.erfc(abs(x) / math.sqrt(2))
+
+    return F.udf(erfc, "double")(z)
+
+
+def permutation_test(valid: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
+    """Rows (factor, real_mean, null_mean, null_std, reps, z, p): the mean rank IC against ``permutation_null``; z and p are null if that does not vary."""
+    real = rank_ic(valid).groupBy("factor").agg(F.avg("ic").alias("real_mean"))
+    null = permutation_null(valid, reps, seed).groupBy("factor").agg(F.avg("mean_ic").alias("null_mean"), F.stddev_pop("mean_ic").alias("null_std"), F.count("mean_ic").alias("reps"))
+    z = F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std"))
+    return real.join(null, "factor").withColumn("z", z).withColumn("p", two_sided(F.col("z")))
+
+
+def bootstrap_test(ic: DataFrame, reps: int = 2000, block: int = 6, seed: int = 7) -> DataFrame:
+    """Rows (factor, real_mean, null_mean, se, reps, z, p): z is the mean over the standard error of ``block_bootstrap``, null under 10 days or without variance."""
+    real = ic.groupBy("factor").agg(F.avg("ic").alias("real_mean"), F.stddev_pop("ic").alias("std"), F.count("*").alias("n"))
+    null = block_bootstrap(ic, reps, block, seed).groupBy("factor").agg(F.avg("mean").alias("null_mean"), F.stddev_samp("mean").alias("se"), F.count("mean").alias("reps"))
+    z = F.when((F.col("n") >= 10) & (F.col("std") > 0) & (F.col("se") > 0), F.col("real_mean") / F.col("se"))
+    return real.join(null, "factor").withColumn("z", z).withColumn("p", two_sided(F.col("z"))).drop("std", "n")
+
+
+def block_bootstrap(ic: DataFrame, reps: int = 2000, block: int = 6, seed: int = 7) -> DataFrame:
     """Rows (factor, rep, mean): circular blocks of an IC series, block starts from a hash."""
     d = ic.withColumn("i", F.row_number().over(Window.partitionBy("factor").orderBy("t")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("factor")))
     draws = d.select("factor", "n").distinct().select("factor", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))

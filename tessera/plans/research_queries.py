@@ -87,8 +87,8 @@ QUERIES = {
     "series_products": lambda s, d: rounded(S.product_series(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
     "series_positions": lambda s, d: rounded(S.positions(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
     "continuous": lambda s, d: rounded(S.continuous(contracts(s, d))),
-    "permutation_null": lambda s, d: rounded(E.permutation_null(valid(s, d), 50)),
-    "block_bootstrap": lambda s, d: rounded(E.block_bootstrap(daily(s, d))),
+    "permutation_null": lambda s, d: rounded(E.permutation_test(valid(s, d))),
+    "block_bootstrap": lambda s, d: rounded(E.bootstrap_test(daily(s, d))),
     "simulate": simulated,
     "bars_week": lambda s, d: rounded(bars(s, d), 9),
 }

@@ -1,5 +1,6 @@
 """Sources, the simulator and the driver contract; the other queries are held against their SQL."""
 
+import datetime as dt
 import re
 import subprocess
 import sys
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import evaluation as E
 from tessera.operators.series import simulate
 from tessera.sources.panel import Source, densify, from_wide, load, probe, validate
 
@@ -62,3 +64,27 @@ def test_the_rest_stands_without_the_corpus_part():
             assert not re.search(r"^\s*(from|import) .*\bllm\b", p.read_text(), re.M)
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 80 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_null_tests_give_z_and_p(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(k, t, dt.date(2020, 1, 1) + dt.timedelta(t), f"s{i}", float(f), float(f * (k == "good") + 3 * e)) for k in ("good", "noise") for t in range(12) for i, (f, e) in enumerate(rng.normal(size=(40, 2)))]
+    cells = spark.createDataFrame(rows, "factor string, t int, date date, symbol string, f double, fwd double")
+    got = {r.factor: r for r in E.permutation_test(cells).collect()}
+    means = {k: [r.mean_ic for r in E.permutation_null(cells, 200).where(f"factor = '{k}'").collect()] for k in got}
+    for k, r in got.items():
+        z = (r.real_mean - np.mean(means[k])) / np.std(means[k])
+        assert r.reps == 200 and abs(r.z - z) < 1e-9 and abs(r.p - math.erfc(abs(z) / math.sqrt(2))) < 1e-12
+    assert got["good"].p < 1e-3 < got["noise"].p
+    x = rng.normal(0.1, 0.2, 60)
+    series = spark.createDataFrame([("x", t, float(v)) for t, v in enumerate(x)] + [("short", t, float(t)) for t in range(9)] + [("flat", t, 0.5) for t in range(20)], "factor string, t int, ic double")
+    got = {r.factor: r for r in E.bootstrap_test(series).collect()}
+    idx = (rng.integers(0, 60, (2000, 10))[:, :, None] + np.arange(6)) % 60
+    se = x[idx.reshape(2000, -1)].mean(axis=1).std(ddof=1)
+    r = got["x"]
+    assert r.reps == 2000 and abs(r.se / se - 1) < 0.1 and abs(r.z - x.mean() / r.se) < 1e-9 and abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-12
+    assert got["short"].z is None and got["flat"].z is None and got["flat"].p is None
