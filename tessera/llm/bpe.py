@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import public_tokenizers
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .lockstep import PairTable, by_length, slices
+from .common import Generations, slices
 
 
 WIDE = 1 << 20
@@ -28,28 +28,35 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 def merges_made(sym: list[int], ranks: dict[int, int], joined: list[int]) -> int:
     """How many merges byte-pair encoding makes in the symbols ``sym``, which it overwrites.
 
-    ranks: of the pair a, b under a * WIDE + b; joined: by rank, the symbol that the pair becomes. The heap holds
-    rank * n + place, so the lowest rank comes first, then the leftmost place; an entry whose pair has changed since is skipped.
+    ranks: of the pair a, b under a * WIDE + b; joined: by rank, the symbol that the pair becomes. The heap holds rank and
+    place, so the lowest rank comes first, then the leftmost place; an entry whose pair has changed since is skipped.
     """
     n, get, push, pop = len(sym), ranks.get, heapq.heappush, heapq.heappop
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [r * n + i for i in range(n - 1) if (r := get(sym[i] * WIDE + sym[i + 1])) is not None]
+    left, right, bits, made = list(range(-1, n - 1)), list(range(1, n + 1)), n.bit_length(), 0
+    now = [get(a * WIDE + b) for a, b in zip(sym, sym[1:])]  # rank of the pair at a place, None if it is never merged
+    now.append(None)
+    heap = [r << bits | i for i, r in enumerate(now) if r is not None]
     heapq.heapify(heap)
-    made = 0
+    low = (1 << bits) - 1
     while heap:
-        rank, i = divmod(pop(heap), n)
-        j = right[i]
-        if j >= n or sym[i] < 0 or get(sym[i] * WIDE + sym[j]) != rank:
+        best = pop(heap)
+        i = best & low
+        if now[i] != best >> bits:
             continue
-        sym[i], sym[j] = s, _ = joined[rank], -1
+        sym[i] = s = joined[best >> bits]
+        j = right[i]
+        now[j] = now[i] = None
         k = right[i] = right[j]
         made += 1
         if k < n:
             left[k] = i
-            if (r := get(s * WIDE + sym[k])) is not None:
-                push(heap, r * n + i)
-        if (h := left[i]) >= 0 and (r := get(sym[h] * WIDE + s)) is not None:
-            push(heap, r * n + h)
+            now[i] = r = get(s * WIDE + sym[k])
+            if r is not None:
+                push(heap, r << bits | i)
+        if (h := left[i]) >= 0:
+            now[h] = r = get(sym[h] * WIDE + s)
+            if r is not None:
+                push(heap, r << bits | h)
     return made
 
 
@@ -57,10 +64,10 @@ class TokenCounter:
     """Counts tokens as the tokenizers library does with a BPE file whose pretokenizer never crosses ASCII white space.
 
     The library's own normalizer and pretokenizer cut a chunk into words; the merges are made here and no identifiers
-    are formed. Counts of chunks are kept, at most ``cache`` of them, then the store is emptied.
+    are formed. Counts of chunks and words are kept in two generations of ``cache`` entries at most.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -76,12 +83,9 @@ class TokenCounter:
         self.number = number
         self.ranks = {number[a] * WIDE + number[b]: i for i, (a, b) in enumerate(merges)}
         self.joined = [number[a + b] for a, b in merges]
-        self.table = PairTable([(number[a], number[b], i, number[a + b]) for i, (a, b) in enumerate(merges)])
         added = [a["content"] for a in spec["added_tokens"]]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.chunks: dict[str, int] = {}
-        self.known: dict[str, int] = {}
-        self.cache = cache
+        self.chunks, self.known = Generations(cache), Generations(cache)
 
     def words(self, chunk: str) -> tuple[list[str], int]:
         """The words of a chunk and how many added tokens stand in it."""
@@ -91,32 +95,37 @@ class TokenCounter:
         parts = self.added.split(chunk) if self.added else [chunk]
         return [w for p in parts[::2] if p for w, _ in self.split(self.normalize(p)) if w], len(parts) // 2
 
-    def learn(self, words: set[str]) -> dict[str, int]:
-        """Counts of words: initial symbols minus merges. Short ones run in lockstep, long ones over a heap each."""
-        number, tail, out = self.number, self.suffix, {}
-        symbols = lambda w: [number[c] for c in w[:-1]] + [number[w[-1] + tail]]
-        for group in by_length(list(words), 32):
-            if group:
-                out.update(zip(group, (self.table.merge([symbols(w) for w in group]) >= 0).sum(1).tolist()))
+    def learn(self, word: str) -> int:
+        """Tokens of a word: initial symbols minus merges."""
+        number = self.number
+        symbols = [number[c] for c in word[:-1]] + [number[word[-1] + self.suffix]]
+        return len(word) - merges_made(symbols, self.ranks, self.joined)
+
+    def count(self, chunk: str) -> int:
+        words, n = self.words(chunk)
+        known = self.known
         for w in words:
-            if len(w) > 32:
-                out[w] = len(w) - merges_made(symbols(w), self.ranks, self.joined)
-        return out
+            got = known.young.get(w)
+            if got is None and (got := known.get(w)) is None:
+                got = known.put(w, self.learn(w))
+            n += got
+        return n
 
     def many(self, texts: list[str | None]) -> list[int]:
         """Counts for a run of texts."""
-        held = [Counter(SPACES.split(t or "")) for t in texts]
-        fresh = {c: self.words(c) for c in set().union(*held) - self.chunks.keys() if c}
-        new = self.learn({w for ws, _ in fresh.values() for w in ws} - self.known.keys())
-        known = self.known
-        got = {c: sum([new[w] if w in new else known[w] for w in ws]) + n for c, (ws, n) in fresh.items()}
-        chunks = self.chunks
-        out = [sum([(got[c] if c in got else chunks[c]) * n for c, n in h.items() if c]) for h in held]
-        for store, more in ((known, new), (chunks, got)):
-            if len(store) + len(more) > self.cache:
-                store.clear()
-            store.update((k, v) for k, v in more.items() if len(k) <= 64)
-        return out
+        held, chunks, now = [SPACES.split(t or "") for t in texts], self.chunks, {"": 0}
+        for c in set().union(*held) - {""}:
+            got = chunks.young.get(c)
+            if got is None and (got := chunks.get(c)) is None:
+                got = chunks.put(c, self.count(c))
+            now[c] = got
+        return [sum([now[c] for c in h]) for h in held]
+
+
+@lru_cache(maxsize=2)
+def loaded(path: str) -> TokenCounter:
+    """One counter for each worker process: what it has learned serves the tasks that follow."""
+    return TokenCounter(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -124,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     @pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = TokenCounter(path)
+        count = loaded(path)
         for s in batches:
             yield pd.Series([n for run in slices(s) for n in count.many(run)], dtype="int64")
 
@@ -133,5 +142,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -41,3 +41,36 @@ def discard(*written: DataFrame) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+class Generations:
+    """A store of at most 2 * ``size`` entries: when the younger half is full it becomes the older one, whose entries go unless they are met again."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value):
+        if len(key) <= 64:
+            if len(self.young) >= self.size:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
+        return value
+
+
+def slices(texts, size: int = 4_000_000):
+    """Runs of consecutive texts of about ``size`` characters together, one text at least."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run

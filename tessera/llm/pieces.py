@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,23 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .lockstep import PairTable, by_length, slices
+from .common import Generations, slices
 
 SPACE = "▁"
-WORD = re.compile(r"▁?[^\W_]+")
 BORDER = re.compile(r"(?<=[^\W_])[\W_]|(?<=[\W_]).", re.S)
-CHUNK = re.compile("\n|▁*[^▁\n]+|▁+")
+CHUNK = re.compile("\n[^▁\n]*|▁+[^▁\n]*")
 
 
 class Pieces:
     """A merge-type vocabulary: an agenda of adjacent symbol pairs, best score first, then leftmost.
 
     No piece holds a space mark after another character or a line feed beside one (checked on loading), so a text
-    can be cut before each run of space marks and around line feeds without changing its pieces. Codes of such
-    chunks are kept, at most ``cache`` of them. ``check`` compares new chunks with the library, batch by batch.
+    can be cut before each run of space marks and around line feeds without changing its pieces. What became of such
+    chunks, and of their parts, is kept in two generations of ``cache`` entries at most: what is met again stays.
+    ``check`` compares new chunks with the library, batch by batch.
     """
 
-    def __init__(self, path: str, check: bool = True, cache: int = 400_000):
+    def __init__(self, path: str, check: bool = True, cache: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -56,44 +57,50 @@ class Pieces:
             raise ValueError("pieces cross the places where texts are cut")
         order = {x: r for r, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
         self.rank = {p: order[x] for p, x in self.scores.items()}
-        names = {p: i for p, i in self.ids.items()}
-        for c in sorted({c for p in self.ids for c in p} - names.keys()):
-            names[c] = len(self.text) + len(names)
-        self.chars = {c: i for c, i in names.items() if len(c) == 1 and c in self.ids}
-        self.table = PairTable([(names[p[:i]], names[p[i:]], self.rank[p], names[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in names and p[i:] in names])
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.parts: dict[str, list[int]] = {}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.last_byte = max(self.byte_of)
         self.raw = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.shown = [t.replace(SPACE, " ") for t in self.text]
         self.bos, self.eos = self.lib.bos_id(), self.lib.eos_id()
-        self.coded: dict[str, bytes] = {}  # of chunks: identifiers
-        self.read: dict[str, str] = {}  # and decoded text
-        self.check, self.cache, self.fresh = check, cache, []
-
-    def merge(self, chunk: str) -> list[int]:
-        """The agenda holds rank of the score * n + place."""
-        n, sym, get, push, pop = len(chunk), list(chunk), self.rank.get, heapq.heappush, heapq.heappop
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [r * n + i for i in range(n - 1) if (r := get(chunk[i : i + 2])) is not None]
+        self.chunks, self.parts = Generations(cache), Generations(cache)
+        self.check, self.fresh = check, []
+
+    def merge(self, part: str) -> list[int]:
+        """Identifiers of a part. The agenda holds rank of the score and place, so the best score comes first, then the leftmost place."""
+        n, sym, get, push, pop = len(part), list(part), self.rank.get, heapq.heappush, heapq.heappop
+        left, right, bits = list(range(-1, n - 1)), list(range(1, n + 1)), n.bit_length()
+        pair = [part[i : i + 2] for i in range(n)]  # what the symbol at a place and the next one join to
+        rank = [get(p) for p in pair]  # and its rank, None if it is no piece; the agenda's entries of another rank are out of date
+        rank[-1] = None
+        agenda = [r << bits | i for i, r in enumerate(rank) if r is not None]
         heapq.heapify(agenda)
+        low = (1 << bits) - 1
         while agenda:
-            rank, i = divmod(pop(agenda), n)
-            j = right[i]
-            if j >= n or not sym[i] or get(s := sym[i] + sym[j]) != rank:
-                continue  # one of the two has been merged since
-            sym[i], sym[j] = s, ""
+            best = pop(agenda)
+            i = best & low
+            if rank[i] != best >> bits:
+                continue
+            s, j = pair[i], right[i]
+            sym[i], sym[j], rank[j] = s, "", None
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if (r := get(s + sym[k])) is not None:
-                    push(agenda, r * n + i)
-            if (h := left[i]) >= 0 and (r := get(sym[h] + s)) is not None:
-                push(agenda, r * n + h)
-        out: list[int] = []
+                pair[i] = p = s + sym[k]
+                rank[i] = r = get(p)
+                if r is not None:
+                    push(agenda, r << bits | i)
+            else:
+                rank[i] = None
+            if (h := left[i]) >= 0:
+                pair[h] = p = sym[h] + s
+                rank[h] = r = get(p)
+                if r is not None:
+                    push(agenda, r << bits | h)
+        out, ids = [], self.ids
         for s in sym:
             if s:
-                i = self.ids.get(s)
+                i = ids.get(s)
                 out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
         return out
 
@@ -118,69 +125,70 @@ class Pieces:
 
     def cut(self, chunk: str) -> list[str]:
         """No piece spans two neighbours that stand together in no piece: the chunk can be cut there."""
-        if WORD.fullmatch(chunk):
-            return [chunk]
         out, at, pairs = [], 0, self.pairs
-        for m in BORDER.finditer(chunk):
+        for m in BORDER.finditer(chunk, 1):
             i = m.start()
-            if i and chunk[i - 1 : i + 1] not in pairs:
+            if chunk[i - 1 : i + 1] not in pairs:
                 out.append(chunk[at:i])
                 at = i
         return [*out, chunk[at:]]
 
-    def learn(self, parts: set[str]) -> dict[str, list[int]]:
-        """Identifiers of parts. Short ones run in lockstep, long ones and those with characters beyond the pieces by an agenda each."""
-        chars, out, slow = self.chars, {}, [p for p in parts if len(p) > 32]
-        for group in by_length(list(parts), 32):
-            rows = [[chars.get(c, -1) for c in p] for p in group]
-            slow += [p for p, r in zip(group, rows) if min(r) < 0]
-            fast = [(p, r) for p, r in zip(group, rows) if min(r) >= 0]
-            if fast:
-                got = self.table.merge([r for _, r in fast])
-                alive = got >= 0
-                flat, ends = got[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
-                out.update((p, flat[a:b]) for (p, _), a, b in zip(fast, [0, *ends], ends))
-        out.update((p, self.merge(p)) for p in slow)
-        return out
+    def keys(self, text: str | None) -> list[str]:
+        """The chunks of a text, without the space mark that all but those after a line feed begin with."""
+        if not text:
+            return []
+        if SPACE not in text:
+            found = text.replace("\n", " \n").split(" ")
+            if "" not in found:
+                return found
+        return [c if c[0] == "\n" else c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+
+    def code(self, key: str) -> tuple[bytes, str]:
+        """Of a chunk: its identifiers as little-endian 32-bit integers, and their text."""
+        chunk, parts, ids = key if key[:1] == "\n" else SPACE + key, self.parts, []
+        for p in (chunk,) if key.isalnum() else self.cut(chunk):
+            got = parts.young.get(p)
+            if got is None and (got := parts.get(p)) is None:
+                got = parts.put(p, self.merge(p))
+            ids += got
+        if self.check:
+            self.fresh.append((chunk, ids))
+        shown = self.shown
+        return b"".join([self.raw[i] for i in ids]), "".join([shown[i] for i in ids]) if min(ids) > self.last_byte else self.plain(ids)
 
     def many(self, texts: list[str | None]) -> Iterator[tuple[bytes, int, str]]:
         """For each text: identifiers as little-endian 32-bit integers, their number, decoded text; with begin and end identifiers."""
-        held = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        coded, read, parts = self.coded, self.read, self.parts
-        fresh = {c: self.cut(c) for c in set().union(*held) - coded.keys()}
-        new = self.learn({p for ps in fresh.values() for p in ps} - parts.keys())
-        parts.update(new)
-        raw, shown, last_byte = self.raw, self.shown, max(self.byte_of)
-        for c, ps in fresh.items():
-            ids = parts[ps[0]] if len(ps) == 1 else [i for p in ps for i in parts[p]]
-            coded[c] = b"".join([raw[i] for i in ids])
-            read[c] = "".join([shown[i] for i in ids]) if min(ids) > last_byte else self.plain(ids)
-            if self.check:
-                self.fresh.append((c, ids))
+        held, chunks, now = [self.keys(t) for t in texts], self.chunks, {}
+        for k in set().union(*held):
+            got = chunks.young.get(k)
+            if got is None and (got := chunks.get(k)) is None:
+                got = chunks.put(k, self.code(k))
+            now[k] = got
         bos, eos = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
         for h in held:
-            ids = b"".join([bos, *map(coded.__getitem__, h), eos])
-            yield ids, len(ids) // 4, "".join(map(read.__getitem__, h))[1:]
-        for added, stores in ((fresh, (coded, read)), (new, (parts,))):
-            full, long = len(stores[0]) > self.cache, [k for k in added if len(k) > 64]
-            for store in stores:
-                if full:
-                    store.clear()
-                else:
-                    for k in long:
-                        del store[k]
+            codes, shown = zip(*map(now.__getitem__, h)) if h else ((), ())
+            ids = b"".join([bos, *codes, eos])
+            yield ids, len(ids) // 4, "".join(shown)[1:]
 
     def encode(self, text: str | None) -> tuple[bytes, int, str]:
         return next(iter([*self.many([text])]))
 
     def compare(self) -> None:
         """Hold the chunks first met in this batch against the library; a difference raises ValueError."""
-        if self.fresh:
-            want = self.lib.encode(["\n" + c for c, _ in self.fresh], num_threads=1)
-            for (c, ids), lib in zip(self.fresh, want):
-                if lib[2:] != ids:
-                    raise ValueError(f"the library encodes {c[:80]!r} otherwise")
-            self.fresh = []
+        fresh, self.fresh = self.fresh, []
+        lead = self.lib.encode("\n")  # the space mark that the library puts first, and what parts it from the chunk
+        for at in range(0, len(fresh), 50_000):
+            some = fresh[at : at + 50_000]
+            for (chunk, ids), want in zip(some, self.lib.encode(["\n" + c for c, _ in some], num_threads=1)):
+                del want[: len(lead)]
+                if want != ids:
+                    raise ValueError(f"the library encodes {chunk[:80]!r} otherwise")
+
+
+@lru_cache(maxsize=2)
+def loaded(path: str, check: bool) -> Pieces:
+    """One vocabulary for each worker process: what it has learned serves the tasks that follow."""
+    return Pieces(path, check)
 
 
 def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
@@ -188,7 +196,7 @@ def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
 
     @pandas_udf("ids array<int>, decoded string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, check)
+        pieces = loaded(path, check)
         for s in batches:
             got = [g for run in slices(s) for g in pieces.many(run)]
             pieces.compare()
@@ -202,7 +210,7 @@ def encoded_digests(docs: DataFrame, path: str, check: bool = True) -> DataFrame
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, check)
+        pieces = loaded(path, check)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for s in batches:
             rows = [(g[1], sha(g[0]), sha(g[2].encode())) for run in slices(s) for g in pieces.many(run)]
@@ -213,5 +221,6 @@ def encoded_digests(docs: DataFrame, path: str, check: bool = True) -> DataFrame
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
