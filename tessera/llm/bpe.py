@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Generations, slices
+from .common import Generations, slices, without_cycles
 
 
 WIDE = 1 << 20
@@ -135,7 +135,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = loaded(path)
         for s in batches:
-            yield pd.Series([n for run in slices(s) for n in count.many(run)], dtype="int64")
+            with without_cycles():
+                counts = [n for run in slices(s) for n in count.many(run)]
+            yield pd.Series(counts, dtype="int64")
 
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

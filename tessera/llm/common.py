@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +76,15 @@ def slices(texts, size: int = 4_000_000):
             run, held = [], 0
     if run:
         yield run
+
+
+@contextmanager
+def without_cycles():
+    """For code that makes many small objects and no cycles: the collector would walk large stores again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

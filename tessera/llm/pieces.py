@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Generations, slices
+from .common import Generations, slices, without_cycles
 
 SPACE = "▁"
 BORDER = re.compile(r"(?<=[^\W_])[\W_]|(?<=[\W_]).", re.S)
@@ -198,8 +198,9 @@ def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = loaded(path, check)
         for s in batches:
-            got = [g for run in slices(s) for g in pieces.many(run)]
-            pieces.compare()
+            with without_cycles():
+                got = [g for run in slices(s) for g in pieces.many(run)]
+                pieces.compare()
             yield pd.DataFrame({"ids": [np.frombuffer(g[0], "<u4").astype("int32") for g in got], "decoded": [g[2] for g in got]})
 
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
@@ -213,8 +214,9 @@ def encoded_digests(docs: DataFrame, path: str, check: bool = True) -> DataFrame
         pieces = loaded(path, check)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for s in batches:
-            rows = [(g[1], sha(g[0]), sha(g[2].encode())) for run in slices(s) for g in pieces.many(run)]
-            pieces.compare()
+            with without_cycles():
+                rows = [(g[1], sha(g[0]), sha(g[2].encode())) for run in slices(s) for g in pieces.many(run)]
+                pieces.compare()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.*")
