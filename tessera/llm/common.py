@@ -78,6 +78,18 @@ def slices(texts, size: int = 4_000_000):
         yield run
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Queries made inside give their shuffle files back when they end, as each is run once and its result written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 @contextmanager
 def without_cycles():
     """For code that makes many small objects and no cycles: the collector would walk large stores again and again."""

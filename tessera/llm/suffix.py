@@ -23,6 +23,7 @@ falls by one a step.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidy_shuffles
 
 LENGTH = 400
 STRIDE = 1 << 20  # longer texts are picked and hashed in overlapping pieces of so many start positions
 WIDTHS = (25, 5, 1)
-_MIX, _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 0x14057B7EF767814F
+_MIX, _BASE = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
+SCREEN = 25  # start positions screened together in a shard
 
 
 def suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
@@ -224,6 +226,39 @@ def repeated_strings(contexts: list[bytes], owners: np.ndarray, starts: np.ndarr
     return out
 
 
+def screen(pieces: list[bytes], picks: np.ndarray, length: int = LENGTH, block: int = SCREEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which runs of strings are worth sorting: ``(piece, first start, last start)`` of each.
+
+    The start positions of a piece are dealt into blocks by their place before its pick, which is the same in every copy. All
+    strings of a block share ``length - block + 1`` bytes; where no other piece has those at that place, none of them repeats.
+    The bytes are compared by a hash, so a block may stay in vain, but none goes that has a partner.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    base = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    rounds = int(picks.max()) // block + 1
+    of = np.repeat(np.arange(len(pieces)), rounds)
+    turn = np.tile(np.arange(rounds), len(pieces))
+    last = picks[of] - turn * block
+    first = np.maximum(last - block + 1, 0)
+    end = last - block + 1 + length
+    ok = (last >= 0) & (first + length <= sizes[of]) & (end <= sizes[of])
+    of, turn, last, first, end = (x[ok] for x in (of, turn, last, first, end))
+    with np.errstate(over="ignore"):
+        sums, power = _prefix_hash(raw, _BASE)
+        h = (sums[base[of] + end] - sums[base[of] + last]) * power[base[of] + last] * np.uint64(_MIX) + turn.astype(np.uint64)
+    _, same, count = np.unique(h, return_inverse=True, return_counts=True)
+    go = count[same] > 1
+    of, first, last = of[go], first[go], np.minimum(last, sizes[of] - length)[go]
+    if not len(of):
+        return of, first, last
+    order = np.lexsort((first, of))
+    of, first, last = of[order], first[order], last[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (first[1:] > last[:-1] + 1))
+    at = np.flatnonzero(new)
+    return of[at], first[at], last[np.append(at[1:], len(of)) - 1]
+
+
 @functools.lru_cache(maxsize=8)
 def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The first 2^bits powers of base and of its inverse, modulo 2^64."""
@@ -296,13 +331,14 @@ def _hashed(raw: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         sums, power = _prefix_hash(r, _BASE)
         key = (sums[at + core] - sums[at]) * power[at]
-        one = (sums[hi] - sums[lo]) * power[lo]
-        sums, power = _prefix_hash(r, _BASE2 | 1)
-        two = (sums[hi] - sums[lo]) * power[lo]
-        mixed = (one * np.uint64(_MIX)) ^ (two + (two >> np.uint64(31))) ^ ((at - lo).astype(np.uint64) * np.uint64(_BASE2 | 1)) ^ ((hi - at).astype(np.uint64) << np.uint64(40))
         key = (key ^ key >> np.uint64(32)) * np.uint64(_MIX)
-        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(_BASE)
-    return at, key.view(np.int64), mixed.view(np.int64)  # (sums[b] - sums[a]) * base^a is the same wherever a string stands
+    digests = b"".join([_digest(raw[a:b], p - a) for a, p, b in zip(lo.tolist(), at.tolist(), hi.tolist())])
+    return at, key.view(np.int64), np.frombuffer(digests, np.int64)  # (sums[b] - sums[a]) * base^a is the same wherever a string stands
+
+
+def _digest(context: bytes, pick: int) -> bytes:
+    """Eight bytes of BLAKE2b over a context and the place of its pick."""
+    return hashlib.blake2b(context, digest_size=8, salt=pick.to_bytes(4, "little")).digest()
 
 
 def find_picks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -349,9 +385,9 @@ def split_blocks(docs: DataFrame, blocks: DataFrame, width: int, into: int, leng
                             if last < 0 or end > len(raw):
                                 continue
                             core = xxhash.xxh3_64_intdigest(raw[last:end], (p["key"] + j) % (1 << 64))
-                            whole = xxhash.xxh3_64_intdigest(raw[max(0, last - into + 1) : last + length], min(last, into))
+                            whole = int.from_bytes(_digest(raw[max(0, last - into + 1) : last + length], min(last, into)), "little", signed=True)
                             of.append(i)
-                            rows.append((last, core - (1 << 63), whole - (1 << 63), p["asks"]))
+                            rows.append((last, core - (1 << 63), whole, p["asks"]))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
                 at, key, ctx, asks = (pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else ((),) * 4, kinds))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), at, key, ctx, asks], ["doc_id", "at", "key", "context", "asks"])
@@ -360,7 +396,7 @@ def split_blocks(docs: DataFrame, blocks: DataFrame, width: int, into: int, leng
     return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, at int, key long, context long, asks boolean")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 1_000, most: int = 500) -> tuple[DataFrame, list[DataFrame]]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 2_000, most: int = 500) -> tuple[DataFrame, list[DataFrame]]:
     """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique.
 
     Also returns the tables it reads, to discard once the rows are written.
@@ -368,9 +404,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
     kind = dict(docs.dtypes)["doc_id"]
     width = window_of(length)
     picked = materialize(find_picks(docs, length), "picks")
-    keys = picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written before they are joined: a join right after an aggregation is one that Spark does not split at a hot key.
+    keys = materialize(picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     blocks = materialize(picked.join(keys, "key").withColumn("asks", F.lit(True)), "again")
-    discard(picked)
+    discard(picked, keys)
     used, spans, few = [blocks], [], []
     for into in (*(w for w in WIDTHS if w < width), 0):
         one = F.min(F.struct("doc_id", "at", "asks")).alias("one")
@@ -381,8 +418,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
         # The others are held against all contexts of their key, one for each.
         asking = F.max(F.expr("n = 1 and one.asks")).alias("asking")
         mixed = contexts.groupBy("key").agg(F.count("*").alias("kinds"), asking).where("kinds > 1 and asking").select("key", "kinds")
+        mixed = materialize(mixed, "mixed")
         reps = contexts.join(mixed, "key").select("key", "one.doc_id", "one.at", F.expr("n = 1 and one.asks").alias("asks"), "kinds", F.lit(width).alias("width"))
         reps = materialize(reps, "reps")
+        discard(mixed)
         used += [contexts, reps]
         few.append(reps.where(F.col("kinds") <= most) if into else reps)
         hot = reps.where(F.col("kinds") > most)
@@ -406,24 +445,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
                     for p in ps.as_py():
                         start = max(0, p["at"] - p["width"] + 1)
                         of.append(i)
-                        out.append((p["key"] % shards, start, p["asks"], raw[start : p["at"] + length]))
-                cols = zip(*out) if out else ((), (), (), ())
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                shard, start, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
-                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), start, asks, piece], ["shard", "doc_id", "start", "asks", "piece"])
+                        out.append((p["key"] % shards, start, p["at"] - start, p["asks"], raw[start : p["at"] + length]))
+                cols = zip(*out) if out else ((), (), (), (), ())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                shard, start, pick, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
+                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), start, pick, asks, piece], ["shard", "doc_id", "start", "pick", "asks", "piece"])
 
     wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "width", "key", "asks")).alias("places"))
-    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, start int, asks boolean, piece binary")
+    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, start int, pick int, asks boolean, piece binary")
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable")
-        start = frame["start"].to_numpy(np.int64)
-        flags = repeated_strings(frame["piece"].tolist(), frame["doc_id"].to_numpy(), start, length)
+        pieces, ids, start, asks = frame["piece"].tolist(), frame["doc_id"].to_numpy(), frame["start"].to_numpy(np.int64), frame["asks"].to_numpy()
+        of, first, last = screen(pieces, frame["pick"].to_numpy(np.int64), length)
+        cut = [pieces[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist())]
+        flags = repeated_strings(cut, ids[of], start[of] + first, length)
         rows = []
-        for doc, s, asks, f in zip(frame["doc_id"].tolist(), start.tolist(), frame["asks"].tolist(), flags):
-            if asks and f.any():
+        for i, a, f in zip(of.tolist(), first.tolist(), flags):
+            if asks[i] and f.any():
+                s = int(start[i]) + a
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
-                rows += [(doc, s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                rows += [(ids[i], s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
     found = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
@@ -437,9 +479,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 500) -> Da
 
     Null text counts as empty; documents shorter than ``length`` keep all. Extra columns are ignored.
     """
-    found, used = repeated_spans(docs, length, most=most)
-    spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
-    discard(*used)
+    with tidy_shuffles(docs.sparkSession):
+        found, used = repeated_spans(docs, length, most=most)
+        spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
+        discard(*used)
 
     kind = dict(docs.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -467,6 +510,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 500) -> Da
 
 
 def op9_suffix(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all of ``documents``."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
