@@ -41,9 +41,9 @@ def at_least(c: Column, floor: float) -> Column:
     return F.when(c < floor, F.lit(floor)).otherwise(c)
 
 
-def den(c: Column) -> Column:
+def den(c: Column, floor: float = 1e-9) -> Column:
     """A denominator kept away from zero with its sign; zero counts as positive."""
-    return at_least(F.abs(c), 1e-9) * F.when(c == 0, 1.0).otherwise(F.signum(c))
+    return at_least(F.abs(c), floor) * F.when(c == 0, 1.0).otherwise(F.signum(c))
 
 
 def clip(c: Column, lo: Column | float, hi: Column | float) -> Column:

@@ -79,11 +79,11 @@ def ts_sum(stage, x, w):
 
 
 @op("ts", 1, "window", half)
-def ts_rank(stage, x, w):
+def ts_rank(stage, x, w, least=None):
     seen = stage(F.collect_list(x).over(W(w)))
     below = F.size(F.filter(seen, lambda v: v < x))
     ties = F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(seen) >= half(w)), (below + (ties + 1) / 2.0) / F.size(seen))
+    return F.when(x.isNotNull() & (F.size(seen) >= (least or half(w))), (below + (ties + 1) / 2.0) / F.size(seen))
 
 
 @op("ts", 1, "window", half)
@@ -113,11 +113,11 @@ def ts_cov(stage, x, y, w):
     return gate(F.covar_samp(both(x, y), both(y, x)).over(W(w)), F.count(both(x, y)).over(W(w)), half3(w))
 
 
-@op("ts", 1, "window", half3)
+@op("ts", 1, "window", half)
 def ts_slope(stage, x, w):
     t = F.col("t").cast("double")
     top = F.avg(x * t).over(W(w)) - F.avg(x).over(W(w)) * F.avg(t).over(W(w))
-    return gate(top / at_least(F.var_samp(x).over(W(w)), 1e-12), F.count(x).over(W(w)), half3(w))
+    return gate(top / at_least(F.var_samp(x).over(W(w)), 1e-12), F.count(x).over(W(w)), half(w))
 
 
 @op("ts", 1, "delay")
@@ -228,15 +228,15 @@ def ts_iqr(stage, x, w):
     return gate(F.percentile(x, 0.75).over(W(w)) - F.percentile(x, 0.25).over(W(w)), F.count(x).over(W(w)), half3(w))
 
 
-@op("ts", 1, "window", half)
+@op("ts", 1, "window", half3)
 def ts_winsor(stage, x, w):
-    m, s = ts_mean(stage, x, w), ts_std(stage, x, w)
+    m, s = rolled(F.avg, x, w, half3(w)), rolled(F.stddev_samp, x, w, half3(w))
     return clip(x, m - 3 * s, m + 3 * s)
 
 
 @op("ts", 2, "window", lambda w: max(3, w))
 def ts_rank_corr(stage, x, y, w):
-    return ts_corr(stage, stage(ts_rank(stage, x, w)), stage(ts_rank(stage, y, w)), w, max(3, w))
+    return ts_corr(stage, stage(ts_rank(stage, x, w, half3(w))), stage(ts_rank(stage, y, w, half3(w))), w, max(3, w))
 
 
 @op("ts", 1, "window")
@@ -248,34 +248,28 @@ def ts_streak(stage, x, w):
     return clip(s * length, -float(w), float(w))
 
 
-def moments(cols: list[Column], w: int) -> Callable[..., Column]:
-    ok = [both(c, *cols) for c in cols]
-
-    def mean(*which: int) -> Column:
-        p = ok[which[0]]
-        for i in which[1:]:
-            p = p * ok[i]
-        return F.avg(p).over(W(w))
-
-    return mean
+def mean_of(w: int, *factors: Column) -> Column:
+    """Rolling mean of a product over the rows where its own factors are present."""
+    product = factors[0]
+    for f in factors[1:]:
+        product = product * f
+    return F.avg(product).over(W(w))
 
 
 @op("ts", 2, "window", lambda w: max(4, w // 2))
 def ts_coskew(stage, x, y, w):
-    m = moments([x, y], w)
-    mx, my = m(0), m(1)
-    top = m(0, 0, 1) - 2 * mx * m(0, 1) - my * m(0, 0) + 2 * mx * mx * my
-    sx, sy = F.stddev_samp(both(x, y)).over(W(w)), F.stddev_samp(both(y, x)).over(W(w))
-    return gate(top / at_least(sx * sx * sy, 1e-18), F.count(both(x, y)).over(W(w)), max(4, w // 2))
+    m = lambda *c: mean_of(w, *c)
+    top = m(x, x, y) - 2 * m(x) * m(x, y) - m(y) * m(x, x) + 2 * m(x) * m(x) * m(y)
+    sx, sy = (F.stddev_samp(u).over(W(w)) for u in (x, y))
+    return gate(top / at_least(sx * sx * sy, 1e-18), F.count(x * y).over(W(w)), max(4, w // 2))
 
 
 @op("ts", 3, "window", lambda w: max(4, w // 2))
 def ts_triple_corr(stage, x, y, z, w):
-    m = moments([x, y, z], w)
-    a, b, c = m(0), m(1), m(2)
-    top = m(0, 1, 2) - a * m(1, 2) - b * m(0, 2) - c * m(0, 1) + 2 * a * b * c
-    s = [F.stddev_samp(both(u, x, y, z)).over(W(w)) for u in (x, y, z)]
-    return gate(top / den(s[0] * s[1] * s[2]), F.count(both(x, y, z)).over(W(w)), max(4, w // 2))
+    m = lambda *c: mean_of(w, *c)
+    top = m(x, y, z) - m(x) * m(y, z) - m(y) * m(x, z) - m(z) * m(x, y) + 2 * m(x) * m(y) * m(z)
+    sx, sy, sz = (F.stddev_samp(u).over(W(w)) for u in (x, y, z))
+    return gate(top / den(sx * sy * sz, 1e-18), F.count(x * y * z).over(W(w)), max(4, w // 2))
 
 
 # --- cross sections ----------------------------------------------------------------------------------------------

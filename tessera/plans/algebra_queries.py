@@ -48,8 +48,8 @@ def _floor(v: str, m: str) -> str:
     return f"(CASE WHEN ({v}) < {m} THEN {m} ELSE ({v}) END)"
 
 
-def _den(v: str) -> str:
-    return f"({_floor(f'abs({v})', '1e-9')} * CASE WHEN ({v}) = 0 THEN 1.0 ELSE sign({v}) END)"
+def _den(v: str, least: str = "1e-9") -> str:
+    return f"({_floor(f'abs({v})', least)} * CASE WHEN ({v}) = 0 THEN 1.0 ELSE sign({v}) END)"
 
 
 def _clip(v: str, lo: str, hi: str) -> str:
@@ -80,20 +80,15 @@ def _rank(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER w >= 5 THEN (len(list_filter({held}, lambda v: v < {x})) + (len(list_filter({held}, lambda v: v = {x})) + 1) / 2.0) / len({held}) END"
 
 
-def _moment(over: str, *cols: str) -> str:
-    return f"(avg(CASE WHEN {over} IS NOT NULL THEN {' * '.join(cols)} END) OVER w)"
+def _m(*cols: str) -> str:
+    return f"(avg({' * '.join(cols)}) OVER w)"
 
 
-def _sd(over: str, c: str) -> str:
-    return f"(stddev_samp(CASE WHEN {over} IS NOT NULL THEN {c} END) OVER w)"
-
-
-_m2 = lambda *c: _moment(_PAIR, *c)
-_m3 = lambda *c: _moment(_ALL, *c)
-_coskew = f"({_m2('x', 'x', 'y')} - 2 * {_m2('x')} * {_m2('x', 'y')} - {_m2('y')} * {_m2('x', 'x')} + 2 * {_m2('x')} * {_m2('x')} * {_m2('y')}) / {_floor(f'{_sd(_PAIR, chr(120))} * {_sd(_PAIR, chr(120))} * {_sd(_PAIR, chr(121))}', '1e-18')}"
+_s = {c: f"(stddev_samp({c}) OVER w)" for c in "xyz"}
+_coskew = f"({_m('x', 'x', 'y')} - 2 * {_m('x')} * {_m('x', 'y')} - {_m('y')} * {_m('x', 'x')} + 2 * {_m('x')} * {_m('x')} * {_m('y')}) / {_floor(f'{_s[chr(120)]} * {_s[chr(120)]} * {_s[chr(121)]}', '1e-18')}"
 _triple = (
-    f"({_m3('x', 'y', 'z')} - {_m3('x')} * {_m3('y', 'z')} - {_m3('y')} * {_m3('x', 'z')} - {_m3('z')} * {_m3('x', 'y')} + 2 * {_m3('x')} * {_m3('y')} * {_m3('z')})"
-    f" / {_den(f'{_sd(_ALL, chr(120))} * {_sd(_ALL, chr(121))} * {_sd(_ALL, chr(122))}')}"
+    f"({_m('x', 'y', 'z')} - {_m('x')} * {_m('y', 'z')} - {_m('y')} * {_m('x', 'z')} - {_m('z')} * {_m('x', 'y')} + 2 * {_m('x')} * {_m('y')} * {_m('z')})"
+    f" / {_den(' * '.join(_s.values()), '1e-18')}"
 )
 
 
