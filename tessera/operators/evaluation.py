@@ -144,22 +144,6 @@ def factor_correlations(panel: DataFrame, factors: list[str], step: int, least:
     return long.select("p.*").where(F.col("x").isNotNull() & (F.col("n") >= least)).groupBy("a", "b").agg(F.avg("x").alias("corr"), F.count("*").alias("days"))
 
 
-def permutation_null(valid: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """Rows (factor, rep, mean_ic) with factor values dealt anew within each day, by a hash of (rep, t, symbol, seed).
-
-    The pairing of ranks is what a permutation changes, so ranks are taken once and dealt by position.
-    """
-    ranked = pooled(valid).withColumn("rf", average_rank(F.col("f"), "factor", "t")).withColumn("rr", average_rank(F.col("fwd"), "factor", "t"))
-    each = ranked.select("factor", "t", "symbol", "rf", "rr", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    day = Window.partitionBy("factor", "rep", "t")
-    # The r-th name by hash gets the rank of the r-th name by symbol.
-    dealt = each.withColumn("a", F.row_number().over(day.orderBy("symbol"))).withColumn("b", F.row_number().over(day.orderBy(F.xxhash64("rep", "t", "symbol", F.lit(seed)), "symbol")))
-    left = dealt.select("factor", "rep", "t", F.col("a").alias("p"), "rf")
-    right = dealt.select("factor", "rep", "t", F.col("b").alias("p"), "rr")
-    daily = left.join(right, ["factor", "rep", "t", "p"]).groupBy("factor", "rep", "t").agg(correlation(F.col("rf"), F.col("rr")).alias("ic"))
-    return daily.groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
-
-
 def two_sided(z: Column) -> Column:
     """erfc(|z| / sqrt 2). Spark has no erfc; this runs over a row for each factor."""
 
@@ -171,14 +155,6 @@ def two_sided(z: Column) -> Column:
     return F.udf(erfc, "double")(z)
 
 
-def permutation_test(valid: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
-    """Rows (factor, real_mean, null_mean, null_std, reps, z, p): the mean rank IC against ``permutation_null``; z and p are null if that does not vary."""
-    real = rank_ic(valid).groupBy("factor").agg(F.avg("ic").alias("real_mean"))
-    null = permutation_null(valid, reps, seed).groupBy("factor").agg(F.avg("mean_ic").alias("null_mean"), F.stddev_pop("mean_ic").alias("null_std"), F.count("mean_ic").alias("reps"))
-    z = F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std"))
-    return real.join(null, "factor").withColumn("z", z).withColumn("p", two_sided(F.col("z")))
-
-
 def bootstrap_test(ic: DataFrame, reps: int = 2000, block: int = 6, seed: int = 7) -> DataFrame:
     """Rows (factor, real_mean, null_mean, se, reps, z, p): z is the mean over the standard error of ``block_bootstrap``, null under 10 days or without variance."""
     real = ic.groupBy("factor").agg(F.avg("ic").alias("real_mean"), F.stddev_pop("ic").alias("std"), F.count("*").alias("n"))
@@ -192,7 +168,7 @@ def block_bootstrap(ic: DataFrame, reps: int = 2000, block: int = 6, seed: int =
     d = ic.withColumn("i", F.row_number().over(Window.partitionBy("factor").orderBy("t")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("factor")))
     draws = d.select("factor", "n").distinct().select("factor", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     draws = draws.select("factor", "n", "rep", F.explode(F.expr(f"sequence(0, cast(ceil(n / {block}) as int) - 1)")).alias("j"))
-    start = F.pmod(F.xxhash64("rep", "j", F.lit(seed)), F.col("n"))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
     picks = draws.select("factor", "n", "rep", "j", start.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("m")).where(F.col("j") * block + F.col("m") < F.col("n"))
     picks = picks.select("factor", "rep", F.pmod(F.col("s") + F.col("m"), F.col("n")).cast("int").alias("i"))
     return picks.join(d.select("factor", "i", "ic"), ["factor", "i"]).groupBy("factor", "rep").agg(F.avg("ic").alias("mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Wt, average_rank, correlation, finite
-from .evaluation import MIN_POOL, pooled, rank_ic
+from .evaluation import MIN_POOL, pooled, rank_ic, two_sided
 from .ledger import signature_similarity
 
 
@@ -53,9 +53,9 @@ def rolled_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
 
 
 def null_test(real: DataFrame, null: DataFrame) -> DataFrame:
-    """Rows (factor, real_mean, null_mean, null_std, reps, z, above): above is the share of repetitions at least as large, the real one counted."""
+    """Rows (factor, real_mean, null_mean, null_std, reps, z, above, p): above is the share of repetitions at least as large, the real one counted; p belongs to z, on both sides."""
     g = null.join(real, "factor").groupBy("factor", "real_mean").agg(F.avg("mean_ic").alias("null_mean"), F.stddev_pop("mean_ic").alias("null_std"), F.count("mean_ic").alias("reps"), F.sum((F.col("mean_ic") >= F.col("real_mean")).cast("int")).alias("k"))
-    return g.select("factor", "real_mean", "null_mean", "null_std", "reps", F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std")).alias("z"), ((F.col("k") + 1) / (F.col("reps") + 1)).alias("above"))
+    return g.select("factor", "real_mean", "null_mean", "null_std", "reps", F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std")).alias("z"), ((F.col("k") + 1) / (F.col("reps") + 1)).alias("above")).withColumn("p", two_sided(F.col("z")))
 
 
 def mean_rank_ic(valid: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def tail_metrics(block: DataFrame, cost_bps: float = 10.0, least: int = 10) -> D
 
 def selection_signature(block: DataFrame, width: int = 32) -> DataFrame:
     """Rows (factor, sig): by position the least MD5 of (position, t, name) over all selections."""
-    picks = block.select("factor", F.concat_ws(":", F.col("t").cast("string"), F.explode("held")).alias("key"))
+    picks = block.select("factor", "t", F.explode("held").alias("s")).select("factor", F.concat_ws(":", F.col("t").cast("string"), "s").alias("key"))
     return picks.groupBy("factor").agg(F.array(*[F.min(drawn(i, F.col("key"))) for i in range(width)]).alias("sig"))
 
 

@@ -87,8 +87,7 @@ QUERIES = {
     "series_products": lambda s, d: rounded(S.product_series(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
     "series_positions": lambda s, d: rounded(S.positions(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
     "continuous": lambda s, d: rounded(S.continuous(contracts(s, d))),
-    "permutation_null": lambda s, d: rounded(E.permutation_test(valid(s, d))),
-    "block_bootstrap": lambda s, d: rounded(E.bootstrap_test(daily(s, d))),
+    "block_bootstrap": lambda s, d: rounded(E.bootstrap_test(daily(s, d)).drop("p")),
     "simulate": simulated,
     "bars_week": lambda s, d: rounded(bars(s, d), 9),
 }
@@ -169,4 +168,9 @@ ORACLES = {
     "series_products": f"{_DAY} SELECT symbol, t, date, round(z * fwd, {D}) AS p FROM z WHERE t % 20 = 0 AND z * fwd IS NOT NULL",
     "series_positions": f"""{_DAY}, p AS (SELECT symbol, t, date, CAST(sign(f) AS DOUBLE) AS pos, fwd FROM z WHERE t % 20 = 0 AND fwd IS NOT NULL AND f IS NOT NULL), q AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (ORDER BY t), 0)) AS turn FROM p)
       SELECT symbol, t, date, pos, turn, round(pos * fwd - turn * 2.0 / 1e4, {D}) AS net FROM q""",
+    "block_bootstrap": f"""{_VALUED}, b AS (SELECT factor, max(n) AS n, rep, unnest(range(CAST(ceil(max(n) / 6) AS BIGINT))) AS j FROM seq, (SELECT unnest(range(2000)) AS rep) GROUP BY factor, rep),
+      s AS (SELECT factor, rep, n, j, unnest(range(6)) AS m, CAST('0x' || substr(md5(concat_ws(':', '7', rep, j)), 1, 8) AS BIGINT) % n AS s FROM b), p AS (SELECT factor, rep, (s + m) % n AS i FROM s WHERE j * 6 + m < n),
+      r AS (SELECT p.factor, rep, avg(ic) AS mean FROM p JOIN seq USING (factor, i) GROUP BY ALL), g AS (SELECT factor, avg(mean) AS null_mean, stddev_samp(mean) AS se, count(*) AS reps FROM r GROUP BY 1),
+      w AS (SELECT factor, avg(ic) AS real_mean, stddev_pop(ic) AS std, count(*) AS n FROM ic GROUP BY 1)
+      SELECT factor, {_R('real_mean')}, {_R('null_mean')}, {_R('se')}, reps, round(CASE WHEN n >= 10 AND std > 0 AND se > 0 THEN real_mean / se END, {D}) AS z FROM w JOIN g USING (factor)""",
 }

@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tessera.operators import evaluation as E
+from tessera.operators import inference as I
 from tessera.operators.series import simulate
 from tessera.sources.panel import Source, densify, from_wide, load, probe, validate
 
@@ -74,8 +75,9 @@ def test_null_tests_give_z_and_p(spark):
     rng = np.random.default_rng(5)
     rows = [(k, t, dt.date(2020, 1, 1) + dt.timedelta(t), f"s{i}", float(f), float(f * (k == "good") + 3 * e)) for k in ("good", "noise") for t in range(12) for i, (f, e) in enumerate(rng.normal(size=(40, 2)))]
     cells = spark.createDataFrame(rows, "factor string, t int, date date, symbol string, f double, fwd double")
-    got = {r.factor: r for r in E.permutation_test(cells).collect()}
-    means = {k: [r.mean_ic for r in E.permutation_null(cells, 200).where(f"factor = '{k}'").collect()] for k in got}
+    null = I.permuted_ic(cells, 200, 42)
+    got = {r.factor: r for r in I.null_test(I.mean_rank_ic(cells), null).collect()}
+    means = {k: [r.mean_ic for r in null.where(f"factor = '{k}'").collect()] for k in got}
     for k, r in got.items():
         z = (r.real_mean - np.mean(means[k])) / np.std(means[k])
         assert r.reps == 200 and abs(r.z - z) < 1e-9 and abs(r.p - math.erfc(abs(z) / math.sqrt(2))) < 1e-12

@@ -32,7 +32,8 @@ def expected(name, p, w):
     if name == "ts_rank_corr":
         n = max(3, w // 2)
         r = [f.rolling(w, min_periods=n).rank(pct=True) for f in (x, y)]
-        return r[0].rolling(w, min_periods=max(3, w)).corr(r[1])
+        varies = [f.rolling(w, min_periods=max(3, w)).max() - f.rolling(w, min_periods=max(3, w)).min() > 1e-12 for f in (r[0].where(r[1].notna()), r[1].where(r[0].notna()))]
+        return r[0].rolling(w, min_periods=max(3, w)).corr(r[1]).where(varies[0] & varies[1])  # pandas gives noise where a window is constant
     n = max(4, w // 2)
     if name == "ts_coskew":
         top = m(x * x * y, n) - 2 * m(x, n) * m(x * y, n) - m(y, n) * m(x * x, n) + 2 * m(x, n) ** 2 * m(y, n)
