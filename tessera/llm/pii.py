@@ -36,7 +36,7 @@ GATE = {
 }
 #: Spellings that the base patterns miss; groups of one pass over the text.
 RELAXED = (
-    r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++"
     r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"
     r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])"
 )
@@ -195,16 +195,21 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by ``<KIND>``; other columns and their order stay. doc_id must be unique."""
-    spans = find_pii(docs).where("size(spans) > 0").select("doc_id", F.expr("array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))").alias("_spans"))
+    """The documents with each span replaced by ``<KIND>``; other columns and their order stay.
+
+    Rows are handled one by one, so repeated and null doc_ids need nothing; null text stays null.
+    """
+    found = find_pii(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
+    marks = "array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
     cut = F.expr(
-        """case when _spans is null then text else aggregate(_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        f"""case when size(spans) = 0 then doc_id.text else aggregate({marks}, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, s) -> case when s.start < a.at then a else named_struct('at', s.end, 'out',
-            concat(a.out, array(substr(text, a.at + 1, s.start - a.at), concat('<', upper(s.kind), '>')))) end,
-        a -> concat(array_join(a.out, ''), substr(text, a.at + 1))) end"""
+            concat(a.out, array(substr(doc_id.text, a.at + 1, s.start - a.at), concat('<', upper(s.kind), '>')))) end,
+        a -> concat(array_join(a.out, ''), substr(doc_id.text, a.at + 1))) end"""
     )
-    joined = docs.join(spans, "doc_id", "left").withColumn("text", cut)
-    return joined.select(*[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    own = lambda c: F.col("doc_id").getField(c)
+    rows = found.withColumn("cut", cut)
+    return rows.select(*[F.col("cut").alias(c) if c == "text" else F.length("cut").cast(t).alias(c) if c == "n_chars" else own(c).alias(c) for c, t in docs.dtypes])
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
