@@ -60,10 +60,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """Pairs ``(doc_id, item_id, windows, matched, coverage, slots, consistent)`` of documents that hold an item.
 
     ``coverage``: the share of the item's windows that the document has along consistent runs. Items of fewer words
-    than ``window`` are one window; items without words, and null texts, match nothing. Repeated items give a pair each.
+    than ``window`` are one window; items without words, null texts and null item_ids match nothing. Of several texts under
+    one item_id each is searched for; the pair shows the one covered best. Repeated rows count once, a null doc_id is an id.
     ``consistent``: the share of a run's slot values of the item that the document fills with one value each.
     """
-    items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+    items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    # Each text is an item of its own until the end.
+    items = items.withColumn("item_id", F.struct("item_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("which")))
     lengths = items.select(F.least(F.size(tokens()), F.lit(window)).alias("n")).where("n > 0").distinct()
     sizes = sorted(r.n for r in lengths.collect())  # at most ``window`` numbers
     if not sizes:
@@ -90,15 +93,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     )
     side = F.broadcast(totals) if count <= BROADCAST_WINDOWS else totals
     found = pairs.join(side, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
-    return found.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "windows", "matched", "coverage", "slots", "consistent")
+    found = found.where(F.col("coverage") >= coverage).select("doc_id", "item_id.item_id", F.struct("coverage", "matched", "windows", "slots", "consistent").alias("best"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("best").alias("b")).select("doc_id", "item_id", "b.windows", "b.matched", "b.coverage", "b.slots", "b.consistent")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; columns stay."""
     found = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*docs.columns)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All pairs of ``documents`` and ``benchmark`` items they hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
