@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import materialize
+from .common import fresh_name, materialize
 
 # The words of the hand-written transducers.
 INSULT = "idiot idiots moron morons loser losers scum stupid clown pathetic worthless trash disgusting dumb jerk".split()
@@ -43,21 +43,94 @@ def terms(words: list[str]) -> set[str]:
     return {*words, *(w[:k] + "-" for w in words for k in STEMS if len(w) > k)}
 
 
+class Transducer:
+    """A weighted finite-state transducer over word classes. Arcs: (state, class) -> (next state, weight); a class without an arc stays, at weight 1.
+
+    ``ends``: what a state gives a clause that stops there, as (factor, bonus).
+    """
+
+    def __init__(self, start, arcs: dict, ends: dict | None = None):
+        self.start, self.arcs, self.ends = start, arcs, ends or {}
+
+    def step(self, state, kind: str):
+        return self.arcs.get((state, kind), (state, 1.0))
+
+    def end(self, state) -> tuple[float, float]:
+        return self.ends.get(state, (1.0, 0.0))
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both in one: it runs in pairs of states that can be reached, weights multiply, factors multiply and bonuses add."""
+        start = (self.start, other.start)
+        arcs, ends, todo, seen = {}, {}, [start], {start}
+        while todo:
+            pair = todo.pop()
+            (f, x), (g, y) = self.end(pair[0]), other.end(pair[1])
+            ends[pair] = (f * g, x + y)
+            for kind in CLASSES:
+                (p, v), (q, w) = self.step(pair[0], kind), other.step(pair[1], kind)
+                arcs[pair, kind] = ((p, q), v * w)
+                if (p, q) not in seen:
+                    seen.add((p, q))
+                    todo.append((p, q))
+        return Transducer(start, arcs, ends)
+
+
+#: Word classes: insult, threat, target, negation, report, quotation mark, end of a clause, any other.
+CLASSES = "IHTNRQE-"
+
+
+def negation() -> Transducer:
+    """Counts down three words from a negation; an insult met meanwhile weighs less."""
+    arcs = {(n, k): (max(0, n - 1), NEGATED if k == "I" and n else 1.0) for n in range(4) for k in "IHTR-"}
+    return Transducer(0, arcs | {(n, "N"): (3, 1.0) for n in range(4)} | {(n, "E"): (0, 1.0) for n in range(4)})
+
+
+def speech() -> Transducer:
+    """Reported (until the clause ends) or quoted (until the next mark): either makes an insult weigh less."""
+    arcs = {}
+    for reported in (False, True):
+        for quoted in (False, True):
+            s = (reported, quoted)
+            arcs |= {(s, "R"): ((True, quoted), 1.0), (s, "Q"): ((reported, not quoted), 1.0), (s, "E"): ((False, quoted), 1.0), (s, "I"): (s, REPORTED if reported or quoted else 1.0)}
+    return Transducer((False, False), arcs)
+
+
+def directed() -> Transducer:
+    """A target makes a clause's insults weigh more; a threat that is not negated and a target add one."""
+    arcs, ends = {}, {}
+    for target in (False, True):
+        for threat in (False, True):
+            for left in range(4):
+                s = (target, threat, left)
+                down = max(0, left - 1)
+                arcs |= {(s, k): ((target, threat, down), 1.0) for k in "IR-"}
+                arcs |= {(s, "T"): ((True, threat, down), 1.0), (s, "H"): ((target, threat or not left, down), 1.0), (s, "N"): ((target, threat, 3), 1.0), (s, "E"): ((False, False, 0), 1.0)}
+                ends[s] = (DIRECTED if target else 1.0, 1.0 if target and threat else 0.0)
+    return Transducer((False, False, 0), arcs, ends)
+
+
 class Grammar:
-    """The composed transducers. ``insults``: weight by word or stem."""
+    """Negation, reported speech, target and threat composed into one transducer, behind the insult lexicon that puts words into classes.
+
+    ``insults``: weight by word or stem. States are numbered; a step is a look-up in ``table``.
+    """
 
     def __init__(self, insults: dict[str, float]):
         self.insults = {**dict.fromkeys(INSULT, 2.0), **insults}
         self.marks = {**{w: "T" for w in TARGET}, **{w: "N" for w in NEGATION}, **{w: "R" for w in REPORT}}
         self.threats = frozenset(THREAT)
         self.memory: dict[str, tuple[float, str]] = {}
+        whole = negation().compose(speech()).compose(directed())
+        number = {s: i for i, s in enumerate([whole.start, *(s for s in whole.ends if s != whole.start)])}
+        self.table = [{k: (number[whole.arcs[s, k][0]], whole.arcs[s, k][1]) for k in CLASSES} for s in number]
+        self.ends = [whole.ends[s] for s in number]
 
     def read(self, w: str) -> tuple[float, str]:
         """The insult weight of a word and its mark."""
         got = self.memory.get(w)
         if got is None:
             weight = max([self.insults.get(w, 0.0), *(self.insults.get(w[:k] + "-", 0.0) for k in STEMS if len(w) > k)])
-            got = (weight, "I" if weight > 0 else "H" if w in self.threats else self.marks.get(w, ""))
+            got = (weight, "I" if weight > 0 else "H" if w in self.threats else self.marks.get(w, "-"))
             if len(self.memory) > 300_000:
                 self.memory.clear()
             self.memory[w] = got
@@ -65,27 +138,19 @@ class Grammar:
 
     def clauses(self, text: str) -> Iterator[float]:
         """The weight of each matched clause."""
-        total, negated, reported, quoted, target, threat = 0.0, 0, False, False, False, False
+        table, state, total = self.table, 0, 0.0
         for w in [*WORD.findall(text.lower()), "."]:
             if w[0] in ".!?;\n":
-                if total or (threat and target):
-                    total = total * (DIRECTED if target else 1.0) + (1.0 if threat and target else 0.0)
-                    yield total
-                total, negated, reported, target, threat = 0.0, 0, False, False, False
-                continue
-            if w in '"“”«»':
-                quoted = not quoted
-                continue
-            weight, mark = self.read(w)
-            if mark == "I":
-                total += weight * (NEGATED if negated else 1.0) * (REPORTED if reported or quoted else 1.0)
-            elif mark == "H":
-                threat = threat or not negated
-            elif mark == "T":
-                target = True
-            elif mark == "R":
-                reported = True
-            negated = 3 if mark == "N" else max(0, negated - 1)
+                factor, bonus = self.ends[state]
+                if total or bonus:
+                    yield total * factor + bonus
+                state, total = table[state]["E"][0], 0.0
+            elif w in '"“”«»':
+                state = table[state]["Q"][0]
+            else:
+                weight, kind = self.read(w)
+                state, share = table[state][kind]
+                total += weight * share
 
     def features(self, text: str | None) -> list[float]:
         found = list(self.clauses(text or ""))
@@ -94,8 +159,11 @@ class Grammar:
         return [1.0, math.log1p(total), max(found, default=0.0), math.log1p(len(found)), total / n]
 
 
-def learned(df: DataFrame, least: int = 3, most: int = 20_000) -> dict[str, float]:
-    """Insult weights from rows (text, toxic): terms in ``least`` toxic documents or more whose smoothed log-odds exceed 2."""
+def learned(df: DataFrame, least: int = 3) -> dict[str, float]:
+    """Insult weights from rows (text, toxic): terms in ``least`` toxic documents or more whose smoothed log-odds exceed 2.
+
+    All such terms come to the driver: the sample of labelled documents bounds them, not the corpus.
+    """
     total = df.agg(F.sum("toxic"), F.count("*")).first()
     pos, neg = int(total[0] or 0), int(total[1] - (total[0] or 0))
     if not pos or not neg:
@@ -104,7 +172,7 @@ def learned(df: DataFrame, least: int = 3, most: int = 20_000) -> dict[str, floa
     stems = F.expr("array_distinct(concat(w," + ",".join(f"transform(filter(w, x -> length(x) > {k}), x -> concat(left(x, {k}), '-'))" for k in STEMS) + "))")
     counted = df.select("toxic", words.alias("w")).select("toxic", F.explode(stems).alias("term")).groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
-    best = counted.where(F.col("p") >= least).withColumn("odds", odds).where("odds > 2 and p > 4 * n").orderBy(F.desc("odds"), "term").limit(most)
+    best = counted.where(F.col("p") >= least).withColumn("odds", odds).where("odds > 2 and p > 4 * n")
     return {r.term: min(4.0, r.odds / 2) for r in best.collect()}
 
 
@@ -144,9 +212,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     return learned(rows), weights.tolist()
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataFrame:
-    """``docs`` with a column ``score`` from 0 to 1, from the text alone."""
+def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1, from the text alone. A column of that name must not be there yet."""
     insults, weights = model
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
 
     @pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -155,16 +225,17 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataF
             x = np.array([grammar.features(t) for t in s]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-    return docs.withColumn("score", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below the threshold; columns stay."""
-    scored = score(docs.withColumnRenamed("score", "_score"), train(docs, labels)).where(F.col("score") < threshold)
-    return scored.drop("score").withColumnRenamed("_score", "score").select(*docs.columns)
+    """The documents scored below the threshold; columns stay, whatever their names. Repeated rows stay too, null texts count as empty."""
+    name = fresh_name(docs, "score")
+    return score(docs, train(docs.select("doc_id", "text"), labels), name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
