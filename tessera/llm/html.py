@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,16 +33,19 @@ UNLIKELY = re.compile(
 )
 LIKELY = re.compile(r"article|body|content|entry|hentry|main|page|post|story|text", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[^<]+|<(?![a-zA-Z/])|<(?=/[^a-zA-Z]|/\Z)""", re.S)
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # a tag with an unclosed quotation mark ends at the first >
+CONTAINER = frozenset("div section ul ol dl table aside nav header footer form article main center figure details menu".split())
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "kids", "drop", "score", "text", "links")
+    __slots__ = ("tag", "name", "parent", "kids", "drop", "named", "score", "text", "links")
 
     def __init__(self, tag: str, parent: Node | None, name: str = "", drop: bool = False):
         self.tag, self.parent, self.name, self.drop = tag, parent, name, drop
+        self.named = False  # dropped for its name alone
         self.kids: list[Node | str] = []
         self.score, self.text, self.links = 0.0, 0, 0
 
@@ -49,13 +53,21 @@ class Node:
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed paragraphs, items and cells end where the next begins; stray end tags are ignored."""
     root = node = Node("html", None)
-    at, n = 0, len(page)
+    at, n, opened, mains = 0, len(page), Counter(), []
+
+    def leave(up: Node) -> Node:
+        """Close what is open below ``up``."""
+        x = node
+        while x is not up:
+            opened[x.tag] -= 1
+            x = x.parent
+        return up
+
     while at < n:
-        m = TOKEN.match(page, at)
-        if not m:  # an unclosed quotation mark: read the sign as text
-            node.kids.append(page[at])
-            at += 1
-            continue
+        m = TOKEN.match(page, at) or BROKEN.match(page, at)
+        if not m:  # a tag that never ends: the rest is text
+            node.kids.append(html.unescape(page[at:]))
+            break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -63,43 +75,61 @@ def parse(page: str) -> Node:
                 node.kids.append(html.unescape(m[0]))
             continue
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up.parent)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             up = node
-            while up is not None and up.tag not in ("p", "table", "td", "th", "button"):
+            while up.tag not in ("p", "table", "td", "th", "button") and up.parent is not None:
                 up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
-        if tag in SELF_CLOSING:
+            if up.tag == "p":
+                node = leave(up.parent)
+        if tag in SELF_CLOSING and any(opened[x] for x in SELF_CLOSING[tag]):
             up = node
-            while up is not None and up.tag not in SELF_CLOSING[tag] and up.tag not in SCOPE[tag]:
+            while up.tag not in SELF_CLOSING[tag] and up.tag not in SCOPE[tag] and up.parent is not None:
                 up = up.parent
-            if up is not None and up.tag in SELF_CLOSING[tag]:
-                node = up.parent
+            if up.tag in SELF_CLOSING[tag]:
+                node = leave(up.parent)
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in ATTR.findall(m[3])} if m[3].strip() else {}
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         if tag == "header":
-            inside = node
-            while inside is not None and inside.tag not in ("article", "main"):
-                inside = inside.parent
-            hidden = hidden or inside is None
+            hidden = hidden or not (opened["article"] or opened["main"])
         main = tag in ("article", "main")
-        drop = tag in DROPPED or hidden or attrs.get("role", "").lower() in ROLES or bool(name and not main and UNLIKELY.search(name))
+        unlikely = bool(name and tag in CONTAINER and UNLIKELY.search(name))
+        drop = tag in DROPPED or hidden or attrs.get("role", "").lower() in ROLES
         new = Node(tag, node, name, drop)
+        if main and not unlikely:
+            mains.append(new)
+        elif unlikely and not drop and not main:
+            new.drop = new.named = True
         node.kids.append(new)
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID:
             node = new
+            opened[tag] += 1
+    # Where every article lies in parts dropped for their names, the names mislead: what holds an article stays.
+    seen: set[int] = set()
+    held = []
+    for new in mains:
+        up, some = new, []
+        while up is not None and id(up) not in seen:
+            seen.add(id(up))
+            some += [up] if up.drop else []
+            up = up.parent
+        if up is None and not some:
+            return root
+        held += some
+    for up in held:
+        if up.named:
+            up.drop = False
     return root
 
 
@@ -168,7 +198,7 @@ def main_text(page: str | None) -> str:
     least = max(10.0, 0.2 * best.score)
     beside = [k for k in best.parent.kids if isinstance(k, Node) and not k.drop]
     alike = lambda k: k.score + (0.2 * best.score if k.name and k.name == best.name else 0) >= least
-    prose = lambda k: k.tag == "p" and k.text > 80 and k.links < 0.25 * k.text
+    prose = lambda k: k.tag == "p" and best.tag not in ("article", "main") and k.links <= 0.25 * k.text
     return " ".join(blocks([k for k in beside if k is best or alike(k) or prose(k)]))
 
 
@@ -184,4 +214,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all of ``pages``."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
