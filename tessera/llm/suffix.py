@@ -367,33 +367,57 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def split_blocks(docs: DataFrame, blocks: DataFrame, width: int, into: int, length: int = LENGTH) -> DataFrame:
-    """Rows ``(doc_id, at, key, context, asks)``: blocks of ``width`` start positions that end at ``at``, cut into blocks of ``into``."""
-    wanted = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", "asks")).alias("places"))
+def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Rows ``(doc_id, pick, key, asks, kinds, start, piece)``: the bytes of the contexts of picks ``(doc_id, at, key, asks, kinds)``. The only time texts meet picks."""
+    width = window_of(length)
+    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", "asks", "kinds")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                ids, texts, places = batch.slice(a, 100).columns
-                of, rows = [], []
-                for i, (t, ps) in enumerate(zip(texts, places)):
+            for a in range(0, batch.num_rows, 200):
+                ids, texts, found = batch.slice(a, 200).columns
+                of, out = [], []
+                for i, (t, ps) in enumerate(zip(texts, found)):
                     raw = (t.as_py() or "").encode()
                     for p in ps.as_py():
-                        for j in range(-(-width // into)):
-                            last = p["at"] - j * into
-                            end = last - into + 1 + length
-                            if last < 0 or end > len(raw):
-                                continue
-                            core = xxhash.xxh3_64_intdigest(raw[last:end], (p["key"] + j) % (1 << 64))
-                            whole = int.from_bytes(_digest(raw[max(0, last - into + 1) : last + length], min(last, into)), "little", signed=True)
-                            of.append(i)
-                            rows.append((last, core - (1 << 63), whole, p["asks"]))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-                at, key, ctx, asks = (pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else ((),) * 4, kinds))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), at, key, ctx, asks], ["doc_id", "at", "key", "context", "asks"])
-
-    joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, at int, key long, context long, asks boolean")
+                        start = max(0, p["at"] - width + 1)
+                        of.append(i)
+                        out.append((p["at"], p["key"], p["asks"], p["kinds"], start, raw[start : p["at"] + length]))
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*out) if out else ((),) * 6, kinds)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *cols], ["doc_id", "pick", "key", "asks", "kinds", "start", "piece"])
+
+    joined = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places")
+    return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, pick int, key long, asks boolean, kinds long, start int, piece binary")
+
+
+def split_blocks(hot: DataFrame, width: int, into: int, length: int = LENGTH) -> DataFrame:
+    """Rows ``(doc_id, at, pick, key, context, asks)``: blocks of ``width`` start positions that end at ``at``, cut into blocks of ``into``.
+
+    ``hot`` has (doc_id, at, pick, key, asks) and the piece of the pick, with its start.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                ids, *cols = batch.slice(a, 2_000).columns
+                of, rows = [], []
+                for i, (at, pick, key, asks, start, piece) in enumerate(zip(*[c.to_pylist() for c in cols])):
+                    for j in range(-(-width // into)):
+                        last = at - j * into
+                        end = last - into + 1 + length
+                        if last < 0 or end - start > len(piece):
+                            continue
+                        core = xxhash.xxh3_64_intdigest(piece[last - start : end - start], (key + j) % (1 << 64))
+                        whole = _digest(piece[max(0, last - into + 1) - start : last + length - start], min(last, into))
+                        of.append(i)
+                        rows.append((last, pick, core - (1 << 63), int.from_bytes(whole, "little", signed=True), asks))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                made = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else ((),) * 5, kinds)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *made], ["doc_id", "at", "pick", "key", "context", "asks"])
+
+    kind = dict(hot.dtypes)["doc_id"]
+    return hot.select("doc_id", "at", "pick", "key", "asks", "start", "piece").mapInArrow(cut, f"doc_id {kind}, at int, pick int, key long, context long, asks boolean")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 2_000, most: int = 500) -> tuple[DataFrame, list[DataFrame]]:
@@ -406,11 +430,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
     picked = materialize(find_picks(docs, length), "picks")
     # Written before they are joined: a join right after an aggregation is one that Spark does not split at a hot key.
     keys = materialize(picked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    blocks = materialize(picked.join(keys, "key").withColumn("asks", F.lit(True)), "again")
+    blocks = materialize(picked.join(keys, "key").withColumn("asks", F.lit(True)).withColumn("pick", F.col("at")), "again")
     discard(picked, keys)
     used, spans, few = [blocks], [], []
+    pieces = None
     for into in (*(w for w in WIDTHS if w < width), 0):
-        one = F.min(F.struct("doc_id", "at", "asks")).alias("one")
+        one = F.min(F.struct("doc_id", "at", "pick", "asks")).alias("one")
         contexts = materialize(blocks.groupBy("key", "context").agg(F.count("*").alias("n"), one), "contexts")
         # Contexts met more than once: every string in them repeats.
         many = blocks.where("asks").join(contexts.where("n > 1").select("key", "context"), ["key", "context"])
@@ -419,40 +444,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
         asking = F.max(F.expr("n = 1 and one.asks")).alias("asking")
         mixed = contexts.groupBy("key").agg(F.count("*").alias("kinds"), asking).where("kinds > 1 and asking").select("key", "kinds")
         mixed = materialize(mixed, "mixed")
-        reps = contexts.join(mixed, "key").select("key", "one.doc_id", "one.at", F.expr("n = 1 and one.asks").alias("asks"), "kinds", F.lit(width).alias("width"))
-        reps = materialize(reps, "reps")
+        reps = contexts.join(mixed, "key").select("key", "one.doc_id", "one.at", "one.pick", F.expr("n = 1 and one.asks").alias("asks"), "kinds")
+        if pieces is None:
+            pieces = materialize(cut_pieces(docs, reps, length), "pieces")
+            used.append(pieces)
+            found = pieces.withColumn("at", F.col("pick"))
+            pieces = pieces.where(F.col("kinds") > most)  # all that later rounds look at
+        else:
+            found = materialize(reps.join(pieces.select("doc_id", "pick", "start", "piece"), ["doc_id", "pick"]), "split")
+            used.append(found)
         discard(mixed)
-        used += [contexts, reps]
-        few.append(reps.where(F.col("kinds") <= most) if into else reps)
-        hot = reps.where(F.col("kinds") > most)
+        used.append(contexts)
+        begin = F.greatest(F.col("at") - width + 1, F.lit(0))
+        own = F.expr(f"substring(piece, greatest(at - {width - 1}, 0) - start + 1, at + {length} - greatest(at - {width - 1}, 0))")
+        last = found.where(F.col("kinds") <= most) if into else found
+        few.append(last.select("key", "doc_id", begin.alias("start"), (F.col("at") - begin).alias("pick"), "asks", own.alias("piece")))
+        hot = found.where(F.col("kinds") > most)
         if not into or hot.isEmpty():
             break
-        blocks = materialize(split_blocks(docs, hot, width, into, length), "blocks")
+        blocks = materialize(split_blocks(hot, width, into, length), "blocks")
         used.append(blocks)
         width = into
     asked = few[0]
     for more in few[1:]:
         asked = asked.unionByName(more)
     shards = max(1, -(-asked.count() // shard_contexts))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                ids, texts, places = batch.slice(a, 200).columns
-                of, out = [], []
-                for i, (t, ps) in enumerate(zip(texts, places)):
-                    raw = (t.as_py() or "").encode()
-                    for p in ps.as_py():
-                        start = max(0, p["at"] - p["width"] + 1)
-                        of.append(i)
-                        out.append((p["key"] % shards, start, p["at"] - start, p["asks"], raw[start : p["at"] + length]))
-                cols = zip(*out) if out else ((), (), (), (), ())
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                shard, start, pick, asks, piece = (pa.array(list(c), k) for c, k in zip(cols, kinds))
-                yield pa.RecordBatch.from_arrays([shard, ids.take(pa.array(of, pa.int64())), start, pick, asks, piece], ["shard", "doc_id", "start", "pick", "asks", "piece"])
-
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "width", "key", "asks")).alias("places"))
-    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, f"shard long, doc_id {kind}, start int, pick int, asks boolean, piece binary")
+    shard = F.pmod(F.col("key"), F.lit(shards)).alias("shard")
+    asked = asked.select(shard, "doc_id", "start", "pick", "asks", "piece")
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable")
@@ -468,7 +486,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
                 rows += [(ids[i], s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
-    found = pieces.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
+    found = asked.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
     for more in spans:
         found = found.unionByName(more.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")))
     return found, used
