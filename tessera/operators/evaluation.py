@@ -106,7 +106,7 @@ def shift_placebo(panel: DataFrame, factors: list[str], horizon: int, step: int,
 
 def top_k(valid: DataFrame, k_frac: float = 0.2, least: int = 8, cost_bps: float = 10.0) -> DataFrame:
     """Rows (factor, t, date, k, gross, turn, net): mean return of the best k over the pool, turnover against the last traded day, cost on both sides."""
-    d = pooled(valid, least).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * k_frac).cast("int")))
+    d = pooled(valid, least).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * k_frac).cast("int")))
     d = d.withColumn("rn", F.row_number().over(Window.partitionBy("factor", "t").orderBy(F.desc("f"), "symbol")))
     top = F.col("rn") <= F.col("k")
     day = d.groupBy("factor", "t", "date", "k").agg((F.avg(F.when(top, F.col("fwd"))) - F.avg("fwd")).alias("gross"), F.array_sort(F.collect_list(F.when(top, F.col("symbol")))).alias("held"))

@@ -105,7 +105,7 @@ ranked AS (SELECT *, (rank() OVER (PARTITION BY factor, t ORDER BY f) + (count(*
     (rank() OVER (PARTITION BY factor, t ORDER BY fwd) + (count(*) OVER (PARTITION BY factor, t, fwd) - 1) / 2.0) / n AS rr FROM pooled),
 ic AS (SELECT factor, t, date, corr(rf, rr) AS ic FROM ranked GROUP BY ALL HAVING stddev_samp(rf) * stddev_samp(rr) > 0),
 seq AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY factor) AS n FROM ic),
-picked AS (SELECT *, greatest(1, CAST(round(n * 0.2) AS INTEGER)) AS k, row_number() OVER (PARTITION BY factor, t ORDER BY f DESC, symbol) AS rn
+picked AS (SELECT *, greatest(1, CAST(round_even(n * 0.2, 0) AS INTEGER)) AS k, row_number() OVER (PARTITION BY factor, t ORDER BY f DESC, symbol) AS rn
   FROM (SELECT *, count(*) OVER (PARTITION BY factor, t) AS n FROM valid) WHERE n >= 8),
 held AS (SELECT factor, t, date, k, avg(fwd) FILTER (rn <= k) - avg(fwd) AS gross, list(symbol) FILTER (rn <= k) AS held FROM picked GROUP BY factor, t, date, k),
 turned AS (SELECT *, lag(held) OVER (PARTITION BY factor ORDER BY t) AS prev FROM held),
