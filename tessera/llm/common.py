@@ -100,6 +100,18 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(name, was)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Queries run inside send at most ``rows`` rows at once to a Python worker, which bounds what a worker and its JVM hold of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 @contextmanager
 def without_cycles():
     """For code that makes many small objects and no cycles: the collector would walk large stores again and again."""

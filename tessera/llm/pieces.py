@@ -22,6 +22,9 @@ BORDER = re.compile(r"(?<=[^\W_])[\W_]|(?<=[\W_]).", re.S)
 CHUNK = re.compile("\n[^▁\n]*|▁+[^▁\n]*")
 
 
+CACHE = 200_000
+
+
 class Pieces:
     """A merge-type vocabulary: an agenda of adjacent symbol pairs, best score first, then leftmost.
 
@@ -31,7 +34,7 @@ class Pieces:
     ``check`` compares new chunks with the library, batch by batch.
     """
 
-    def __init__(self, path: str, check: bool = True, cache: int = 200_000):
+    def __init__(self, path: str, check: bool = True, cache: int = CACHE):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -186,9 +189,9 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str, check: bool) -> Pieces:
+def loaded(path: str, check: bool, cache: int = CACHE) -> Pieces:
     """One vocabulary for each worker process: what it has learned serves the tasks that follow."""
-    return Pieces(path, check)
+    return Pieces(path, check, cache)
 
 
 def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
@@ -206,12 +209,15 @@ def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
 
 
-def encoded_digests(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
-    """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``. Null text counts as empty; rows are independent."""
+def encoded_digests(docs: DataFrame, path: str, check: bool = True, cache: int = CACHE) -> DataFrame:
+    """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``. Null text counts as empty; rows are independent.
+
+    ``cache``: how many chunks a worker remembers; fewer cost time and save memory, and give the same rows.
+    """
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = loaded(path, check)
+        pieces = loaded(path, check, cache)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for s in batches:
             with without_cycles():

@@ -131,7 +131,7 @@ class Grammar:
         if got is None:
             weight = max([self.insults.get(w, 0.0), *(self.insults.get(w[:k] + "-", 0.0) for k in STEMS if len(w) > k)])
             got = (weight, "I" if weight > 0 else "H" if w in self.threats else self.marks.get(w, "-"))
-            if len(self.memory) > 300_000:
+            if len(self.memory) > 100_000:
                 self.memory.clear()
             self.memory[w] = got
         return got
