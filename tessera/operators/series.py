@@ -7,31 +7,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Wt
+from ..functions import Wt, finite
 
 
 def continuous(contracts: DataFrame) -> DataFrame:
     """One adjusted series from rows (contract, date, o, h, l, c, v, oi): each day the contract of most open interest.
 
-    At a roll, earlier prices are not touched; later ones are scaled by the ratio of the old to the new contract's
-    last close so far. Ties in open interest go to the first contract by name. The calendar of one instrument is one
-    task's work.
+    A day without open interest goes by volume, one without either keeps the contract of the day before; ties go to the
+    first contract by name. At a roll, earlier prices are not touched; later ones are scaled by the ratio of the old to
+    the new contract's last close so far. ``close2`` is the runner-up's close on the same scale. Fails if the first day
+    has nothing to choose by, or a roll no closes above zero. The days of one instrument are one task's work.
     """
-    day = Window.partitionBy("date")
-    back = Window.partitionBy("contract").orderBy("date")
-    days = contracts.select("date").distinct()
-    grid = contracts.select("contract").distinct().crossJoin(F.broadcast(days)).join(contracts, ["contract", "date"], "left")
-    grid = grid.withColumn("seen", F.last("c", ignorenulls=True).over(back))
-    grid = grid.withColumn("rn", F.row_number().over(day.orderBy(F.col("oi").desc_nulls_last(), F.col("v").desc_nulls_last(), "contract")))
-    lead = grid.where("rn = 1").select("date", F.col("contract").alias("main"))
-    lead = lead.withColumn("before", F.lag("main", 1).over(Window.orderBy("date")))
-    old = grid.select("date", F.col("contract").alias("before"), F.col("seen").alias("old_close"))
-    new = grid.where("rn = 1").select("date", "o", "h", "l", "c", "v", "oi", F.col("seen").alias("new_close"))
-    j = lead.join(new, "date").join(old, ["date", "before"], "left")
-    rolled = F.col("before").isNotNull() & (F.col("before") != F.col("main"))
-    j = j.withColumn("roll", rolled).withColumn("g", F.when(rolled, F.ln(F.try_divide(F.col("old_close"), F.col("new_close")))))
-    j = j.withColumn("factor", F.exp(F.coalesce(F.sum("g").over(Window.orderBy("date")), F.lit(0.0))))
-    return j.select("date", F.col("main").alias("contract"), "roll", "factor", *[(F.col(p) * F.col("factor")).alias(p) for p in "ohlc"], "v", "oi")
+    day, path = Window.partitionBy("date"), Window.orderBy("date")
+    rows = contracts.select("contract", F.col("date").cast("date").alias("date"), *[finite(F.col(k).cast("double")).alias(k) for k in ("o", "h", "l", "c", "v", "oi")]).where("date is not null")
+    rows = rows.withColumn("basis", F.when(F.count("oi").over(day) > 0, F.col("oi")).otherwise(F.col("v")))
+    rows = rows.withColumn("place", F.when(F.col("basis").isNotNull(), F.row_number().over(day.orderBy(F.desc_nulls_last("basis"), "contract"))))
+    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    days = rows.groupBy("date").agg(at(1, "contract").alias("chosen"), at(2, "c").alias("c2")).withColumn("kept", F.last("chosen", ignorenulls=True).over(path))
+    days = days.withColumn("main", F.coalesce("kept", F.raise_error(F.lit("no open interest or volume to choose the first contract by")).cast("string")))
+    days = days.withColumn("before", F.lag("main", 1).over(path)).withColumn("roll", F.coalesce(F.col("before") != F.col("main"), F.lit(False)))
+
+    # The last close so far is asked for on roll days alone: the questions stand among the rows of their contract.
+    asked = days.where("roll").select("date", F.explode(F.array("before", "main")).alias("contract"), F.lit(None).cast("double").alias("c"), F.lit(True).alias("asked"))
+    told = rows.select("date", "contract", "c", F.lit(False).alias("asked")).unionByName(asked)
+    told = told.withColumn("seen", F.last("c", ignorenulls=True).over(Window.partitionBy("contract").orderBy("date"))).where("asked")
+    of = lambda k, name: told.select("date", F.col("contract").alias(k), F.col("seen").alias(name))
+    j = days.join(of("before", "old"), ["date", "before"], "left").join(of("main", "new"), ["date", "main"], "left")
+    priced = F.when((F.col("old") > 0) & (F.col("new") > 0), F.ln(F.col("old") / F.col("new"))).otherwise(F.raise_error(F.lit("a roll without two closes above zero")).cast("double"))
+    j = j.withColumn("g", F.when(F.col("roll"), priced).otherwise(0.0)).withColumn("factor", F.exp(F.sum("g").over(path)))
+    j = j.join(rows.select("date", F.col("contract").alias("main"), "o", "h", "l", "c", "v", "oi"), ["date", "main"], "left")
+    return j.select("date", F.col("main").alias("contract"), "roll", "factor", *[(F.col(p) * F.col("factor")).alias(p) for p in "ohlc"], "v", "oi", (F.col("c2") * F.col("factor")).alias("close2"))
 
 
 def rolling_z(x: Column, window: int = 250, least: int = 60) -> Column:
@@ -55,57 +60,72 @@ def positions(panel: DataFrame, factor: str, horizon: int, cost_bps: float = 2.0
     return d.select("symbol", "t", "date", "pos", "turn", (F.col("pos") * F.col("fwd") - F.col("turn") * cost_bps / 1e4).alias("net"))
 
 
+LEDGER = "strategy string, t int, equity double, ret double, turnover double, fees double, slippage double, trades int"
 
-LEDGER = "strategy string, t int, equity double, ret double, turnover double, fees double"
 
-
-def simulate(weights: DataFrame, panel: DataFrame, cash: float = 1e6, commission_bps: float = 2.5, slippage_bps: float = 5.0, interest: float = 0.0, per_year: int = 252) -> DataFrame:
+def simulate(weights: DataFrame, panel: DataFrame, cash: float = 1e6, commission_bps: float = 2.5, slippage_bps: float = 5.0, interest: float = 0.015, per_year: int = 252, leverage: float = 1.0) -> DataFrame:
     """Account ledger of each strategy from target weights (strategy, t, symbol, weight).
 
-    Targets of a close are traded at the next open; locked (h = l), unlisted or unpriced names wait. Sales come first,
-    then purchases, scaled to the cash there is. Each strategy's path depends on its own past, so it is one group; many
-    strategies run side by side. A strategy's rows are its bars, which one task must hold.
+    The weights of a close are the targets of the next open; a name without a weight is to be sold, on a bar without
+    any weights all are. Locked (h = l), unlisted or unpriced names keep what is held, and are tried again as long as
+    a later target differs. Sales come first, then purchases, scaled to the cash there is. Amounts are paid at prices
+    with slippage, so a sale of all that is held goes a little below zero, and the next bar makes it good. Turnover
+    counts one side; ``ret`` of the first bar is null. Weights below zero, or with a sum over ``leverage``, fail.
+    Each strategy's path depends on its own past, so it is one group; many strategies run side by side. A strategy's
+    rows are its bars, which one task must hold.
     """
     bars = panel.select("t", "symbol", "o", "h", "l", "c", "listed")
-    names = weights.select("strategy", "symbol").distinct()
-    rows = names.join(bars, "symbol").join(weights, ["strategy", "t", "symbol"], "left")
+    rows = weights.select("strategy", "symbol").distinct().join(bars, "symbol").join(weights, ["strategy", "t", "symbol"], "left")
+    fee, slip = commission_bps / 1e4, slippage_bps / 1e4
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         wide = {k: frame.pivot(index="t", columns="symbol", values=k).sort_index() for k in ("o", "h", "l", "c", "listed", "weight")}
         o, h, lo, c, w = (wide[k].to_numpy(float) for k in ("o", "h", "l", "c", "weight"))
-        listed = wide["listed"].fillna(False).to_numpy(bool)
-        times = wide["c"].index.to_numpy()
-        units, last, money = np.zeros(o.shape[1]), np.zeros(o.shape[1]), cash
-        fee, slip = commission_bps / 1e4, slippage_bps / 1e4
-        out, before, target = [], cash, None
-        for i in range(len(times)):
-            paid = traded = 0.0
-            if i and not np.isnan(w[i - 1]).all():
-                target = np.nan_to_num(w[i - 1])
-            if target is not None:
-                can = listed[i] & np.isfinite(o[i]) & (o[i] > 0) & (h[i] != lo[i])
-                price = np.where(can, o[i], np.where(last > 0, last, 0.0))
-                worth = money + float((units * price).sum())
-                want = np.where(can, target * worth / np.where(price > 0, price, 1.0), units)
-                step = want - units
-                sells = np.minimum(step, 0)
-                got = -(sells * price).sum() * (1 - slip)
-                paid += got * fee
-                money += got - got * fee
-                buys = np.maximum(step, 0)
-                need = (buys * price).sum() * (1 + slip) * (1 + fee)
-                scale = min(1.0, max(0.0, money) / need) if need > 0 else 0.0
-                spent = (buys * price).sum() * (1 + slip) * scale
-                paid += spent * fee
-                money -= spent * (1 + fee)
-                units = units + sells + buys * scale
-                traded = got + spent
-                target = None if np.array_equal(can, np.ones_like(can)) else target
+        w = np.nan_to_num(w)
+        if (w < -1e-12).any() or (w.sum(axis=1) > leverage + 1e-6).any():
+            raise ValueError(f"weights of {frame['strategy'].iloc[0]} are below zero or exceed {leverage} together")
+        open_ = np.where(wide["listed"].isna(), True, wide["listed"]).astype(bool) & np.isfinite(o) & (o > 0) & np.isfinite(h) & np.isfinite(lo) & (h != lo)
+        units, money, before = np.zeros(o.shape[1]), cash, np.nan
+        last = np.where(np.isfinite(c[0]), c[0], 0.0)
+        out = []
+        for i, t in enumerate(wide["c"].index):
+            paid = slid = traded = 0.0
+            deals = 0
+            if i:
+                can = open_[i]
+                price = np.where(can, o[i], last)
+                worth = money + float(units @ price)
+                step = np.where(can, w[i - 1] * worth - units * price, 0.0)
+                step[np.abs(step) <= 1e-9 * max(worth, 1.0)] = 0.0
+                sold, wanted = np.maximum(-step, 0.0), np.maximum(step, 0.0)
+                money += sold.sum() * (1 - fee)
+                need = wanted.sum() * (1 + fee)
+                bought = wanted * max(0.0, min(1.0, money / need)) if need > 0 else wanted
+                money -= bought.sum() * (1 + fee)
+                at = np.where(can, o[i], 1.0)
+                units = units - sold / (at * (1 - slip)) + bought / (at * (1 + slip))
+                notional = float(sold.sum() + bought.sum())
+                paid, slid = notional * fee, float(sold.sum() * slip / (1 - slip) + bought.sum() * slip / (1 + slip))
+                deals = int((sold > 0).sum() + (bought > 0).sum())
+                traded = notional / worth / 2 if worth > 0 else 0.0
             money += max(0.0, money) * interest / per_year
-            last = np.where(np.isfinite(c[i]), c[i], last)
-            equity = money + float((units * last).sum())
-            out.append((frame["strategy"].iloc[0], int(times[i]), equity, equity / before - 1, traded / before, paid))
+            last = np.where(np.isfinite(c[i]) & (c[i] > 0), c[i], last)
+            equity = money + float(units @ last)
+            out.append((frame["strategy"].iloc[0], int(t), equity, equity / before - 1, traded, paid, slid, deals))
             before = equity
-        return pd.DataFrame(out, columns=["strategy", "t", "equity", "ret", "turnover", "fees"])
+        return pd.DataFrame(out, columns=["strategy", "t", "equity", "ret", "turnover", "fees", "slippage", "trades"])
 
     return rows.select("strategy", "t", "symbol", "o", "h", "l", "c", "listed", "weight").groupBy("strategy").applyInPandas(run, LEDGER)
+
+
+def account(ledger: DataFrame, cash: float = 1e6, per_year: int = 252) -> DataFrame:
+    """By strategy: returns, volatility, Sharpe ratio (null without volatility), greatest loss from a peak, trades, turnover of the bars that trade, and costs."""
+    peak = F.max("equity").over(Window.partitionBy("strategy").orderBy("t"))
+    years, sd = (F.count("*") - 1) / F.lit(float(per_year)), F.stddev_samp("ret")
+    first, last = F.min_by("equity", "t"), F.max_by("equity", "t")
+    return ledger.withColumn("loss", 1 - F.col("equity") / peak).groupBy("strategy").agg(
+        last.alias("final_equity"), (last / cash - 1).alias("total_return"), F.when((years > 0) & (first > 0), F.pow(last / first, 1 / F.when(years > 0, years)) - 1).otherwise(0.0).alias("annual_return"),
+        F.coalesce(sd * per_year**0.5, F.lit(0.0)).alias("annual_vol"), F.when(sd > 0, F.avg("ret") / sd * per_year**0.5).alias("sharpe"), F.max("loss").alias("max_drawdown"),
+        F.sum("trades").alias("trades"), F.count(F.when(F.col("turnover") > 0, 1)).alias("trade_bars"), F.coalesce(F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))), F.lit(0.0)).alias("turnover"),
+        F.sum("fees").alias("fees"), F.sum("slippage").alias("slippage"),
+    )

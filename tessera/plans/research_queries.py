@@ -58,12 +58,19 @@ def contracts(spark, d):
     )
 
 
+def continued(spark, d):
+    """Prices as logarithms: the brands' prices lie so far apart that factors grow to millions, where SQL's last digits differ."""
+    j = S.continuous(contracts(spark, d))
+    return rounded(j.select("date", "contract", "roll", "v", "oi", *[F.ln(k).alias(f"ln_{k}") for k in ("factor", "o", "h", "l", "c", "close2")]))
+
+
 def simulated(spark, d):
+    """Equal weights of the ten best by momentum, kept until the next choice; and the same at half the size."""
     v = valid(spark, d).where("factor = 'momentum'")
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("f"), "symbol"))
-    w = v.withColumn("rn", rank).where("rn <= 10").select("t", "symbol", F.lit(0.1).alias("weight"))
-    w = w.crossJoin(spark.createDataFrame([("top10", 1.0), ("top10_half", 0.5)], "strategy string, share double")).select("strategy", "t", "symbol", (F.col("weight") * F.col("share")).alias("weight"))
-    return rounded(S.simulate(w, panel(spark, d)))
+    w = v.withColumn("rn", rank).where("rn <= 10").select(F.explode(F.sequence("t", F.col("t") + (STEP - 1))).alias("t"), "symbol")
+    sizes = F.explode(F.array(F.struct(F.lit("top10").alias("strategy"), F.lit(0.1).alias("weight")), F.struct(F.lit("top10_half").alias("strategy"), F.lit(0.05).alias("weight"))))
+    return S.simulate(w.select("t", "symbol", sizes.alias("s")).select("s.strategy", "t", "symbol", "s.weight"), panel(spark, d))
 
 
 QUERIES = {
@@ -86,9 +93,10 @@ QUERIES = {
     "market_beta": lambda s, d: rounded(E.market_beta(panel(s, d), 60, 60).select("symbol", "t", "beta")),
     "series_products": lambda s, d: rounded(S.product_series(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
     "series_positions": lambda s, d: rounded(S.positions(evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True), "f", 20)),
-    "continuous": lambda s, d: rounded(S.continuous(contracts(s, d))),
+    "continuous": continued,
     "block_bootstrap": lambda s, d: rounded(E.bootstrap_test(daily(s, d)).drop("p")),
-    "simulate": simulated,
+    "simulate": lambda s, d: rounded(simulated(s, d)),
+    "account": lambda s, d: rounded(S.account(simulated(s, d))),
     "bars_week": lambda s, d: rounded(bars(s, d), 9),
 }
 
@@ -119,6 +127,13 @@ f AS (SELECT *, c / lag(c, 20) OVER s - 1 AS f, lead(c, 20) OVER s / lead(c, 1)
 z AS (SELECT *, CASE WHEN count(f) OVER w >= 60 THEN (f - avg(f) OVER w) / stddev_samp(f) OVER w END AS z FROM f WINDOW w AS (ORDER BY t ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))
 """
 ORACLES = {
+    "continuous": f"""WITH k AS (SELECT p_brand AS contract, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) AS o, max(l_extendedprice / l_quantity) AS h, min(l_extendedprice / l_quantity) AS l, avg(l_extendedprice / l_quantity) AS c,
+        CAST(count(*) AS DOUBLE) AS v, CAST(sum(l_quantity) AS DOUBLE) AS oi FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY oi DESC, contract) AS place FROM k),
+      d AS (SELECT date, max(contract) FILTER (place = 1) AS main, max(c) FILTER (place = 2) AS c2 FROM r GROUP BY 1), b AS (SELECT *, lag(main) OVER (ORDER BY date) AS before FROM d),
+      s AS (SELECT b.*, coalesce(before <> main, false) AS roll, p.c AS old, q.c AS new FROM b ASOF LEFT JOIN k p ON p.contract = b.before AND b.date >= p.date ASOF LEFT JOIN k q ON q.contract = b.main AND b.date >= q.date),
+      f AS (SELECT *, exp(sum(CASE WHEN roll THEN ln(old / new) ELSE 0 END) OVER (ORDER BY date)) AS factor FROM s)
+      SELECT f.date, main AS contract, roll, v, oi, round(ln(factor), {D}) AS ln_factor, {', '.join(f'round(ln({x} * factor), {D}) AS ln_{x}' for x in 'ohlc')}, round(ln(c2 * factor), {D}) AS ln_close2 FROM f JOIN k ON k.date = f.date AND k.contract = f.main""",
     "panel_week": f"WITH {PANEL_SQL} SELECT symbol, t, date, {', '.join(f'round({c}, 9) AS {c}' for c in ('o', 'h', 'l', 'c', 'v', 'amount'))}, listed FROM panel",
     "bars_week": f"WITH {PANEL_SQL} SELECT symbol, date, {', '.join(f'round({c}, 9) AS {c}' for c in ('o', 'h', 'l', 'c', 'v', 'amount'))} FROM bars",
     "panel_holes": f"""WITH {PANEL_SQL}, s AS (SELECT symbol, min(t) FILTER (c IS NOT NULL) AS a, max(t) FILTER (c IS NOT NULL) AS b, count(*) AS n, count(c) AS k FROM panel GROUP BY 1)
