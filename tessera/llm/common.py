@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -112,6 +114,15 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(name, was)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end; workers are kept and would hold the most they ever needed."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)
+
+
 @contextmanager
 def without_cycles():
     """For code that makes many small objects and no cycles: the collector would walk large stores again and again."""

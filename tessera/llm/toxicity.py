@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh_name, materialize
+from .common import fresh_name, give_back, materialize
 
 # The words of the hand-written transducers.
 INSULT = "idiot idiots moron morons loser losers scum stupid clown pathetic worthless trash disgusting dumb jerk".split()
@@ -224,6 +224,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], name: st
         for s in batches:
             x = np.array([grammar.features(t) for t in s]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
+        del grammar
+        give_back()
 
     return docs.withColumn(name, scored("text"))
 
