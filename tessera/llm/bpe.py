@@ -6,7 +6,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Generations, slices, without_cycles
+from .common import Generations, kept, slices, without_cycles
 
 
 WIDE = 1 << 20
@@ -122,10 +121,9 @@ class TokenCounter:
         return [sum([now[c] for c in h]) for h in held]
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> TokenCounter:
     """One counter for each worker process: what it has learned serves the tasks that follow."""
-    return TokenCounter(path)
+    return kept(("tokens", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

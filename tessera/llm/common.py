@@ -123,6 +123,25 @@ def give_back() -> None:
         getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What this worker process keeps from task to task: one thing, so that a store goes when another operator's task comes."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what another operator's tasks have left in this worker process, which Spark reuses."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        give_back()
+
+
 @contextmanager
 def without_cycles():
     """For code that makes many small objects and no cycles: the collector would walk large stores again and again."""

@@ -6,7 +6,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Generations, slices, without_cycles
+from .common import Generations, kept, slices, without_cycles
 
 SPACE = "▁"
 BORDER = re.compile(r"(?<=[^\W_])[\W_]|(?<=[\W_]).", re.S)
@@ -188,10 +187,9 @@ class Pieces:
                     raise ValueError(f"the library encodes {chunk[:80]!r} otherwise")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str, check: bool, cache: int = CACHE) -> Pieces:
     """One vocabulary for each worker process: what it has learned serves the tasks that follow."""
-    return Pieces(path, check, cache)
+    return kept(("pieces", path, check, cache), lambda: Pieces(path, check, cache))
 
 
 def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:

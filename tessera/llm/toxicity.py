@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh_name, give_back, materialize
+from .common import fresh_name, give_back, materialize, release
 
 # The words of the hand-written transducers.
 INSULT = "idiot idiots moron morons loser losers scum stupid clown pathetic worthless trash disgusting dumb jerk".split()
@@ -220,6 +220,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], name: st
 
     @pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         grammar, w = Grammar(insults), np.array(weights)
         for s in batches:
             x = np.array([grammar.features(t) for t in s]).reshape(-1, len(w))
