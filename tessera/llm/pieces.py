@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Generations, kept, slices, without_cycles
+from .common import Generations, give_back, kept, slices, without_cycles
 
 SPACE = "▁"
 BORDER = re.compile(r"(?<=[^\W_])[\W_]|(?<=[\W_]).", re.S)
@@ -207,10 +207,11 @@ def encode_decode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
 
 
-def encoded_digests(docs: DataFrame, path: str, check: bool = True, cache: int = CACHE) -> DataFrame:
+def encoded_digests(docs: DataFrame, path: str, check: bool = True, cache: int = CACHE, together: int = 4_000_000) -> DataFrame:
     """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``. Null text counts as empty; rows are independent.
 
-    ``cache``: how many chunks a worker remembers; fewer cost time and save memory, and give the same rows.
+    ``cache``: how many chunks a worker remembers; ``together``: how many characters of texts (one text at least) it encodes
+    and compares with the library at once. Less of either costs time and saves memory, and gives the same rows.
     """
 
     @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -218,10 +219,13 @@ def encoded_digests(docs: DataFrame, path: str, check: bool = True, cache: int =
         pieces = loaded(path, check, cache)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for s in batches:
-            with without_cycles():
-                rows = [(g[1], sha(g[0]), sha(g[2].encode())) for run in slices(s) for g in pieces.many(run)]
-                pieces.compare()
+            rows = []
+            for run in slices(s, together):
+                with without_cycles():
+                    rows += [(g[1], sha(g[0]), sha(g[2].encode())) for g in pieces.many(run)]
+                    pieces.compare()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.*")
 
