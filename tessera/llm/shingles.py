@@ -5,7 +5,8 @@ A text is the set of its five-word shingles. 80 min-hashes in 20 bands of 4 file
 by its exact similarity, so nothing is linked below 0.8.
 
 Hot buckets are searched as in ``simhash``: members are compared with the bucket's first document, the links found label
-the documents, and then only documents with different labels have to be compared.
+the documents, and then only documents with different labels have to be compared. Variants of one text, too far from each
+other to be linked, share most buckets all the same; which of them can be linked is found by their rare shingles (``_meeting``).
 """
 
 from __future__ import annotations
@@ -89,6 +90,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
     return pairs.join(of("a"), "a").join(of("b"), "b").where(alike("text_a", "text_b") >= least).select("a", "b")
 
 
+def _meeting(mixed: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``mixed(node, n, label, size)`` with different labels, all those of a similarity of ``least`` or more among them.
+
+    Sets of x and y shingles that are so similar share o = least / (1 + least) * (x + y) at least. Only shingles that
+    documents of other labels have too can be shared: where one set has u of them, in an order that is the same for all,
+    the pair shares one among the first u - o + 1 of either. Rare shingles come first, so few pairs do; the rest cannot be similar.
+    """
+
+    @pandas_udf("array<long>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t, words).view(np.int64) for t in texts], dtype="object")
+        give_back()
+
+    some = mixed.select(F.col("node").alias("doc_id"), "label")
+    some = F.broadcast(some) if some.count() <= BROADCAST else some
+    held = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("doc_id").alias("node"), "label", parts("text").alias("h"))
+    held = materialize(held.select("node", "label", F.explode("h").alias("h")), "held").repartition("h")
+    shared = held.groupBy("h").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h", "k")
+    own = held.select("node", "h").join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("order"))
+    own = own.join(mixed, "node").withColumn("u", F.size("order").cast("long"))
+    first = F.col("u") - F.ceil(least * F.col("n") - 1e-6) + 1  # the longest start that any partner asks for
+    own = own.where(first > 0).select("node", "n", "label", "size", "u", F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "x"))
+    own = materialize(own.select("node", "n", "label", "size", "u", "at", F.col("x.h").alias("h")), "starts")
+
+    groups = own.groupBy("h").agg(F.max(F.struct("size", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    own = own.drop("size").join(groups.where("lo <> hi").select("h", F.col("main.label").alias("main")), "h")
+    left = own.where("label <> main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "u", "at")])
+    right = own.select("h", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "u", "at")])
+    o = F.ceil(least / (1 + least) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+    met = left.join(right, (left.h == right.h) & (F.col("label_x") != F.col("label_y")) & (F.col("at_x") <= F.col("u_x") - o) & (F.col("at_y") <= F.col("u_y") - o))
+    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """Rows ``(doc_id, component_id)``: component_id is the smallest doc_id that links reach, the document's own included.
 
@@ -117,12 +152,9 @@ def _near_copies(docs: DataFrame, words: int, least: float) -> DataFrame:
 
     rows = own.join(crowds.select("key"), "key").join(labels, "node", "left")
     rows = rows.select("node", "n", "key", F.coalesce("root", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-    buckets = rows.groupBy("key").agg(F.max(F.struct("size", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = materialize(rows.join(buckets.where("lo <> hi").select("key", F.col("main.label").alias("main")), "key"), "mixed")
-    left = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = mixed.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    met = left.join(right, "key").where((F.col("lx") != F.col("ly")) & fits(F.col("nx"), F.col("ny")))
-    met = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    buckets = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = materialize(rows.join(buckets, "key", "left_semi").drop("key").distinct(), "mixed")
+    met = _meeting(mixed, docs, words, least).join(stars, ["a", "b"], "left_anti")
     across = _verified(met, docs, words, least)
     roots = connected_components(links.unionByName(across)).withColumnRenamed("root", "component_id")
     return firsts.join(roots, "node", "left").select("doc_id", F.coalesce("component_id", "node").alias("component_id"))

@@ -84,6 +84,34 @@ def test_near_copies_of_five_words(spark):
     assert shingles.near_copies(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_of_many_variants(spark, monkeypatch):
+    """Variants of one text, most too far from each other to be linked: the pairs verified grow with the documents, not with their square."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(150)]
+    variants = []
+    for k in range(400):
+        t = list(variants[-1] if k % 40 == 1 else base)  # some are near another variant only
+        for _ in range((1, 2, 5, 6, 7, 8)[k % 6] if k % 40 != 1 else 1):
+            t[random.randrange(len(t))] = f"v{random.randrange(10**6)}"
+        variants.append(t)
+    texts = [" ".join(t) for t in variants]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in variants]
+    root = list(range(len(texts)))
+    alike = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    while (new := [min(root[j] for j in alike[i]) for i in range(len(texts))]) != root:
+        root = new
+    asked, verified = [], shingles._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 20 < len(set(root)) < 380
+    assert sum(asked) <= shingles.BANDS * len(texts)
+
+
 def test_decontamination(spark):
     item = "In the town of Springfield Anna buys 12 kg of apples and 7 pears before she walks back to the old mill by the river"
     again = item.replace("Anna", "Bella").replace("12", "31").replace("7", "9")
