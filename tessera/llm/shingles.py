@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands find candidates, the shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and min-hash bands find candidates, the shingle sets decide.
 
-A text is the set of its five-word shingles. 80 min-hashes in 20 bands of 4 file it under 20 keys: two sets of similarity
+A text is the set of its five-word shingles. The sets' SimHashes are searched by multi-index hashing with Hamming balls, as
+``simhash`` does, at 4 bits; each document of a component found so is compared with its first one. Sets of similarity 0.8
+differ in 10 of 64 bits on average, which no ball of that size reaches, so bands find the rest: 80 min-hashes in 20 bands of 4 file it under 20 keys: two sets of similarity
 0.8 share none of them with probability (1 - 0.8 ** 4) ** 20 = 2.6e-5, and less above. Every candidate pair is verified
 by its exact similarity, so nothing is linked below 0.8.
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from . import simhash
 from .common import give_back, materialize, release, small_batches
 from .graph import connected_components
 
@@ -53,20 +56,26 @@ def bands(s: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) - 2**63 for k in range(BANDS)], np.int64)
 
 
+def sketch(s: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a shingle set: the majority of the bits; zero for an empty set."""
+    ones = sum((np.unpackbits(s[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(s), 65536)), np.zeros(64, np.int64))
+    return int(np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64)[0])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def _filed(docs: DataFrame, words: int) -> DataFrame:
-    """Rows ``(doc_id, digest, n, keys)``: a digest of the shingle set, its size, its bands' keys."""
+    """Rows ``(doc_id, digest, n, fp, keys)``: a digest of the shingle set, its size, its SimHash, its bands' keys."""
 
-    @pandas_udf("struct<digest:string,n:long,keys:array<long>>")
+    @pandas_udf("struct<digest:string,n:long,fp:long,keys:array<long>>")
     def file(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         for texts in batches:
-            rows = [(xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), bands(s)) for s in (shingles(t, words) for t in texts)]  # one set at a time
-            yield pd.DataFrame(rows, columns=["digest", "n", "keys"])
+            rows = [(xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), sketch(s), bands(s)) for s in (shingles(t, words) for t in texts)]  # one set at a time
+            yield pd.DataFrame(rows, columns=["digest", "n", "fp", "keys"])
         give_back()
 
     return docs.select("doc_id", file("text").alias("x")).select("doc_id", "x.*")
@@ -138,12 +147,18 @@ def _near_copies(docs: DataFrame, words: int, least: float) -> DataFrame:
     filed = materialize(_filed(docs, words), "filed")
     firsts = filed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     firsts = materialize(filed.select("doc_id", "digest").join(firsts, "digest"), "firsts")
-    nodes = filed.join(firsts.where("doc_id = node").select("doc_id"), "doc_id", "left_semi")
-    own = materialize(nodes.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key")), "bands")
+    nodes = filed.join(firsts.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    own = materialize(nodes.select("node", "n", F.explode("keys").alias("key")), "bands")
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  sizes further apart cannot be so similar
 
+    prints = nodes.where("n > 0").select("node", "n", "fp")  # searched by Hamming balls; the smallest node of a component is its pivot
+    prints = materialize(prints.join(simhash.link(prints.select("fp").distinct()), "fp"), "prints")
+    pivots = prints.groupBy("root").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    balls = prints.join(pivots, "root").where((F.col("node") != F.col("p.node")) & fits(F.col("n"), F.col("p.n")))
+
     crowds = own.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     stars = own.join(crowds, "key").where((F.col("node") != F.col("p.node")) & fits(F.col("n"), F.col("p.n")))
+    stars = balls.select("node", "p").unionByName(stars.select("node", "p"))
     stars = materialize(stars.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct(), "stars")
     links = materialize(_verified(stars, docs, words, least), "links")
     labels = connected_components(links)

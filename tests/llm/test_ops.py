@@ -7,6 +7,7 @@ import pytest
 import public_tokenizers
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -112,6 +113,17 @@ def test_near_copies_of_many_variants(spark, monkeypatch):
     assert sum(asked) <= shingles.BANDS * len(texts)
 
 
+def test_near_copies_by_simhash_alone(spark, monkeypatch):
+    """Without any band, Hamming balls over the sets' SimHashes still link what is within 4 bits, and the exact similarity still decides."""
+    random.seed(10)
+    long = [f"w{random.randrange(5000)}" for _ in range(3000)]
+    texts = ["", " ".join(long), " ".join([*long[:1500], "changed", *long[1501:]]), " ".join(f"w{random.randrange(5000)}" for _ in range(3000)), "a b c"]
+    assert [shingles.sketch(shingles.shingles(t)) for t in ("", "a b")] == [0, simhash.fingerprint("a b")]
+    filed = shingles._filed
+    monkeypatch.setattr(shingles, "_filed", lambda docs, words: filed(docs, words).withColumn("keys", F.expr("cast(array() as array<long>)")))
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs_of(spark, texts)).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_decontamination(spark):
     item = "In the town of Springfield Anna buys 12 kg of apples and 7 pears before she walks back to the old mill by the river"
     again = item.replace("Anna", "Bella").replace("12", "31").replace("7", "9")
