@@ -202,6 +202,20 @@ def test_webp_round_trip():
         webp.read_webp(b"RIFF")
 
 
+def test_webp_writes_references():
+    random.seed(12)
+    words = [f"word{i} " for i in range(300)]
+    some = "".join(random.choice(words) for _ in range(900))
+    texts = ["ab" * 9000, "x" * 12288, some + some, "".join(chr(random.randrange(32, 127)) for _ in range(5000)), *["line of one text\n" * k for k in range(1, 60, 7)], ""]
+    for (stored, px, _), t in zip(webp.media_rows(texts), texts):
+        assert px.tobytes() == webp.payload_of(t)[0]
+    tiles = [webp.payload_of(t)[0][: webp.TILE] for t in texts]
+    files, plain = webp.write_tiles(tiles), webp.write_literals(tiles)
+    assert all(len(a) <= len(b) for a, b in zip(files, plain)) and len(files[0]) * 4 < len(plain[0]) and len(files[2]) < len(plain[2])
+    for f, t in zip(files, tiles):  # the pixel by pixel reader sees the same
+        assert webp.read_webp(f)[..., 1:].astype(np.uint8).tobytes() == t
+
+
 def test_webp_transforms_references_and_cache():
     """A stream put together by hand: subtract green, a colour cache, a back-reference; then the inverses one by one."""
     v, n = 0, 0
