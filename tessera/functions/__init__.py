@@ -61,6 +61,6 @@ def correlation(x: Column, y: Column, over=None) -> Column:
 
 def average_rank(x: Column, *by: str) -> Column:
     """Rank from 1 with ties averaged, within the groups ``by``; NULL for NULL."""
-    group = Window.partitionBy(*by)
-    tied = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.rank().over(group.orderBy(x.asc_nulls_last())) + (tied - 1) / 2.0)
+    group = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    tied = F.count(x).over(group.rangeBetween(Window.currentRow, Window.currentRow))  # the same sort; no exchange by value
+    return F.when(x.isNotNull(), F.rank().over(group) + (tied - 1) / 2.0)

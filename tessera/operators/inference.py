@@ -55,7 +55,7 @@ def rolled_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
 def null_test(real: DataFrame, null: DataFrame) -> DataFrame:
     """Rows (factor, real_mean, null_mean, null_std, reps, z, above, p): above is the share of repetitions at least as large, the real one counted; p belongs to z, on both sides."""
     g = null.join(real, "factor").groupBy("factor", "real_mean").agg(F.avg("mean_ic").alias("null_mean"), F.stddev_pop("mean_ic").alias("null_std"), F.count("mean_ic").alias("reps"), F.sum((F.col("mean_ic") >= F.col("real_mean")).cast("int")).alias("k"))
-    return g.select("factor", "real_mean", "null_mean", "null_std", "reps", F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std")).alias("z"), ((F.col("k") + 1) / (F.col("reps") + 1)).alias("above")).withColumn("p", two_sided(F.col("z")))
+    return g.select("factor", "real_mean", "null_mean", "null_std", "reps", F.when(F.col("null_std") > 0, (F.col("real_mean") - F.col("null_mean")) / F.col("null_std")).alias("z"), ((F.col("k") + 1) / (F.col("reps") + 1)).alias("above")).withColumn("p", two_sided("z"))
 
 
 def mean_rank_ic(valid: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ def project(r: np.ndarray) -> np.ndarray:
 
 
 def overlap_rows(trials: DataFrame, slope: float = 1.0, ambient: float = 0.0) -> DataFrame:
-    """Rows (key, row array<double>) of the matrix over ``trials(key, sig array<long>, k_frac)`` in order of key; sqrt of both shares stands for c. MOST trials at most."""
+    """Rows (key, row array<double>) of the matrix over ``trials(key, sig array, k_frac)`` in order of key; sqrt of both shares stands for c. MOST trials at most."""
+    trials = trials.withColumn("sig", F.expr("transform(sig, v -> xxhash64(v))"))  # of any type
     known = trials.select("key", "sig", "k_frac").orderBy("key").limit(MOST + 1).collect()  # bounded by MOST
     if len(known) > MOST:
         raise ValueError(f"{MOST} trials at most")
