@@ -421,11 +421,12 @@ def split_blocks(hot: DataFrame, width: int, into: int, length: int = LENGTH) ->
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int = 2_000, most: int = 500) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. doc_id must be unique.
+    """Rows ``(doc_id, a, b)``: byte spans (end exclusive) whose strings of ``length`` bytes repeat; they may overlap. One doc_id must mean one text.
 
-    Also returns the tables it reads, to discard once the rows are written.
+    A row that is there twice counts twice. Also returns the tables it reads, to discard once the rows are written.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     width = window_of(length)
     picked = materialize(find_picks(docs, length), "picks")
     # Written before they are joined: a join right after an aggregation is one that Spark does not split at a hot key.
@@ -446,7 +447,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
         mixed = materialize(mixed, "mixed")
         reps = contexts.join(mixed, "key").select("key", "one.doc_id", "one.at", "one.pick", F.expr("n = 1 and one.asks").alias("asks"), "kinds")
         if pieces is None:
-            pieces = materialize(cut_pieces(docs, reps, length), "pieces")
+            pieces = cut_pieces(docs, reps, length)
+            pieces = materialize(pieces.dropDuplicates(["doc_id", "pick", "key"]) if twice else pieces, "pieces")
             used.append(pieces)
             found = pieces.withColumn("at", F.col("pick"))
             pieces = pieces.where(F.col("kinds") > most)  # all that later rounds look at
@@ -473,8 +475,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
     asked = asked.select(shard, "doc_id", "start", "pick", "asks", "piece")
 
     def sort_shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start"], kind="stable")
-        pieces, ids, start, asks = frame["piece"].tolist(), frame["doc_id"].to_numpy(), frame["start"].to_numpy(np.int64), frame["asks"].to_numpy()
+        owner, names = pd.factorize(frame["doc_id"], sort=True)
+        frame = frame.assign(owner=owner).sort_values(["owner", "start"], kind="stable")
+        pieces, ids, start, asks = frame["piece"].tolist(), frame["owner"].to_numpy(), frame["start"].to_numpy(np.int64), frame["asks"].to_numpy()
         of, first, last = screen(pieces, frame["pick"].to_numpy(np.int64), length)
         cut = [pieces[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist())]
         flags = repeated_strings(cut, ids[of], start[of] + first, length)
@@ -483,7 +486,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
             if asks[i] and f.any():
                 s = int(start[i]) + a
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
-                rows += [(ids[i], s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                rows += [(names[ids[i]], s + a, s + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(rows, columns=["doc_id", "a", "b"])
 
     found = asked.groupBy("shard").applyInPandas(sort_shard, f"doc_id {kind}, a int, b int")
@@ -495,10 +498,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_contexts: int =
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 500) -> DataFrame:
     """Rows ``(doc_id, spans array<struct<a,b>>, kept binary, n_bytes)``: maximal removed runs, and the bytes left, of each document.
 
-    Null text counts as empty; documents shorter than ``length`` keep all. Extra columns are ignored.
+    Null text counts as empty; documents shorter than ``length`` keep all. Extra columns are ignored. Rows are known by 96
+    bits of a hash of their id and text, so ids may repeat or be null; a row that is there twice repeats itself.
     """
+    row = F.unhex(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256), 1, 24)).alias("row")
+    named = docs.select("doc_id", "text", row)
     with tidy_shuffles(docs.sparkSession):
-        found, used = repeated_spans(docs, length, most=most)
+        found, used = repeated_spans(named.select(F.col("row").alias("doc_id"), "text"), length, most=most)
         spans = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
         discard(*used)
 
@@ -521,7 +527,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = 500) -> Da
                 yield pa.RecordBatch.from_arrays([ids, pa.array(spans_, span), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "spans", "kept", "n_bytes"])
 
     text = F.coalesce("text", F.lit(""))
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    joined = named.join(spans.withColumnRenamed("doc_id", "row"), "row", "left").drop("row")
     none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     touched = joined.where("s is not null").select("doc_id", "text", "s").mapInArrow(removed, f"doc_id {kind}, spans array<struct<a:int,b:int>>, kept binary, n_bytes long")
     return touched.unionByName(joined.where("s is null").select("doc_id", none.alias("spans"), text.cast("binary").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes")))

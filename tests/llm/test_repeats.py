@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tessera.llm import audit, periodic, windows
+from tessera.llm import audit, periodic, suffix, webp, windows
 from tessera.llm.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -190,3 +190,57 @@ def test_filter_audit_odd_rows(spark):
 def test_steps_cover_all_orders():
     plan = audit.steps()
     assert len(plan) == 600 and len({o for o, *_ in plan}) == 120 and all(after == before | 1 << "ABCDE".index(f) for _, _, f, before, after in plan)
+
+
+def slow_bytes(rows, length):
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    met = Counter(r[a : a + length] for _, r in raws for a in range(len(r) - length + 1))
+    out = []
+    for i, r in raws:
+        gone = bytearray(len(r))
+        for a in range(len(r) - length + 1):
+            if met[r[a : a + length]] > 1:
+                gone[a : a + length] = b"\1" * length
+        out.append((i, len(r), sum(gone), sum(g and not p for g, p in zip(gone, b"\0" + bytes(gone))), sha(bytes(x for x, g in zip(r, gone) if not g))))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
+def byte_rows(df):
+    return sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), sha(bytes(r.kept))) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
+@pytest.mark.parametrize("most", [500, 2])
+def test_suffix_dedup_of_repeated_and_null_ids(spark, most):
+    """A unique text keeps all, whoever shares its id; rows that are there twice lose all; null ids lose what repeats."""
+    rng = random.Random(6)
+    words = [f"w{i}é" for i in range(400)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    x, y, passage = text(120), text(120), text(100)
+    rows = [(1, x), (1, y), (3, x), (None, passage + text(50)), (None, text(40) + passage), (5, text(200)), (5, None), (6, ""), (7, "a" * 1000)]
+    rows += [(i, text(30) + passage + text(30)) for i in range(10, 16)] + [rows[5]]
+    docs = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, row string, key int")
+    got = byte_rows(suffix.remove_repeats(docs, most=most))
+    assert got == slow_bytes(rows, 400)
+    assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_op9_equals_brute_force(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()]
+    found = QUERIES["op9_suffix"](spark, TABLES)
+    assert found.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(tuple, found.collect())) == slow_bytes(texts, 400)
+
+
+def test_op7_fields(spark):
+    """Every field of the contract from the payload, and the stored form read back as the payload; equal texts, equal rows."""
+    want = {}
+    for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect():
+        raw = (r.text or "").encode()
+        p = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        want[r.doc_id] = (len(raw), len(p), sha(p), zlib.crc32(p[-16:]))
+    got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in QUERIES["op7_media"](spark, TABLES).collect()}
+    assert got == want
+    docs = spark.createDataFrame([(1, "ab " * 3000), (2, "ab " * 3000), (None, None), (3, "")], "doc_id long, text string")
+    rows = webp.media(docs).collect()
+    assert all(sha(bytes(r.media)) == r.media_sha256 and len(r.media) == r.media_bytes for r in rows)
+    assert len({r.media_sha256 for r in rows}) == 2 and rows[0].feature == rows[1].feature and webp.media(docs.limit(0)).count() == 0
