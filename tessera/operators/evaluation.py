@@ -127,13 +127,18 @@ def top_k_summary(days: DataFrame, per_year: float) -> DataFrame:
     )
 
 
-def rank_autocorrelation(valid: DataFrame, lag: int) -> DataFrame:
-    """Mean correlation of ordinal ranks between t and t + lag, on names valid at both."""
-    rank = F.row_number().over(Window.partitionBy("factor", "t").orderBy("f", "symbol")).cast("double")
-    r = valid.select("factor", "t", "symbol", rank.alias("r"))
-    later = r.select("factor", (F.col("t") - lag).alias("t"), "symbol", F.col("r").alias("r2"))
-    day = r.join(later, ["factor", "t", "symbol"]).groupBy("factor", "t").agg(correlation(F.col("r"), F.col("r2")).alias("x"), F.count("*").alias("n"))
-    return day.where("x is not null and n >= 3").groupBy("factor").agg(F.avg("x").alias("autocorr"), F.count("*").alias("days"))
+def rank_autocorrelation(panel: DataFrame, factors: list[str], lag: int, step: int, ok: Column, least: int = 8, least_days: int = 5) -> DataFrame:
+    """Rows (factor, autocorr, days): mean correlation of ordinal ranks between sampled days and ``lag`` rows later, among the names tradable and valued on both.
+
+    Returns play no part. Ties go by symbol; a day needs ``least`` names, and autocorr is null under ``least_days`` days.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors]))
+    d = panel.where(ok).select("t", "symbol", pairs.alias("p")).select("p.factor", "t", "symbol", "p.f").where("f is not null")
+    later = d.select("factor", (F.col("t") - lag).alias("t"), "symbol", F.col("f").alias("g"))
+    both = d.where(F.col("t") % step == 0).join(later, ["factor", "t", "symbol"])
+    place = lambda c: F.row_number().over(Window.partitionBy("factor", "t").orderBy(c, "symbol")).cast("double")
+    day = both.withColumn("a", place("f")).withColumn("b", place("g")).groupBy("factor", "t").agg(correlation(F.col("a"), F.col("b")).alias("x"), F.count("*").alias("n"))
+    return day.where((F.col("n") >= least) & F.col("x").isNotNull()).groupBy("factor").agg(F.when(F.count("*") >= least_days, F.avg("x")).alias("autocorr"), F.count("*").alias("days"))
 
 
 def factor_correlations(panel: DataFrame, factors: list[str], step: int, least: int = MIN_POOL, block: int = 128) -> DataFrame:

@@ -5,14 +5,19 @@ Random orders come from MD5 of (seed, repetition, key), so that any engine can r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Wt, average_rank, correlation, finite
-from .evaluation import MIN_POOL, pooled, rank_ic, two_sided
-from .ledger import signature_similarity
+from ..functions import Wt, average_rank, correlation, normal
+from .evaluation import MIN_POOL, forward_return, pooled, rank_ic, two_sided
+from .ledger import deflated_t, signature_similarity
+from .residuals import plain_mask, plain_rank_ic, summed_forward
 
 
 def drawn(*parts) -> Column:
@@ -38,10 +43,27 @@ def ranked_days(valid: DataFrame) -> DataFrame:
 
 
 def permuted_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Rows (factor, rep, mean_ic): returns' ranks dealt anew among a day's names. A day is one row, so repetitions need no shuffle of cells."""
-    each = ranked_days(valid).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    dealt = F.expr(f"transform(array_sort(transform(arrays_zip(names, rr), v -> struct(md5(concat_ws(':', '{seed}', rep, t, v.names)) as k, v.rr as rr))), v -> v.rr)")
-    return each.withColumn("rr", dealt).withColumn("ic", array_corr("rf", "rr")).groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
+    """Rows (factor, rep, mean_ic): returns' ranks dealt anew among a day's names, in the order of MD5 of (seed, rep, t, name).
+
+    A day is one row: its repetitions are made inside it, and only a number for each leaves it.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for factor, t, names, rf, rr in zip(*(c.to_pylist() for c in batch.columns)):
+                rf, rr, keys = np.array(rf), np.array(rr), [n.encode() for n in names]
+                norm = np.sqrt((rf @ rf) * (rr @ rr))
+                if norm == 0:
+                    continue
+                ic = np.empty(reps)
+                for rep in range(reps):
+                    head = f"{seed}:{rep}:{t}:".encode()
+                    hashed = np.frombuffer(b"".join([md5(head + k).digest() for k in keys]), ">u8").reshape(-1, 2)
+                    ic[rep] = rf @ rr[np.lexsort((hashed[:, 1], hashed[:, 0]))]
+                yield pa.RecordBatch.from_arrays([pa.array([factor] * reps), pa.array(np.arange(reps, dtype=np.int32)), pa.array(ic / norm)], ["factor", "rep", "ic"])
+
+    made = ranked_days(valid).select("factor", "t", "names", "rf", "rr").mapInArrow(deal, "factor string, rep int, ic double")
+    return made.groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
 
 
 def rolled_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
@@ -62,19 +84,62 @@ def mean_rank_ic(valid: DataFrame) -> DataFrame:
     return rank_ic(valid).groupBy("factor").agg(F.avg("ic").alias("real_mean"))
 
 
-def day_permuted_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Rows (factor, rep, mean_ic): whole days of returns change places. A day's array of returns is joined to the factor's array of another day, by name."""
-    d = pooled(valid).groupBy("factor", "t").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "f")))).alias("f"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "fwd")))).alias("fwd"))
-    reps_ = d.select("factor", "t").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("factor", "rep")
-    moved = reps_.withColumn("i", F.row_number().over(w.orderBy("t"))).withColumn("j", F.row_number().over(w.orderBy(drawn(seed, F.col("rep"), F.col("t")), "t")))
-    pairs = moved.select("factor", "rep", F.col("i").alias("p"), "t").join(moved.select("factor", "rep", F.col("j").alias("p"), F.col("t").alias("u")), ["factor", "rep", "p"])
-    days = pairs.join(d.select("factor", "t", "f"), ["factor", "t"]).join(d.select("factor", F.col("t").alias("u"), "fwd"), ["factor", "u"])
-    cells = days.select("factor", "rep", "t", "fwd", F.explode("f").alias("symbol", "f")).withColumn("r", F.expr("fwd[symbol]")).where("r is not null").drop("fwd")
-    n = F.count("*").over(Window.partitionBy("factor", "rep", "t"))
-    cells = cells.withColumn("n", n).where(F.col("n") >= MIN_POOL)
-    ranked = cells.withColumn("a", average_rank(F.col("f"), "factor", "rep", "t")).withColumn("b", average_rank(F.col("r"), "factor", "rep", "t"))
-    return ranked.groupBy("factor", "rep", "t").agg(correlation(F.col("a"), F.col("b")).alias("ic")).groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
+def day_permutation(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, reps: int, seed: int) -> DataFrame:
+    """Rows (factor, rep, ir): mean over deviation of daily IC once whole days of returns change places; rep -1 is the true order.
+
+    All days of the calendar change places, by a hash; a sampled day's tradable values meet the returns of the day that
+    came to it, by ordinal ranks (ties by symbol) of two names or more. A day is one row of arrays over the dense panel's
+    symbols, so pairs of days meet, not cells, and ranks are taken within the row. Null under two days.
+    """
+    d = panel.withColumn("fwd", forward_return(horizon))
+    row = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("symbol", c))), lambda x: x["v"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors]))
+    values = d.where(F.col("t") % step == 0).select("t", "symbol", ok.alias("ok"), pairs.alias("p")).groupBy("p.factor", "t").agg(row(F.when(F.col("ok"), F.col("p.f")).alias("v")).alias("f"))
+    returns = d.groupBy(F.col("t").alias("u")).agg(row(F.col("fwd").alias("v")).alias("w"))
+    days = d.select("t").distinct()
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(drawn(seed, F.col("rep"), F.col("u")), "u")) - 1
+    moved = days.select(F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("t", place)
+    order = moved.select("rep", "t", "u").unionByName(days.select(F.lit(-1).alias("rep"), "t", F.col("t").alias("u"))).where(F.col("t") % step == 0)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            factor, rep, f, w = batch.columns
+            ends = [c.offsets.to_numpy() for c in (f, w)]
+            flat = [c.values.to_numpy(zero_copy_only=False).astype(float) for c in (f, w)]
+            out = np.full(batch.num_rows, np.nan)
+            for i in range(batch.num_rows):
+                x, y = (v[e[i] : e[i + 1]] for v, e in zip(flat, ends))
+                both = ~(np.isnan(x) | np.isnan(y))
+                n = int(both.sum())
+                if n >= 2:
+                    a, b = (np.argsort(np.argsort(v[both], kind="stable"), kind="stable") - (n - 1) / 2 for v in (x, y))
+                    out[i] = (a @ b) / (a @ a)
+            yield pa.RecordBatch.from_arrays([factor, rep, pa.array(out)], ["factor", "rep", "ic"])
+
+    met = order.join(values, "t").join(returns, "u").select("factor", "rep", "f", "w").mapInArrow(correlate, "factor string, rep int, ic double")
+    ic = F.when(~F.isnan("ic"), F.col("ic"))
+    return met.groupBy("factor", "rep").agg(F.when(F.count(ic) >= 2, F.try_divide(F.avg(ic), F.stddev_samp(ic))).alias("ir")).where("ir is not null")
+
+
+def alignment(irs: DataFrame, level: float = 0.01) -> DataFrame:
+    """By factor of ``day_permutation``: the true value, the null's mean, deviation and quantiles, the true one's percentile and its p.
+
+    p_upper and p_lower count the true order as one of the null; p_two is twice the lesser, 1 at most; p_align is the p
+    of the side of the null's mean on which the true value lies, and ``aligned`` whether it is below ``level``.
+    """
+    real = irs.where("rep = -1").select("factor", F.col("ir").alias("observed"))
+    null = irs.where("rep >= 0").join(real, "factor")
+    q = F.percentile("ir", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    share = lambda c: (1.0 + F.sum(c.cast("int"))) / (F.count("*") + 1.0)
+    x, o = F.col("ir"), F.col("observed")
+    g = null.groupBy("factor", "observed").agg(
+        F.count("*").alias("reps"), F.avg(x).alias("null_mean"), F.stddev_samp(x).alias("null_std"), q.alias("q"), F.avg((x < o).cast("double")).alias("below"), share(x >= o).alias("p_upper"), share(x <= o).alias("p_lower"),
+    )
+    p = F.when(F.col("observed") >= F.col("null_mean"), F.col("p_upper")).otherwise(F.col("p_lower"))
+    return g.select(
+        "factor", "observed", "reps", "null_mean", "null_std", *[F.col("q")[i].alias(k) for i, k in enumerate(("null_q5", "null_q50", "null_q95"))], (100 * F.col("below")).alias("percentile"),
+        "p_upper", "p_lower", F.least(F.lit(1.0), 2 * F.least("p_upper", "p_lower")).alias("p_two"), p.alias("p_align"), (p < level).alias("aligned"),
+    )
 
 
 def ordinal_ic(valid: DataFrame) -> DataFrame:
@@ -132,28 +197,52 @@ def selection_pairs(block: DataFrame) -> DataFrame:
     return j.select("a", "b", jac.alias("jaccard"), signature_similarity("sa", "sb").alias("signature"), (2 * jac / (1 + jac)).alias("overlap"))
 
 
-def regime_forward(horizon: int) -> Column:
-    """Log returns of the next ``horizon`` rows summed, missing ones as zero; null in the last rows and without a close."""
-    r = F.coalesce(F.ln(F.col("c")) - F.ln(F.lag("c", 1).over(Wt())), F.lit(0.0))
-    return r
-
-
-def regime_ic(panel: DataFrame, factors: list[str], regimes: DataFrame, horizon: int, step: int, ok: Column, least: int = 10) -> DataFrame:
-    """Rows (factor, regime, mean, std, n): mean ordinal rank IC of the days of a regime, null under ``least`` days."""
-    d = panel.withColumn("_lr", regime_forward(horizon))
-    over = Wt().rowsBetween(1, horizon)
-    d = d.withColumn("fwd", finite(F.exp(F.sum("_lr").over(over)) - 1)).withColumn("_k", F.count(F.lit(1)).over(over)).where(F.col("_k") == horizon)
-    d = d.where((F.col("t") % step == 0) & ok)
-    pairs = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors])
-    cells = d.select("t", "symbol", "fwd", F.explode(pairs).alias("p")).select("p.factor", "t", "symbol", "p.f", "fwd").where("f is not null and fwd is not null")
-    g = ordinal_ic(cells).join(regimes.select("t", "regime"), "t").groupBy("factor", "regime").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.count("*").alias("n"))
-    return g.select("factor", "regime", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("mean", "std")], "n")
-
-
-def u_regime(stats: DataFrame) -> DataFrame:
-    """By factor: the spread of mean ICs between regimes in units of their joint standard error."""
-    d = stats.where("mean is not null")
-    return d.groupBy("factor").agg(F.try_divide(F.max("mean") - F.min("mean"), F.try_divide(F.lit(1.0), F.sqrt(F.sum("n")))).alias("u"), F.count("*").alias("regimes"))
+def regime_days(panel: DataFrame, factors: list[str], regimes: DataFrame, horizon: int) -> DataFrame:
+    """Rows (factor, t, ic, regime): ordinal rank IC of every day with 30 bars that moved, over ``summed_forward``, and the day's regime."""
+    d = summed_forward(panel, horizon).where(plain_mask())
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors]))
+    cells = d.select("t", "symbol", "fwd", pairs.alias("p")).select("p.factor", "t", "symbol", "p.f", "fwd")
+    return plain_rank_ic(cells).join(regimes.select("t", "regime"), "t")
+
+
+def regime_ic(days: DataFrame, *by: str, least: int = 10) -> DataFrame:
+    """Rows (factor, regime, mean, std, n) of ``regime_days``, null under ``least`` days."""
+    g = days.groupBy("factor", *by, "regime").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.count("*").alias("n"))
+    return g.select("factor", *by, "regime", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("mean", "std")], "n")
+
+
+def u_regime(stats: DataFrame, *by: str) -> DataFrame:
+    """By factor: the spread of mean ICs between regimes in units of their joint standard error; null unless two regimes have a mean."""
+    d = stats.groupBy("factor", *by).agg(F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.sum(F.when(F.col("mean").isNotNull(), F.col("n"))).alias("n"), F.count("mean").alias("regimes"))
+    return d.select("factor", *by, F.when(F.col("regimes") >= 2, (F.col("hi") - F.col("lo")) * F.sqrt("n")).alias("u"), "regimes")
+
+
+def u_regime_gated(days: DataFrame, regimes: DataFrame, least_cos: float = 0.0, least_z: float = 2.0) -> DataFrame:
+    """By factor: ``u_regime`` kept only if both halves of the calendar agree on it; rows (factor, u, gate, cos, z_a, z_b).
+
+    Each half needs a mean for every regime of ``regimes``; the centred means must point one way (cosine above
+    ``least_cos``) and spread in each half by ``least_z`` standard errors. Else u is 0; gate says what failed. Where u is
+    null, so is the rest, and gate is "none". Halves divide the calendar of ``regimes``.
+    """
+    half = regimes.agg(F.expr("count(distinct t) div 2").alias("half"), F.countDistinct("regime").alias("kinds"))
+    cut = days.crossJoin(F.broadcast(half)).withColumn("side", F.when(F.col("t") < F.col("half"), "a").otherwise("b"))  # one row
+    stats = regime_ic(cut.select("factor", "t", "ic", "regime", "side"), "side")
+    means = stats.groupBy("factor", "regime").pivot("side", ["a", "b"]).agg(F.max("mean").alias("m"), F.max("n").alias("n"))
+    centre = Window.partitionBy("factor")
+    means = means.withColumn("x", F.col("a_m") - F.avg("a_m").over(centre)).withColumn("y", F.col("b_m") - F.avg("b_m").over(centre))
+    z = lambda k: (F.max(f"{k}_m") - F.min(f"{k}_m")) * F.sqrt(F.greatest(F.sum(f"{k}_n"), F.lit(1)))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    g = means.groupBy("factor").agg(F.count("a_m").alias("ka"), F.count("b_m").alias("kb"), F.sum(F.col("x") * F.col("y")).alias("xy"), norm("x").alias("nx"), norm("y").alias("ny"), z("a").alias("z_a"), z("b").alias("z_b"))
+    d = u_regime(regime_ic(days)).join(g, "factor", "left").crossJoin(F.broadcast(half))  # one row
+    cos = F.try_divide(F.col("xy"), F.col("nx") * F.col("ny"))
+    whole = F.coalesce((F.col("ka") == F.col("kinds")) & (F.col("kb") == F.col("kinds")) & (F.col("kinds") >= 2), F.lit(False))
+    gate = (
+        F.when(F.col("u").isNull(), "none").when(~whole, "too_few_days").when((F.col("nx") < 1e-12) | (F.col("ny") < 1e-12), "no_difference")
+        .when(cos <= least_cos, "direction").when((F.col("z_a") < least_z) | (F.col("z_b") < least_z), "size").otherwise("passed")
+    )
+    d = d.withColumn("gate", gate)
+    told = F.col("gate").isin("direction", "size", "passed")
+    return d.select("factor", F.when(F.col("gate").isin("passed", "none"), F.col("u")).otherwise(0.0).alias("u"), "gate", F.when(told, cos).alias("cos"), F.when(told, F.col("z_a")).alias("z_a"), F.when(told, F.col("z_b")).alias("z_b"))
 
 
 def beta_rolling(panel: DataFrame, window: int = 60, least: int = 30) -> DataFrame:
@@ -172,13 +261,27 @@ def exposure(panel: DataFrame, factors: list[str], to: str, step: int, least: in
     return rank_ic(d, least).groupBy("factor").agg(F.avg("ic").alias("exposure"), F.count("*").alias("days"))
 
 
-def region_stability(ic: DataFrame, dev_end: str, months: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3), spread: float = 0.5) -> DataFrame:
-    """By factor: mean IC before the region's end as it moves by months, and whether sign or size depends on it."""
-    ends = F.explode(F.array(*[F.lit(m) for m in months]))
-    d = ic.withColumn("off", ends).where(F.col("date") < F.add_months(F.lit(dev_end).cast("date"), F.col("off"))).groupBy("factor", "off").agg(F.avg("ic").alias("m"))
-    g = d.groupBy("factor").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.max(F.when(F.col("off") == 0, F.col("m"))).alias("base"))
+def region_stability(ic: DataFrame, dev_end: str, sel_end: str, months: tuple[int, ...] = (-3, -2, -1, 1, 2, 3), spread: float = 0.5, least: int = 10) -> DataFrame:
+    """By factor: the IC's mean over deviation before the region's end, and its range as that end moves by months; rows (factor, base, lo, hi, variants, rel_spread, verdict).
+
+    An end that would reach ``sel_end`` is held a day before it; one that is not after the first day, or leaves fewer
+    than ``least`` days, is no variant. Without variants the verdict is insufficient; it is sign_fragile if the base is
+    missing or zero or any variant has another sign, else magnitude_fragile if the range is ``spread`` of the base or more, else stable.
+    """
+    ends = F.explode(F.array(*[F.lit(m) for m in (0, *months)]))
+    d = ic.withColumn("first", F.min("date").over(Window.partitionBy("factor"))).withColumn("off", ends)
+    limit, dev = F.lit(sel_end).cast("date"), F.lit(dev_end).cast("date")
+    end = F.when(F.col("off") == 0, dev).when(F.add_months(dev, F.col("off")) >= limit, F.date_sub(limit, 1)).otherwise(F.add_months(dev, F.col("off")))
+    g = d.withColumn("end", end).where((F.col("end") > F.col("first")) | (F.col("off") == 0)).groupBy("factor", "off").agg(
+        F.count(F.when(F.col("date") < F.col("end"), 1)).alias("n"), F.avg(F.when(F.col("date") < F.col("end"), F.col("ic"))).alias("m"), F.stddev_samp(F.when(F.col("date") < F.col("end"), F.col("ic"))).alias("s")
+    )
+    g = g.withColumn("ir", F.when(F.col("s") > 0, F.col("m") / F.col("s"))).withColumn("moved", (F.col("off") != 0) & (F.col("n") >= least))
+    moved = F.when(F.col("moved"), F.col("ir"))
+    h = g.groupBy("factor").agg(F.max(F.when(F.col("off") == 0, F.col("ir"))).alias("base"), F.min(moved).alias("lo"), F.max(moved).alias("hi"), F.count(F.when(F.col("moved"), 1)).alias("variants"))
     rel = F.try_divide(F.col("hi") - F.col("lo"), F.abs("base"))
-    return g.select("factor", "lo", "hi", "base", F.when(F.signum("lo") * F.signum("hi") < 0, "sign_fragile").when(rel > spread, "magnitude_fragile").otherwise("stable").alias("verdict"))
+    same = F.coalesce((F.col("base") != 0) & (F.coalesce(F.signum("lo") == F.signum("base"), F.lit(True))) & (F.coalesce(F.signum("hi") == F.signum("base"), F.lit(True))), F.lit(False))
+    verdict = F.when(F.col("variants") == 0, "insufficient").when(~same, "sign_fragile").when(rel >= spread, "magnitude_fragile").otherwise("stable")
+    return h.select("factor", "base", "lo", "hi", "variants", rel.alias("rel_spread"), verdict.alias("verdict"))
 
 
 def series_moments(ic: DataFrame) -> DataFrame:
@@ -190,8 +293,6 @@ def series_moments(ic: DataFrame) -> DataFrame:
 
 def deflated(moments: DataFrame, bar: float, alpha: float = 0.05) -> DataFrame:
     """t of |sr| over ``bar`` with allowance for the moments, whether its one-sided p is below alpha, and how much longer the series would have to be for 1.96."""
-    from .ledger import deflated_t
-
     t = deflated_t(F.col("sr"), F.col("n"), F.col("g3"), F.col("g4"), bar)
     return moments.select("factor", "sr", "g3", "g4", "n", t.alias("t"), (t > NormalDist().inv_cdf(1 - alpha)).alias("passes"), (F.try_divide(F.lit(1.96 * 1.96), F.col("sr") * F.col("sr")) / F.col("n")).alias("length_ratio"))
 
@@ -228,13 +329,25 @@ def bucket_corr(a: DataFrame, b: DataFrame) -> DataFrame:
     return cut(a, "x").join(cut(b, "y"), ["factor", "g"]).groupBy("factor").agg(correlation(F.col("x"), F.col("y")).alias("corr"), F.count("*").alias("buckets"))
 
 
-def verdicts(stats: DataFrame, nulls: DataFrame, summary: DataFrame, exposures: DataFrame) -> DataFrame:
-    """By factor: red flags of the evaluation, whether it is accepted, and the verdict."""
-    d = stats.join(nulls.select("factor", "z"), "factor").join(summary.select("factor", "net_annual"), "factor").join(exposures.select("factor", "exposure"), "factor", "left")
+def verdicts(stats: DataFrame, nulls: DataFrame, summary: DataFrame, exposures: DataFrame, moments: DataFrame, bar: float, alpha: float = 0.05) -> DataFrame:
+    """By factor: red flags, warnings, whether the evaluation is accepted and why not, and the verdict.
+
+    Flags: ir_too_high (size above 5), few_days_for_ir (above 2 on fewer than 40 days), net_too_high (above 200 % a year),
+    under_the_bar (size below ``bar``, if that is positive). Warnings: deflated_p above ``alpha``, or no_p. The verdict is
+    needs_review with flags, without z, or with a beta of 0.3 or more; fail for z under 3; else pass. Accepted is what has
+    a z of 3 at least, no such beta (a missing one is none), 20 days and a p; ``refused`` names the first that fails.
+    """
+    d = stats.join(nulls.select("factor", "z"), "factor").join(summary.select("factor", "net_annual"), "factor", "left").join(exposures.select("factor", "exposure"), "factor", "left")
+    d = d.join(moments.select("factor", "sr", "g3", "g4"), "factor", "left").withColumn("t", deflated_t(F.col("sr"), F.col("n"), F.col("g3"), F.col("g4"), bar))
+    d = d.withColumn("p", F.when(F.col("t").isNotNull(), F.expr(normal.upper_p("t"))))
     flag = lambda c, name: F.when(c, F.lit(name))
-    flags = F.concat_ws(",", flag(F.abs("ir") > 5, "ir_too_high"), flag(F.col("n") < 20, "few_days"), flag(F.abs("net_annual") > 200, "net_too_high"))
-    accepted = (F.abs("z") >= 3) & (F.abs("exposure") < 0.3) & (F.col("n") >= 20)
-    return d.select("factor", "ir", "n", "z", "net_annual", "exposure", flags.alias("flags"), F.coalesce(accepted, F.lit(False)).alias("accepted"), F.when(flags != "", "needs_review").when(F.coalesce(accepted, F.lit(False)), "pass").otherwise("fail").alias("verdict"))
+    size = F.abs("ir")
+    flags = F.concat_ws(",", flag(size > 5, "ir_too_high"), flag((size > 2) & (F.col("n") < 40), "few_days_for_ir"), flag(F.col("net_annual") > 200, "net_too_high"), flag((F.abs("sr") < bar) & F.lit(bar > 0), "under_the_bar"))
+    warnings = F.when(F.col("p").isNull(), "no_p").when(F.col("p") > alpha, "deflated_p")
+    beta = F.coalesce(F.abs("exposure") >= 0.3, F.lit(False))
+    refused = F.when(F.col("z").isNull(), "no_z").when(F.abs("z") < 3, "z").when(beta, "beta").when(F.col("n") < 20, "days").when(F.col("p").isNull(), "no_p")
+    verdict = F.when((flags != "") | F.col("z").isNull(), "needs_review").when(F.abs("z") < 3, "fail").when(beta, "needs_review").otherwise("pass")
+    return d.select("factor", "ir", "n", "z", "net_annual", "exposure", "p", flags.alias("flags"), warnings.alias("warnings"), refused.alias("refused"), refused.isNull().alias("accepted"), verdict.alias("verdict"))
 
 
 def placebo(valid: DataFrame, k_frac: float, draws: int, seed: int) -> DataFrame:

@@ -94,8 +94,8 @@ def family_convergence(chain: DataFrame, by: str = "lane", window: int = 5, delt
 
 
 def deflated_t(sr: Column, n: Column, g3: Column, g4: Column, bar: float) -> Column:
-    """How far |sr| stands above ``bar`` in standard errors that allow for skewness and kurtosis."""
-    return F.try_divide((F.abs(sr) - bar) * F.sqrt(n - 1), F.sqrt(F.greatest(F.lit(1e-12), 1 - g3 * sr + (g4 - 1) / 4 * sr * sr)))
+    """How far |sr| stands above ``bar`` in standard errors that allow for skewness and kurtosis; null under 5 values."""
+    return F.when(n >= 5, (F.abs(sr) - bar) * F.sqrt(n - 1) / F.sqrt(F.greatest(F.lit(1e-8), 1 - g3 * sr + (g4 - 1) / 4 * sr * sr)))
 
 
 def near_miss_queue(trail: DataFrame, bar: float, least: float = 0.75, p: tuple[float, float] = (0.05, 0.30)) -> DataFrame:

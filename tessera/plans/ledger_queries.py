@@ -71,7 +71,7 @@ sim AS (SELECT id, CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN corr(x, y)
 brk AS (SELECT lane, min(rn) AS b FROM r JOIN sim USING (id) WHERE rn > 1 AND NOT (coalesce(abs(rho) >= 0.6, false) OR share >= 0.25) GROUP BY lane),
 chain AS (SELECT r.* FROM r LEFT JOIN brk USING (lane) WHERE b IS NULL OR rn < b)"""
 _LO, _HI = (repr(NormalDist().inv_cdf(1 - p)) for p in (0.30, 0.05))
-_QUEUE = f"""{_LAST}, tt AS (SELECT *, (abs(spread_ir) - {BAR}) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - g3 * spread_ir + (g4 - 1) / 4 * spread_ir * spread_ir)) AS t FROM last WHERE abs(spread_ir) >= 0.75),
+_QUEUE = f"""{_LAST}, tt AS (SELECT *, (abs(spread_ir) - {BAR}) * sqrt(n - 1) / sqrt(greatest(1e-8, 1 - g3 * spread_ir + (g4 - 1) / 4 * spread_ir * spread_ir)) AS t FROM last WHERE abs(spread_ir) >= 0.75),
 adm AS (SELECT DISTINCT source_hash FROM trail WHERE verdict = 'pass'),
 queue AS (SELECT id, source_hash, horizon, t, (SELECT count(*) FROM trail v WHERE v.lane = tt.lane AND v.ts > tt.ts AND v.source_hash <> tt.source_hash) AS variants FROM tt WHERE t >= {_LO} AND t < {_HI} AND source_hash NOT IN (SELECT source_hash FROM adm))"""
 _REP = f"""{TRAIL_SQL}, rep AS (SELECT source_hash, arg_max(id, row(ts, id)) FILTER (ic_ir IS NOT NULL) AS id, arg_max(ic_ir, row(ts, id)) FILTER (ic_ir IS NOT NULL) AS ic_ir, min(ts) AS first_seen, arg_min(verdict, row(ts, id)) AS first_verdict FROM trail GROUP BY 1)"""

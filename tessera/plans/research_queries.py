@@ -87,7 +87,7 @@ QUERIES = {
     "shift_placebo": lambda s, d: rounded(E.shift_placebo(valued(s, d), list(FACTORS), H, STEP, tradable())),
     "top_k_days": lambda s, d: rounded(E.top_k(valid(s, d))),
     "top_k_summary": lambda s, d: rounded(E.top_k_summary(E.top_k(valid(s, d)), 52 / STEP)),
-    "rank_autocorr": lambda s, d: rounded(E.rank_autocorrelation(valid(s, d), STEP)),
+    "rank_autocorr": lambda s, d: rounded(E.rank_autocorrelation(valued(s, d), list(FACTORS), H, STEP, tradable())),
     "factor_corr": lambda s, d: rounded(E.factor_correlations(valued(s, d), list(FACTORS), STEP)),
     "vol_regimes": lambda s, d: rounded(E.vol_regimes(panel(s, d))),
     "market_beta": lambda s, d: rounded(E.market_beta(panel(s, d), 60, 60).select("symbol", "t", "beta")),
@@ -165,9 +165,9 @@ ORACLES = {
     "top_k_days": f"{_VALUED} SELECT factor, t, date, k, {_R('gross')}, {_R('turn')}, {_R('net')} FROM topk",
     "top_k_summary": f"""{_VALUED} SELECT factor, round(avg(gross) / stddev_samp(gross), {D}) AS spread_ir, round(avg(net) / stddev_samp(net), {D}) AS net_ir, round(avg(gross) * 13.0 * 100, {D}) AS gross_annual,
       round(avg(net) * 13.0 * 100, {D}) AS net_annual, round(avg(turn), {D}) AS turn, round(avg(gross) * 1e4 / (2 * avg(turn)), {D}) AS break_even_bps, count(*) AS n FROM topk GROUP BY 1""",
-    "rank_autocorr": f"""{_VALUED}, r AS (SELECT factor, t, symbol, CAST(row_number() OVER (PARTITION BY factor, t ORDER BY f, symbol) AS DOUBLE) AS r FROM valid),
-      g AS (SELECT a.factor, a.t, corr(a.r, b.r) AS x, count(*) AS n FROM r a JOIN r b ON a.factor = b.factor AND b.t = a.t + {STEP} AND a.symbol = b.symbol GROUP BY ALL)
-      SELECT factor, round(avg(x), {D}) AS autocorr, count(*) AS days FROM g WHERE n >= 3 AND NOT isnan(x) GROUP BY 1""",
+    "rank_autocorr": f"""{_VALUED}, k AS (SELECT t, symbol, f.factor, f.f FROM (SELECT t, symbol, unnest([{{'factor': 'momentum', 'f': momentum}}, {{'factor': 'volume_z', 'f': volume_z}}]) AS f FROM valued WHERE amount > 0) WHERE f.f IS NOT NULL),
+      j AS (SELECT a.factor, a.t, row_number() OVER (PARTITION BY a.factor, a.t ORDER BY a.f, a.symbol) AS x, row_number() OVER (PARTITION BY a.factor, a.t ORDER BY b.f, a.symbol) AS y FROM k a JOIN k b ON a.factor = b.factor AND a.symbol = b.symbol AND b.t = a.t + {H} WHERE a.t % {STEP} = 0),
+      g AS (SELECT factor, t, corr(x, y) AS x FROM j GROUP BY ALL HAVING count(*) >= 8) SELECT factor, round(CASE WHEN count(*) >= 5 THEN avg(x) END, {D}) AS autocorr, count(*) AS days FROM g GROUP BY 1""",
     "factor_corr": f"""{_VALUED}, r AS (SELECT t, symbol, momentum AS p, volume_z AS q,
         (rank() OVER (PARTITION BY t ORDER BY momentum NULLS LAST) + (count(momentum) OVER (PARTITION BY t, momentum) - 1) / 2.0) / count(momentum) OVER (PARTITION BY t) AS a,
         (rank() OVER (PARTITION BY t ORDER BY volume_z NULLS LAST) + (count(volume_z) OVER (PARTITION BY t, volume_z) - 1) / 2.0) / count(volume_z) OVER (PARTITION BY t) AS b FROM valued WHERE t % {STEP} = 0),
