@@ -11,6 +11,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .families import components, greedy_families, signature_components
+
+STAGES = ("development", "batch", "composite")
+
+
 def newest_first(*by: str):
     return Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("id"))
 
@@ -101,14 +106,14 @@ def deflated_t(sr: Column, n: Column, g3: Column, g4: Column, bar: float) -> Col
 def near_miss_queue(trail: DataFrame, bar: float, least: float = 0.75, p: tuple[float, float] = (0.05, 0.30)) -> DataFrame:
     """Latest trials of strong sources that are not admitted and whose one-sided p lies in (p[0], p[1]], with how many later trials of their lane tried a variant.
 
-    p falls with t, so the bounds are set on t.
+    p falls with t, so the bounds are set on t. Variants are the lane's later trials less the source's own: two running counts, no pairs.
     """
     hi, lo = (NormalDist().inv_cdf(1 - x) for x in p)
-    last = latest(trail, "source_hash", "horizon").where(F.abs("spread_ir") >= least).withColumn("t", deflated_t(F.col("spread_ir"), F.col("n"), F.col("g3"), F.col("g4"), bar))
+    later = lambda *by: F.count("*").over(Window.partitionBy(*by)) - F.count("*").over(Window.partitionBy(*by).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = trail.withColumn("variants", later("lane") - later("lane", "source_hash"))
+    last = latest(counted, "source_hash", "horizon").where(F.abs("spread_ir") >= least).withColumn("t", deflated_t(F.col("spread_ir"), F.col("n"), F.col("g3"), F.col("g4"), bar))
     open_ = last.where((F.col("t") >= lo) & (F.col("t") < hi)).join(trail.where("verdict = 'pass'").select("source_hash").distinct(), "source_hash", "left_anti")
-    later = trail.select(F.col("lane").alias("_l"), F.col("ts").alias("_t"), F.col("source_hash").alias("_h"))
-    tried = open_.join(later, (F.col("lane") == F.col("_l")) & (F.col("_t") > F.col("ts")) & (F.col("_h") != F.col("source_hash")), "left")
-    return tried.groupBy("id", "source_hash", "horizon", "t").agg(F.count("_t").alias("variants"))
+    return open_.select("id", "source_hash", "horizon", "t", "variants")
 
 
 def representative(trail: DataFrame) -> DataFrame:
@@ -119,22 +124,23 @@ def representative(trail: DataFrame) -> DataFrame:
 
 
 def graph_families(nodes: DataFrame) -> DataFrame:
-    """Of a forest ``(id, parent)``: by root, size and depth in levels. A parent that is no node makes a root; cycles reach no root and give no row."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up(id, root, level) AS (
-             SELECT n.id, n.id, 1 FROM {n} n LEFT ANTI JOIN {n} p ON n.parent = p.id
-             UNION ALL SELECT n.id, up.root, up.level + 1 FROM {n} n JOIN up ON n.parent = up.id)
-           SELECT root, count(*) AS size, max(level) AS depth FROM up GROUP BY root""",
-        n=nodes,
-    )
+    """Rows (id, family, size, depth) of ``nodes(id, parent, ts)``: families are what parent links join, in either direction.
+
+    A parent that is no node joins its children but is no member. depth is the place in time within the family, ties by
+    id; family is the least id reached, absent parents included. Cycles are families like others.
+    """
+    known = nodes.where("id is not null").select("id", "parent", "ts")
+    ids = known.select(F.col("id").alias("key")).unionByName(known.where("parent is not null").select(F.col("parent").alias("key"))).distinct()
+    found = components(ids, known.where("parent is not null").select(F.col("id").alias("a"), F.col("parent").alias("b")))
+    d = known.join(found, known.id == found.key)
+    of = Window.partitionBy("family")
+    return d.select("id", "family", F.count("*").over(of).alias("size"), F.row_number().over(of.orderBy("ts", "id")).alias("depth"))
 
 
-def frontier(trail: DataFrame, near: DataFrame) -> DataFrame:
-    """Sources whose latest verdict is missing or for review, and those of ``near``, without the admitted."""
-    status = latest(trail, "source_hash")
-    waiting = status.where("verdict is null or verdict = 'needs_review'").select("source_hash")
-    return waiting.unionByName(near.select("source_hash")).distinct().join(trail.where("verdict = 'pass'").select("source_hash").distinct(), "source_hash", "left_anti")
+def frontier(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Sources of ``nodes(source_hash, status)`` with no status or status frontier, and those of ``near`` that are not among them."""
+    waiting = nodes.where("status is null or status = 'frontier'").select("source_hash")
+    return waiting.unionByName(near.select("source_hash")).where("source_hash is not null").distinct()
 
 
 def rescue_cards(trail: DataFrame, admitted: DataFrame, journal: DataFrame) -> DataFrame:
@@ -145,9 +151,16 @@ def rescue_cards(trail: DataFrame, admitted: DataFrame, journal: DataFrame) -> D
     return cards.select("source_hash", "id", "ic_ir", tries.alias("tries"), status.alias("status"))
 
 
-def card_families(cards: DataFrame, family: str, p: str) -> DataFrame:
-    """One card for each family: that of the smallest p, then id."""
-    return cards.groupBy(family).agg(F.min_by("id", F.struct(p, "id")).alias("id"), F.min(p).alias("p"), F.count("*").alias("members"))
+def card_families(cards: DataFrame, least: float = 0.6) -> DataFrame:
+    """Rows (key, representative, members) of ``cards(key, p, sketch)``: greedy families of sketches, in order of key; the member of the smallest p (none comes last, then key) stands for its family.
+
+    Cards with a sketch of fewer than five points are families of their own.
+    """
+    d = cards.select("key", "p", F.when(F.size("sketch") >= 5, F.col("sketch")).alias("sketch"))
+    fam = greedy_families(d.select("key", F.lit(0).alias("ts"), "sketch"), least).select("key", "lead")
+    j = d.select("key", "p").join(fam, "key")
+    heads = j.groupBy("lead").agg(F.min_by("key", F.struct(F.col("p").isNull(), "p", "key")).alias("representative"), F.count("*").alias("members"))
+    return j.join(heads, "lead").select("key", "representative", "members")
 
 
 def follow_rate(heads: DataFrame, expands: DataFrame, hours: int = 48) -> DataFrame:
@@ -170,16 +183,23 @@ def reconcile(scores: DataFrame, expands: DataFrame) -> DataFrame:
 
 
 def tail_telemetry(trail: DataFrame, bar: float) -> DataFrame:
-    """By horizon over latest trials: how many have a tail value, the upper median of their periods, best value, and near misses within 0.10 under the bar."""
+    """By horizon over latest trials with a tail value: their number, families of selections, the upper median of their periods, best value, and near misses within 0.10 under the bar."""
     d = latest(trail, "source_hash", "horizon").where("spread_ir is not null")
-    periods = F.sort_array(F.collect_list("n"))
+    of = Window.partitionBy("horizon")
+    d = d.withColumn("r", F.row_number().over(of.orderBy("n"))).withColumn("k", F.count("*").over(of))
     near = F.count(F.when((F.col("spread_ir") >= bar - 0.10) & (F.col("spread_ir") < bar), 1))
-    return d.groupBy("horizon").agg(F.count("*").alias("entries"), F.element_at(periods, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("periods"), F.max("spread_ir").alias("best"), near.alias("near_misses"))
+    got = d.groupBy("horizon").agg(F.count("*").alias("entries"), F.max(F.when(F.col("r") == F.expr("k div 2 + 1"), F.col("n"))).alias("periods"), F.max("spread_ir").alias("best"), near.alias("near_misses"))
+    # Values of different horizons never agree, so one search serves all.
+    sig = F.expr("transform(mh, v -> xxhash64(horizon, v))")
+    fam = signature_components(d.select(F.col("id").alias("key"), sig.alias("sig")))
+    n_eff = fam.join(d.select(F.col("id").alias("key"), "horizon"), "key").groupBy("horizon").agg(F.countDistinct("family").alias("n_eff"))
+    return got.join(n_eff, "horizon").select("horizon", "entries", "n_eff", "periods", "best", "near_misses")
 
 
-def tail_ledger(trail: DataFrame, stage: str) -> DataFrame:
-    """The newest tail trial of each (source_hash, horizon) in a stage."""
-    return latest(trail.where((F.col("stage") == stage) & F.col("spread_ir").isNotNull()), "source_hash", "horizon")
+def tail_ledger(trail: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """The newest trial by (source_hash, horizon, k_frac, cost model) of the given stages that has a spread_ir; a null cost model is "legacy"."""
+    d = trail.where(F.col("stage").isin(*stages) & F.col("spread_ir").isNotNull()).withColumn("cost_model", F.coalesce("cost_model", F.lit("legacy")))
+    return latest(d, "source_hash", "horizon", "k_frac", "cost_model")
 
 
 def near_misses(ledger: DataFrame, bar: float, k: int = 3) -> DataFrame:
@@ -188,12 +208,43 @@ def near_misses(ledger: DataFrame, bar: float, k: int = 3) -> DataFrame:
 
 
 def coverage(trail: DataFrame) -> DataFrame:
-    """Trials by (lane, horizon), the newest, and an exhaustion tier by their number."""
-    g = trail.groupBy("lane", "horizon").agg(F.count("*").alias("trials"), F.max("ts").alias("newest"), F.max(F.abs("ic_ir")).alias("best"))
-    return g.withColumn("tier", F.when(F.col("trials") >= 800, "exhausted").when(F.col("trials") >= 400, "worn").otherwise("fresh"))
+    """Trials by (lane, horizon), the newest and the best."""
+    return trail.groupBy("lane", "horizon").agg(F.count("*").alias("trials"), F.max("ts").alias("newest"), F.max(F.abs("ic_ir")).alias("best"))
 
 
-def selection_budget(trail: DataFrame, per_band: int = 60, alpha: float = 0.05) -> DataFrame:
-    """What is left of the looks at each horizon, and the level of each look."""
-    bands = trail.where("verdict = 'pass'").groupBy("horizon").agg(F.countDistinct("source_hash").alias("used"))
-    return bands.select("horizon", "used", F.greatest(F.lit(0).cast("long"), per_band - F.col("used")).alias("left"), F.lit(alpha / per_band).alias("level"))
+def exhaustion(trail: DataFrame, now, by: str = "lane", sample: int = 20, inside: tuple[float, float] = (0.4, 0.6), outside: float = 0.5, dense: int = 10, days: float = 14.0) -> DataFrame:
+    """Rows (by, trials, intra, inter, age, tier): how used up each bin is.
+
+    intra and inter are mean sizes of correlations between sketches of five points or more, within a bin and with trials
+    of other bins, over ``sample`` trials of each side in the order of a hash (sampling is the feature: bins are read,
+    not searched); null under three pairs. A bin is exhausted if intra reaches inside[1], fading if inside[0];
+    else, from three trials on, an inter of ``outside`` makes it exhausted if it has ``dense`` trials, fading if fewer;
+    else fading if dense and without a trial for ``days``; else fresh.
+    """
+    d = trail.select(F.col(by).alias("bin"), "id", "ts", "sketch").where("bin is not null")
+    g = d.groupBy("bin").agg(F.count("*").alias("trials"), ((F.lit(now).cast("timestamp").cast("double") - F.max("ts").cast("timestamp").cast("double")) / 86400).alias("age"))
+    dice = F.md5(F.col("id").cast("string"))
+    own = d.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(dice, "id"))).where(F.col("r") <= sample).where(F.size("sketch") >= 5)
+    # Whoever is among the first of all other bins is among the first of its own bin and of all: a few rows for each bin suffice.
+    heads = d.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(dice, "id"))).where(F.col("r") <= sample)
+    bins = g.select(F.col("bin").alias("b"))
+    others = heads.select(F.col("bin").alias("o"), "id", "sketch").join(bins, F.col("o") != F.col("b"))
+    others = others.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(dice, "id"))).where(F.col("r") <= sample).where(F.size("sketch") >= 5)
+    pairs = own.select("bin", F.col("id").alias("i"), F.col("sketch").alias("x"))
+    mean = lambda j, name: j.withColumn("c", F.abs(sketch_corr("x", "y"))).groupBy("bin").agg(F.when(F.count("c") >= 3, F.avg("c")).alias(name))
+    intra = mean(pairs.join(own.select("bin", F.col("id").alias("k"), F.col("sketch").alias("y")), "bin").where("i < k"), "intra")
+    inter = mean(pairs.join(others.select(F.col("b").alias("bin"), F.col("sketch").alias("y")), "bin"), "inter")
+    h = g.join(intra, "bin", "left").join(inter, "bin", "left")
+    tier = (
+        F.when((F.col("trials") >= 2) & (F.col("intra") >= inside[1]), "exhausted").when((F.col("trials") >= 2) & (F.col("intra") >= inside[0]), "fading")
+        .when((F.col("trials") >= 3) & (F.col("inter") >= outside), F.when(F.col("trials") >= dense, "exhausted").otherwise("fading"))
+        .when((F.col("trials") >= dense) & (F.col("age") > days), "fading").otherwise("fresh")
+    )
+    return h.select(F.col("bin").alias(by), "trials", "intra", "inter", "age", tier.alias("tier"))
+
+
+def selection_budget(spends: DataFrame, cap: int = 60, alpha: float = 0.05) -> DataFrame:
+    """Of a ledger of looks ``spends(band)``: by data band how many are spent, what remains of ``cap``, whether the band is sealed, each look's level and the level spent."""
+    g = spends.where("band is not null").groupBy("band").agg(F.count("*").alias("spent"))
+    weight = F.lit(alpha / cap)
+    return g.select("band", "spent", F.greatest(F.lit(0).cast("long"), cap - F.col("spent")).alias("remaining"), (F.col("spent") >= cap).alias("sealed"), weight.alias("alpha_weight"), (F.col("spent") * weight).alias("alpha_spent"))

@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from . import luck
 from .families import signature_components
-from .ledger import latest
 
 MOST, ALPHA = 4_096, 0.0253
-STAGES = ("development", "batch", "composite")
 
 
 def overlap_rho(jaccard: Column, share: Column, slope: float = 1.0, ambient: float = 0.0) -> Column:
@@ -118,12 +116,6 @@ def deflation(blocks: DataFrame, emax: Column, alpha: float = ALPHA, fixed: Colu
     return d.select(*blocks.columns, "ok", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in hidden], (F.col("ok") & F.col("pass_g3")).alias("pass_g3"))
 
 
-def tail_ledger(trail: DataFrame) -> DataFrame:
-    """The newest trial by (source_hash, horizon, k_frac, cost model) of the development stages that has a spread_ir; a null cost model is "legacy"."""
-    d = trail.where(F.col("stage").isin(*STAGES) & F.col("spread_ir").isNotNull()).withColumn("cost_model", F.coalesce("cost_model", F.lit("legacy")))
-    return latest(d, "source_hash", "horizon", "k_frac", "cost_model")
-
-
 def admission(blocks: DataFrame, ledger: DataFrame, draws: int = luck.DRAWS, alpha: float = ALPHA, net: bool = False) -> DataFrame:
     """Which of ``blocks`` enter on the tail track, judged against the trials of ``ledger(key, sig, k_frac)``.
 
