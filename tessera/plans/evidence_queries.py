@@ -11,6 +11,7 @@ from ..functions import normal
 from ..operators import attribution as A
 from ..operators import evaluation as E
 from ..operators import segments as S
+from ..sources import contracts as C
 from ..sources.market import panel
 from ..sources.panel import tradable
 from ..sources.store import written
@@ -133,3 +134,33 @@ ORACLES = {
       p AS (SELECT a.key AS a, b.key AS b, 0.6 * len(list_intersect(a.st, b.st)) / len(list_distinct(list_concat(a.st, b.st))) + 0.4 * (1 - levenshtein(a.s, b.s) / greatest(len(a.s), len(b.s))) AS similarity FROM c a JOIN c b ON a.key < b.key)
       SELECT a, b, round(similarity::DOUBLE, {D}) AS similarity FROM p WHERE similarity >= 0.7 - 1e-12""",
 }
+
+
+def raw_contracts(s, d):
+    """Trades as raw rows of a contract's month: many for each, of which the last counts."""
+    li, part = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
+    j = li.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("contract")), "l_partkey")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return j.select("contract", F.date_trunc("month", "l_shipdate").alias("date"), order.alias("seq"), price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"), F.col("l_quantity").alias("volume"), F.col("l_tax").alias("hold"))
+
+
+def single(s, d):
+    days = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_shipdate").cast("date").cast("string").alias("day")).agg(
+        F.avg("l_extendedprice").alias("px"), F.sum("l_quantity").alias("qty"), F.count("*").alias("k"), F.avg(F.when(F.col("l_discount") > 0.05, F.col("l_discount"))).alias("f_discount")
+    )
+    names = {"date": "day", "open": "px", "high": "px", "low": "px", "close": "px", "volume": "qty", "oi": "k"}
+    return C.single_series(days, names, "all")
+
+
+QUERIES |= {
+    "contracts_cleaned": lambda s, d: rounded(C.clean_contracts(raw_contracts(s, d), "seq")),
+    "single_series": lambda s, d: rounded(single(s, d)),
+}
+_ABC = ", ".join(f"round(l_extendedprice / l_quantity, {D}) AS {x}" for x in "ohlc")
+ORACLES |= {
+    "contracts_cleaned": f"""SELECT p_brand AS contract, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, {_ABC}, round(l_quantity::DOUBLE, {D}) AS v, round(l_tax::DOUBLE, {D}) AS oi
+      FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY p_brand, date_trunc('month', l_shipdate) ORDER BY l_orderkey * 10 + l_linenumber DESC, l_extendedprice / l_quantity DESC, l_quantity DESC, l_tax DESC) = 1""",
+    "single_series": f"""WITH a AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS p, sum(l_quantity) AS q, count(*) AS k, avg(l_discount) FILTER (l_discount > 0.05) AS f FROM lineitem GROUP BY 1)
+      SELECT 'all' AS symbol, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS t, date, {', '.join(f'round(p, {D}) AS {x}' for x in 'ohlc')}, round(q::DOUBLE, {D}) AS v, k::DOUBLE AS oi, NULL::DOUBLE AS close2, round(f, {D}) AS f_discount FROM a""",
+}
