@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Wt, finite
+from ..functions import Wt, finite, normal
 
 
 def continuous(contracts: DataFrame) -> DataFrame:
@@ -63,6 +63,77 @@ def positions(panel: DataFrame, factor: str, horizon: int, cost_bps: float = 2.0
 LEDGER = "strategy string, t int, equity double, ret double, turnover double, fees double, slippage double, trades int"
 
 
+def product_ir(products: DataFrame, *by: str) -> DataFrame:
+    """Rows (symbol, ir, n) of ``product_series``: mean over deviation, null under two rows or without variance."""
+    sd = F.stddev_samp("p")
+    return products.groupBy("symbol", *by).agg(F.when((F.count("*") >= 2) & (sd > 0), F.avg("p") / sd).alias("ir"), F.count("*").alias("n"))
+
+
+def shifted_products(panel: DataFrame, factor: str, horizon: int, shifts: tuple[int, ...] = (0, 5, 10, 21), end=None) -> DataFrame:
+    """Rows (symbol, shift, ir, n): the products' IR with the factor as it was ``shift`` rows before. What is real falls towards zero; what stays fits slow drifts."""
+    rows = [F.struct(F.lit(k).alias("shift"), (F.lag(factor, k).over(Wt()) if k else F.col(factor)).alias("f")) for k in shifts]
+    d = panel.withColumn("_s", F.array(*rows)).select("symbol", "t", "date", "o", "c", F.explode("_s").alias("s")).select(F.struct("symbol", "s.shift").alias("symbol"), "t", "date", "o", "c", "s.f")
+    p = product_series(d, "f", horizon)
+    got = product_ir(p if end is None else p.where(F.col("date") <= F.lit(end)))
+    return got.select("symbol.symbol", "symbol.shift", "ir", "n")
+
+
+def block_permuted_ir(panel: DataFrame, factor: str, horizon: int, reps: int = 200, seed: int = 42, end=None) -> DataFrame:
+    """Rows (symbol, rep, ir): IR of the products once the factor's blocks of ``horizon`` rows stand in another order; rep -1 is the true one.
+
+    The last block may be shorter and moves as it is. What is inside a block stays, what lies between blocks and returns
+    breaks. Orders are those of a hash of (seed, rep, block); a repetition is a partition of its own, z is made anew in each.
+    """
+    base = panel.select("symbol", "t", "date", "o", "c", F.col(factor).alias("f"))
+    size = base.groupBy("symbol").agg((F.max("t") + 1).alias("rows"))
+    blocks = size.select("symbol", "rows", F.explode(F.expr(f"sequence(0, cast(ceil(rows / {horizon}) as int) - 1)")).alias("block"), F.expr(f"rows % {horizon}").alias("odd"))
+    blocks = blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    of = Window.partitionBy("symbol", "rep")
+    dice = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("block").cast("string")))
+    placed = blocks.withColumn("place", F.row_number().over(of.orderBy(dice, "block")) - 1)
+    placed = placed.withColumn("late", F.max(F.when((F.col("odd") > 0) & (F.col("block") == F.expr(f"rows div {horizon}")), F.col("place"))).over(of))
+    start = F.col("place") * horizon - F.when(F.col("late") < F.col("place"), horizon - F.col("odd")).otherwise(0)
+    moved = base.select("symbol", "t", "f").withColumn("block", F.expr(f"t div {horizon}")).join(placed.select("symbol", "rep", "block", start.alias("start")), ["symbol", "block"])
+    moved = moved.select("symbol", "rep", (F.col("start") + F.col("t") % horizon).cast("int").alias("t"), "f").unionByName(base.select("symbol", F.lit(-1).alias("rep"), "t", "f"))
+    d = moved.join(base.drop("f"), ["symbol", "t"]).select(F.struct("symbol", "rep").alias("symbol"), "t", "date", "o", "c", "f")
+    p = product_series(d, "f", horizon)
+    return product_ir(p if end is None else p.where(F.col("date") <= F.lit(end))).select("symbol.symbol", "symbol.rep", "ir", "n")
+
+
+def block_test(irs: DataFrame, least: int = 5, least_reps: int = 20) -> DataFrame:
+    """Rows (symbol, real_ir, n, null_mean, null_std, reps, z, p) of ``block_permuted_ir``: z is null under ``least`` observations, ``least_reps`` repetitions or without variance."""
+    real = irs.where("rep = -1").select("symbol", F.col("ir").alias("real_ir"), "n")
+    null = irs.where("rep >= 0 and ir is not null").groupBy("symbol").agg(F.avg("ir").alias("null_mean"), F.stddev_samp("ir").alias("null_std"), F.count("*").alias("reps"))
+    ok = (F.col("n") >= least) & (F.col("reps") >= least_reps) & (F.col("null_std") > 0)
+    d = real.join(null, "symbol", "left").withColumn("z", F.when(ok, (F.col("real_ir") - F.col("null_mean")) / F.col("null_std")))
+    return d.withColumn("p", F.when(F.col("z").isNotNull(), F.expr(normal.two_sided_p("z"))))
+
+
+def position_summary(held: DataFrame, least: int = 5) -> DataFrame:
+    """Rows (symbol, gross_ir, net_ir, turn, n) of ``positions`` with its forward return ``fwd``; no row under ``least`` periods."""
+    ir = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c))
+    return held.groupBy("symbol").agg(ir("gross").alias("gross_ir"), ir("net").alias("net_ir"), F.avg("turn").alias("turn"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def evaluate_series(panel: DataFrame, factor: str, horizon: int, end, bar: float, reps: int = 200, seed: int = 42, cost_bps: float = 2.0) -> DataFrame:
+    """By symbol, over days up to ``end``: the products' mean, IR and n, share of years of the same sign, the block test, positions, deflated p, flags and verdict.
+
+    The verdict's rules are those of panels, with the block test's z in the place of the permutation's; there is no beta and no portfolio.
+    """
+    from .evaluation import ic_stats, yearly_consistency
+    from .inference import series_moments, verdicts
+
+    p = product_series(panel, factor, horizon).where(F.col("date") <= F.lit(end)).select(F.col("symbol").alias("factor"), "t", "date", F.col("p").alias("ic"))
+    tested = block_test(block_permuted_ir(panel, factor, horizon, reps, seed, end))
+    held = positions(panel.where(F.col("date") <= F.lit(end)), factor, horizon, cost_bps).withColumn("gross", F.col("net") + F.col("turn") * cost_bps / 1e4)
+    none = p.select("factor").distinct()
+    stats = ic_stats(p)
+    judged = verdicts(stats, tested.select(F.col("symbol").alias("factor"), "z"), none.withColumn("net_annual", F.lit(None).cast("double")), none.withColumn("exposure", F.lit(None).cast("double")), series_moments(p), bar)
+    d = judged.select("factor", "ir", "n", "z", F.col("p").alias("deflated_p"), "flags", "warnings", "refused", "verdict").join(stats.select("factor", "mean"), "factor").join(yearly_consistency(p).select("factor", F.col("share").alias("yearly_share")), "factor")
+    h = position_summary(held).select(F.col("symbol").alias("factor"), "gross_ir", "net_ir", "turn")
+    return d.join(h, "factor", "left").withColumnRenamed("factor", "symbol")
+
+
 def simulate(weights: DataFrame, panel: DataFrame, cash: float = 1e6, commission_bps: float = 2.5, slippage_bps: float = 5.0, interest: float = 0.015, per_year: int = 252, leverage: float = 1.0) -> DataFrame:
     """Account ledger of each strategy from target weights (strategy, t, symbol, weight).
 

@@ -11,17 +11,18 @@ from ..functions import normal
 from ..operators import attribution as A
 from ..operators import evaluation as E
 from ..operators import segments as S
+from ..operators import series as Z
 from ..sources import contracts as C
 from ..sources.market import panel
 from ..sources.panel import tradable
 from ..sources.store import written
-from .expr import parse
+from .expr import evaluate, parse
 from .ledger_queries import TRAIL_SQL, trail
-from .research_queries import D, H, STEP, rounded
+from .research_queries import _DAY, D, H, STEP, market_day, rounded
 from .selection_queries import _CELLS, _FACTORS, trial_cells
 
 DEV, SEGMENTS = "1999-01-01", [("one", "1999-01-01", "1999-12-31"), ("two", "2000-01-01", "2000-12-31"), ("three", "2001-01-01", "2002-12-31")]
-BAR, START, WINDOW = 0.05, "1999-06-01", 25
+BAR, START, WINDOW, UNTIL = 0.05, "1999-06-01", 25, "2000-12-31"
 COMPOSITES = {"sum3": "add(add(cs_rank(ts_momentum[20](c)), cs_rank(ts_zscore[20](v))), cs_rank(ts_range_pos[10](c)))", "gap": "sub(cs_rank(ts_momentum[5](c)), cs_rank(ts_momentum[20](c)))", "alone": "cs_rank(ts_momentum[5](c))"}
 
 
@@ -140,7 +141,7 @@ def raw_contracts(s, d):
     """Trades as raw rows of a contract's month: many for each, of which the last counts."""
     li, part = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
     j = li.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("contract")), "l_partkey")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.col("l_extendedprice")
     order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return j.select("contract", F.date_trunc("month", "l_shipdate").alias("date"), order.alias("seq"), price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"), F.col("l_quantity").alias("volume"), F.col("l_tax").alias("hold"))
 
@@ -153,14 +154,45 @@ def single(s, d):
     return C.single_series(days, names, "all")
 
 
+def momentum_days(s, d):
+    return evaluate(market_day(s, d), {"f": "ts_momentum[20](c)"}, single=True)
+
+
 QUERIES |= {
+    "series_shift": lambda s, d: rounded(Z.shifted_products(momentum_days(s, d), "f", 20)),
+    "series_block_null": lambda s, d: rounded(Z.block_test(Z.block_permuted_ir(momentum_days(s, d), "f", 20))),
+    "series_evaluation": lambda s, d: rounded(Z.evaluate_series(momentum_days(s, d), "f", 20, UNTIL, BAR)),
     "contracts_cleaned": lambda s, d: rounded(C.clean_contracts(raw_contracts(s, d), "seq")),
     "single_series": lambda s, d: rounded(single(s, d)),
 }
-_ABC = ", ".join(f"round(l_extendedprice / l_quantity, {D}) AS {x}" for x in "ohlc")
+_ABC = ", ".join(f"round(l_extendedprice, {D}) AS {x}" for x in "ohlc")
+_ZED = "CASE WHEN count(f) OVER w >= 60 THEN (f - avg(f) OVER w) / stddev_samp(f) OVER w END"
+_BLOCKS = f"""{_DAY}, sz AS (SELECT max(t) + 1 AS n FROM e), bl AS (SELECT n, n % 20 AS odd, unnest(range(CAST(ceil(n / 20) AS BIGINT))) AS block FROM sz),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws(':', '42', rep, block)), block) - 1 AS place FROM bl, (SELECT unnest(range(200)) AS rep)),
+  lt AS (SELECT *, max(place) FILTER (odd > 0 AND block = n // 20) OVER (PARTITION BY rep) AS late FROM pl),
+  mv AS (SELECT rep, place * 20 - CASE WHEN late < place THEN 20 - odd ELSE 0 END + f.t % 20 AS t, f.f FROM lt JOIN f ON f.t // 20 = block UNION ALL SELECT -1, t, f FROM f),
+  zz AS (SELECT rep, t, date, fwd, CASE WHEN count(f) OVER w >= 60 THEN (f - avg(f) OVER w) / stddev_samp(f) OVER w END AS z FROM (SELECT mv.rep, mv.t, f.date, f.fwd, mv.f FROM mv JOIN f ON f.t = mv.t) WINDOW w AS (PARTITION BY rep ORDER BY t ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)),
+  pr AS (SELECT rep, t, date, z * fwd AS p FROM zz WHERE t % 20 = 0 AND z * fwd IS NOT NULL)"""
+_BTEST = lambda where: f"""{_BLOCKS}, ir AS (SELECT rep, CASE WHEN count(*) >= 2 AND stddev_samp(p) > 0 THEN avg(p) / stddev_samp(p) END AS ir, count(*) AS n FROM pr WHERE {where} GROUP BY 1),
+  bt AS (SELECT (SELECT ir FROM ir WHERE rep = -1) AS real_ir, (SELECT n FROM ir WHERE rep = -1) AS n, avg(ir) FILTER (rep >= 0) AS null_mean, stddev_samp(ir) FILTER (rep >= 0) AS null_std, count(ir) FILTER (rep >= 0) AS reps FROM ir),
+  bz AS (SELECT *, CASE WHEN n >= 5 AND reps >= 20 AND null_std > 0 THEN (real_ir - null_mean) / null_std END AS z FROM bt)"""
 ORACLES |= {
+    "series_shift": f"""{_DAY}, k AS (SELECT CAST(unnest([0, 5, 10, 21]) AS INTEGER) AS shift), s AS (SELECT shift, t, fwd, lag(f, shift) OVER (PARTITION BY shift ORDER BY t) AS f FROM f, k),
+      zs AS (SELECT shift, t, fwd, {_ZED} AS z FROM s WINDOW w AS (PARTITION BY shift ORDER BY t ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)), p AS (SELECT shift, z * fwd AS p FROM zs WHERE t % 20 = 0 AND z * fwd IS NOT NULL)
+      SELECT 'all' AS symbol, shift, round(avg(p) / stddev_samp(p), {D}) AS ir, count(*) AS n FROM p GROUP BY shift""",
+    "series_block_null": f"""{_BTEST('true')} SELECT 'all' AS symbol, {_r('real_ir')}, n, {_r('null_mean', 'null_std')}, reps, {_r('z')}, round({normal.two_sided_p('z')}, {D}) AS p FROM bz""",
+    "series_evaluation": f"""{_BTEST(f"date <= DATE '{UNTIL}'")}, q AS (SELECT * FROM pr WHERE rep = -1 AND date <= DATE '{UNTIL}'), mu AS (SELECT *, avg(p) OVER () AS mu FROM q),
+      mo AS (SELECT avg(p) AS mean, avg(p) / stddev_samp(p) AS ir, avg((p - mu) ^ 3) / stddev_samp(p) ^ 3 AS g3, avg((p - mu) ^ 4) / stddev_samp(p) ^ 4 AS g4, count(*) AS n FROM mu),
+      ye AS (SELECT avg(p) AS m FROM q GROUP BY year(date)), ys AS (SELECT CASE WHEN (SELECT mean FROM mo) = 0 THEN 0.5 ELSE avg(CASE WHEN sign(m) = sign((SELECT mean FROM mo)) THEN 1.0::DOUBLE ELSE 0 END) END AS yearly_share FROM ye),
+      ev AS (SELECT 'all' AS symbol, date, c, t, c / lag(c, 20) OVER s - 1 AS f, lead(c, 20) OVER s / lead(c, 1) OVER s - 1 AS fwd FROM e WHERE date <= DATE '{UNTIL}' WINDOW s AS (ORDER BY t)),
+      po AS (SELECT t, CAST(sign(ff.f) AS DOUBLE) AS pos, ev.fwd FROM ev JOIN (SELECT t AS u, f FROM f) ff ON ff.u = ev.t WHERE t % 20 = 0 AND ev.fwd IS NOT NULL AND ff.f IS NOT NULL), pt AS (SELECT pos * fwd AS gross, abs(pos - coalesce(lag(pos) OVER (ORDER BY t), 0)) AS turn FROM po),
+      ps AS (SELECT avg(gross) / stddev_samp(gross) AS gross_ir, avg(gross - turn * 2.0 / 1e4) / stddev_samp(gross - turn * 2.0 / 1e4) AS net_ir, avg(turn) AS turn FROM pt),
+      j AS (SELECT mo.*, bz.z, yearly_share, gross_ir, net_ir, turn, CASE WHEN mo.n >= 5 THEN (abs(mo.ir) - {BAR}) * sqrt(mo.n - 1) / sqrt(greatest(1e-8, 1 - g3 * mo.ir + (g4 - 1) / 4 * mo.ir * mo.ir)) END AS tt FROM mo, bz, ys, ps),
+      k AS (SELECT *, {normal.upper_p('tt')} AS dp, concat_ws(',', CASE WHEN abs(ir) > 5 THEN 'ir_too_high' END, CASE WHEN abs(ir) > 2 AND n < 40 THEN 'few_days_for_ir' END, CASE WHEN abs(ir) < {BAR} THEN 'under_the_bar' END) AS flags FROM j)
+      SELECT 'all' AS symbol, {_r('mean', 'ir')}, n, {_r('z', 'yearly_share', 'gross_ir', 'net_ir', 'turn')}, round(dp, {D}) AS deflated_p, flags, CASE WHEN dp IS NULL THEN 'no_p' WHEN dp > 0.05 THEN 'deflated_p' END AS warnings,
+        CASE WHEN z IS NULL THEN 'no_z' WHEN abs(z) < 3 THEN 'z' WHEN n < 20 THEN 'days' WHEN dp IS NULL THEN 'no_p' END AS refused, CASE WHEN flags <> '' OR z IS NULL THEN 'needs_review' WHEN abs(z) < 3 THEN 'fail' ELSE 'pass' END AS verdict FROM k""",
     "contracts_cleaned": f"""SELECT p_brand AS contract, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, {_ABC}, round(l_quantity::DOUBLE, {D}) AS v, round(l_tax::DOUBLE, {D}) AS oi
-      FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY p_brand, date_trunc('month', l_shipdate) ORDER BY l_orderkey * 10 + l_linenumber DESC, l_extendedprice / l_quantity DESC, l_quantity DESC, l_tax DESC) = 1""",
+      FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY p_brand, date_trunc('month', l_shipdate) ORDER BY l_orderkey * 10 + l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_tax DESC) = 1""",
     "single_series": f"""WITH a AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS p, sum(l_quantity) AS q, count(*) AS k, avg(l_discount) FILTER (l_discount > 0.05) AS f FROM lineitem GROUP BY 1)
       SELECT 'all' AS symbol, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS t, date, {', '.join(f'round(p, {D}) AS {x}' for x in 'ohlc')}, round(q::DOUBLE, {D}) AS v, k::DOUBLE AS oi, NULL::DOUBLE AS close2, round(f, {D}) AS f_discount FROM a""",
 }

@@ -186,3 +186,32 @@ def test_graph_families_join_under_an_absent_parent(spark):
 def test_spaces_are_checked():
     with pytest.raises(PlanError):
         check(parse("cs_rank(cs_rank(c))"), {"c"}, typed=True)
+
+
+def test_block_permutation_keeps_blocks_and_rows(spark):
+    """Slow numbers against the same orders by hand: blocks whole, the short last one too, z made anew."""
+    from tessera.operators import series as Z
+
+    rng = np.random.default_rng(3)
+    n, h, reps = 403, 10, 25
+    c, f = 100 * np.exp(rng.normal(0, 0.01, n).cumsum()), rng.normal(size=n).cumsum()
+    df = spark.createDataFrame([("x", t, float(c[t]), float(c[t]), float(f[t])) for t in range(n)], "symbol string, t int, o double, c double, f double").withColumn("date", F.date_add(F.lit("2020-01-01"), F.col("t")))
+    got = {r.rep: r for r in Z.block_permuted_ir(df, "f", h, reps, 9).collect()}
+
+    def slow(v):
+        p = []
+        for t in range(0, n - h, h):
+            w = v[max(0, t - 249) : t + 1]
+            if len(w) >= 60:
+                p.append((v[t] - w.mean()) / w.std(ddof=1) * (c[t + h] / c[t + 1] - 1))
+        return np.mean(p) / np.std(p, ddof=1)
+
+    assert got[-1].ir == pytest.approx(slow(f)) and len(got) == reps + 1
+    blocks = [f[i : i + h] for i in range(0, n, h)]
+    for rep in range(3):
+        order = sorted(range(len(blocks)), key=lambda b: hashlib.md5(f"9:{rep}:{b}".encode()).hexdigest())
+        assert got[rep].ir == pytest.approx(slow(np.concatenate([blocks[b] for b in order])))
+    z = Z.block_test(Z.block_permuted_ir(df, "f", h, reps, 9)).first()
+    assert z.reps == reps and z.z == pytest.approx((got[-1].ir - z.null_mean) / z.null_std)
+    moved = {r["shift"]: r.ir for r in Z.shifted_products(df, "f", h).collect()}
+    assert moved[0] == pytest.approx(slow(f)) and set(moved) == {0, 5, 10, 21}
