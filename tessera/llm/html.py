@@ -31,6 +31,8 @@ UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|hidden|masthead|menu|modal|nav|navbar|navigation|newsletter|"
     r"notices?|pager|pagination|popup|promo|related|replies|respond|share|sharing|sidebar|site-?header|skyscraper|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])", re.I
 )
+#: Words that stand beside those in names of such parts. Within an article a name counts only if it is made of both: "share-bar" does, "share-of-market" does not.
+BESIDE = frozenset("area bar block body bottom box btn button buttons container content count form group header heading icons inner item items left link links list main outer page panel post posts right section site tags title tool tools top wrap wrapper".split())
 LIKELY = re.compile(r"article|body|content|entry|hentry|main|page|post|story|text", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[^<]+|<(?![a-zA-Z/])|<(?=/[^a-zA-Z]|/\Z)""", re.S)
@@ -41,15 +43,25 @@ PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section a
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "kids", "drop", "named", "score", "text", "links")
+    __slots__ = ("tag", "name", "parent", "kids", "drop", "named", "doubtful", "score", "text", "links")
 
     def __init__(self, tag: str, parent: Node | None, name: str = "", drop: bool = False):
         self.tag, self.parent, self.name, self.drop = tag, parent, name, drop
         self.named = False  # dropped for its name alone
+        self.doubtful = False  # named alike, but within an article: its links decide
         self.kids: list[Node | str] = []
         self.score, self.text, self.links = 0.0, 0, 0
 
 
+def wholly_unlikely(name: str) -> bool:
+    """Whether one of the names has an unlikely word and else only words that stand beside such."""
+    for one in name.split():
+        parts = [x for x in re.split(r"[-_]+", one.lower()) if x]
+        if any(UNLIKELY.search(x) for x in parts) and all(x in BESIDE or x.isdigit() or UNLIKELY.search(x) for x in parts):
+            return True
+    return False
+
+
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed paragraphs, items and cells end where the next begins; stray end tags are ignored."""
     root = node = Node("html", None)
@@ -107,7 +119,10 @@ def parse(page: str) -> Node:
         if main and not unlikely:
             mains.append(new)
         elif unlikely and not drop and not main:
-            new.drop = new.named = True
+            if (opened["article"] or opened["main"]) and not wholly_unlikely(name):
+                new.doubtful = True
+            else:
+                new.drop = new.named = True
         node.kids.append(new)
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -178,6 +193,9 @@ def main_text(page: str | None) -> str:
         kids = [k for k in node.kids if isinstance(k, Node) and not k.drop]
         node.text = own + sum(k.text for k in kids)
         node.links = node.text if node.tag == "a" else sum(k.links for k in kids)
+        if node.doubtful and node.links > 0.5 * node.text:
+            node.drop = True
+            continue
         if node.tag in PARAGRAPH and node.parent is not None:
             inline = own + sum(k.text for k in kids if k.tag not in BLOCK)
             if inline >= 25:
@@ -189,6 +207,7 @@ def main_text(page: str | None) -> str:
                     up, share = up.parent, share / 2
     if not root.text:
         return ""
+    order = walk(root)  # without what the links decided
     for node in order:
         node.score += {"article": 25, "main": 20, "section": 3, "div": 2}.get(node.tag, 0) * (node.text > 0) + 5 * bool(node.name and LIKELY.search(node.name))
         node.score *= 1 - node.links / max(1, node.text)

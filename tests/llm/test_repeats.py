@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tessera.llm import audit, periodic, suffix, webp, windows
+from tessera.llm import audit, html, periodic, suffix, webp, windows
 from tessera.llm.queries import ORACLES, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -244,3 +244,16 @@ def test_op7_fields(spark):
     rows = webp.media(docs).collect()
     assert all(sha(bytes(r.media)) == r.media_sha256 and len(r.media) == r.media_bytes for r in rows)
     assert len({r.media_sha256 for r in rows}) == 2 and rows[0].feature == rows[1].feature and webp.media(docs.limit(0)).count() == 0
+
+
+def test_names_within_articles_that_merely_hold_a_word():
+    page = """<body><nav>Home</nav><article><p>Opening words of the article, which are long enough to count here.</p>
+      <section class="share-of-market"><p>Their share of the market rose, and it rose again.</p><p>More on shares follows, in full.</p></section>
+      <div class="menu-planning advice"><p>Plan the menu a week ahead, she says, and shop but once.</p></div>
+      <div class="promo-code_links-of-old"><a href="x">one link</a> <a href="y">another link</a></div>
+      <div class="share-bar"><span>Share this</span></div><div id="comments"><p>First! I do not agree with a word of this, at all.</p></div></article></body>"""
+    assert html.main_text(page) == (
+        "Opening words of the article, which are long enough to count here. Their share of the market rose, and it rose again. More on shares follows, in full. "
+        "Plan the menu a week ahead, she says, and shop but once."
+    )
+    assert [html.wholly_unlikely(n) for n in ("share-bar", "share-of-market", "x comments", "related_posts_2", "commentary")] == [True, False, True, True, False]
