@@ -148,28 +148,33 @@ def factor_correlations(panel: DataFrame, factors: list[str], step: int, least:
     days are averaged by pair, combined before the shuffle. A day counts for a pair with ``least`` names valid in both.
     """
     names = sorted(factors)
-    sampled = panel.where(F.col("t") % step == 0)
-    share = lambda k: (average_rank(F.col(k), "t") / F.count(k).over(Window.partitionBy("t")) - 0.5).cast("double")
-    ranked = sampled.select("t", "symbol", *[share(k).alias(f"r{i}") for i, k in enumerate(names)])
-    groups = [list(range(a, min(a + block, len(names)))) for a in range(0, len(names), block)]
-    cut = [F.array(*[F.col(f"r{i}") for i in g]) for g in groups]
-    pairs = [F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), cut[p].alias("x"), cut[q].alias("y")) for p in range(len(groups)) for q in range(p, len(groups))]
+    groups = range(-(-len(names) // block))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i // block).alias("g"), F.col(k).alias("f")) for i, k in enumerate(names)]))
+    long = panel.where(F.col("t") % step == 0).select("t", "symbol", cells.alias("s")).select("t", "symbol", "s.*").where("f is not null")
+    share = average_rank(F.col("f"), "i", "t") / F.count("*").over(Window.partitionBy("i", "t")) - 0.5
+    ranked = long.select("t", "symbol", "i", "g", share.alias("r"))
+    with_all = ranked.select("t", "symbol", "i", "g", "r", F.explode(F.array(*[F.lit(o) for o in groups])).alias("o"))
+    pairs = with_all.select("t", F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"), "symbol", "i", "g", "r")
 
     def products(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
-        x, y = (np.array(frame[c].tolist(), dtype=float) for c in ("x", "y"))
-        u, v = (~np.isnan(m) for m in (x, y))
+        at, symbols = pd.factorize(frame["symbol"])
+        columns, i = np.unique(frame["i"].to_numpy(), return_inverse=True)
+        m = np.full((len(symbols), len(columns)), np.nan)
+        m[at, i] = frame["r"].to_numpy()
+        left, right = columns // block == p, columns // block == q
+        x, y, u, v = m[:, left], m[:, right], ~np.isnan(m[:, left]), ~np.isnan(m[:, right])
         x, y, u, v = np.where(u, x, 0), np.where(v, y, 0), u.astype(float), v.astype(float)
         n, sx, sy = u.T @ v, x.T @ v, u.T @ y
         with np.errstate(divide="ignore", invalid="ignore"):
             vx, vy = (x * x).T @ v - sx * sx / n, u.T @ (y * y) - sy * sy / n
             r = (x.T @ y - sx * sy / n) / np.sqrt(vx * vy)
-        i, j = np.nonzero((n >= least) & (vx > 1e-12) & (vy > 1e-12))
-        keep = i < j if p == q else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"i": np.array(groups[p])[i], "j": np.array(groups[q])[j], "x": r[i, j]})
+        a, b = np.nonzero((n >= least) & (vx > 1e-12) & (vy > 1e-12))
+        first, second = columns[left][a], columns[right][b]
+        keep = first < second
+        return pd.DataFrame({"i": first[keep], "j": second[keep], "x": r[a, b][keep]})
 
-    day = ranked.select("t", F.explode(F.array(*pairs)).alias("s")).select("t", "s.*").groupBy("t", "p", "q").applyInPandas(products, "i int, j int, x double")
+    day = pairs.groupBy("t", "p", "q").applyInPandas(products, "i int, j int, x double")
     label = F.array(*[F.lit(k) for k in names])
     return day.groupBy("i", "j").agg(F.avg("x").alias("corr"), F.count("*").alias("days")).select(label[F.col("i")].alias("a"), label[F.col("j")].alias("b"), "corr", "days")
 

@@ -309,3 +309,23 @@ def test_strong_subset_and_admission(spark):
         "n4": (False, "near_copy", None, None, 0.995), "n5": (False, "weaker", -0.71, "a", -0.71),
     }
     assert {r.reason for r in G.admit(new, lib.where("not active"), near).collect()} == {"first", "near_copy"}
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_factor_correlations_in_blocks(spark, block):
+    from tessera.operators.evaluation import factor_correlations
+
+    df, x, b, *_ = world(spark, days=12, book=4)
+    names = ["x", "b0", "b1", "b2", "b3"]
+    got = {(r.a, r.b): (r["corr"], r.days) for r in factor_correlations(df, names, 2, block=block).collect()}
+    shares = {k: pd.DataFrame(m).rank(axis=1, pct=True).to_numpy() for k, m in zip(names, [x, *b])}
+    want = {}
+    for i, p in enumerate(sorted(names)):
+        for q in sorted(names)[i + 1 :]:
+            cs = []
+            for t in range(0, 12, 2):
+                ok = ~np.isnan(shares[p][t]) & ~np.isnan(shares[q][t])
+                if ok.sum() >= 30:
+                    cs.append(np.corrcoef(shares[p][t][ok], shares[q][t][ok])[0, 1])
+            want[p, q] = (pytest.approx(np.mean(cs)), len(cs))
+    assert got == want and len(got) == 10
