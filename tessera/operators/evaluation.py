@@ -180,7 +180,7 @@ def factor_correlations(panel: DataFrame, factors: list[str], step: int, least:
 
 
 def two_sided(z: str) -> Column:
-    """erfc(|z| / sqrt 2) of a column, by a fit with a relative error below 1.2e-7."""
+    """erfc(|z| / sqrt 2) of a column, by rational fits to some 15 digits."""
     return F.expr(normal.two_sided_p(z))
 
 
