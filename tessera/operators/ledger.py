@@ -208,8 +208,9 @@ def near_misses(ledger: DataFrame, bar: float, k: int = 3) -> DataFrame:
 
 
 def coverage(trail: DataFrame) -> DataFrame:
-    """Trials by (lane, horizon), the newest and the best."""
-    return trail.groupBy("lane", "horizon").agg(F.count("*").alias("trials"), F.max("ts").alias("newest"), F.max(F.abs("ic_ir")).alias("best"))
+    """Trials by (lane, horizon), the newest, the best, and an exhaustion tier by their number."""
+    g = trail.groupBy("lane", "horizon").agg(F.count("*").alias("trials"), F.max("ts").alias("newest"), F.max(F.abs("ic_ir")).alias("best"))
+    return g.withColumn("tier", F.when(F.col("trials") >= 800, "exhausted").when(F.col("trials") >= 400, "worn").otherwise("fresh"))
 
 
 def exhaustion(trail: DataFrame, now, by: str = "lane", sample: int = 20, inside: tuple[float, float] = (0.4, 0.6), outside: float = 0.5, dense: int = 10, days: float = 14.0) -> DataFrame:

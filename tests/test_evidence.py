@@ -215,3 +215,9 @@ def test_block_permutation_keeps_blocks_and_rows(spark):
     assert z.reps == reps and z.z == pytest.approx((got[-1].ir - z.null_mean) / z.null_std)
     moved = {r["shift"]: r.ir for r in Z.shifted_products(df, "f", h).collect()}
     assert moved[0] == pytest.approx(slow(f)) and set(moved) == {0, 5, 10, 21}
+
+
+def test_coverage_has_its_tier(spark):
+    rows = [(lane, 5, i, 0.1) for lane, n in enumerate((399, 400, 799, 800)) for i in range(n)]
+    got = L.coverage(spark.createDataFrame(rows, "lane int, horizon int, ts int, ic_ir double"))
+    assert {r.lane: (r.trials, r.tier) for r in got.collect()} == {0: (399, "fresh"), 1: (400, "worn"), 2: (799, "worn"), 3: (800, "exhausted")}
