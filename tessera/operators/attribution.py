@@ -102,13 +102,15 @@ def block_names(node: Node) -> list[str]:
     return out
 
 
-def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000) -> DataFrame:
+def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000, bytewise: bool = False) -> DataFrame:
     """Rows (a, b, similarity) for a < b of ``trials(key, tokens array<string>)`` with 0.6 * Jaccard + 0.4 * edit similarity >= least.
 
     Exact, and no pair is lost: as the edit part gives 0.4 at most, the sets must reach j = (least - 0.4) / 0.6, so two
     sets share one of the first |set| - ceil(j * |set|) + 1 tokens, taken from the rarest on; only such pairs are
     compared. Tokens become single characters, so Spark's own edit distance runs over them: ``bound`` different tokens
     at most (operators, parameters and columns are a grid). A null or empty array is linked to nothing, ``least`` must exceed 0.4.
+    The distance counts tokens, or with ``bytewise`` the bytes of their characters in UTF-8, dealt in order of token, as
+    DuckDB's levenshtein does: then a token more or less counts three, one replaced by one of the same 64 counts one.
     """
     j = (least - 0.4) / 0.6
     if j <= 0:
@@ -120,12 +122,15 @@ def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000)
         raise ValueError(f"{bound} different tokens at most")
     if not ranked:
         return d.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("similarity"))
-    names = F.create_map(*[F.lit(x) for i, t in enumerate(ranked) for x in (t, chr(0x4E00 + i) if i < 0x5200 else chr(0x20000 + i))])
-    coded = d.select("key", F.array_join(F.transform("tokens", lambda t: names[t]), "").alias("text"), F.array_sort(F.transform("set", lambda t: names[t])).alias("set"))
+    coding = lambda tokens: F.create_map(*[F.lit(x) for i, t in enumerate(tokens) for x in (t, chr(0x4E00 + i) if i < 0x5200 else chr(0x20000 + i))])
+    names = coding(ranked)
+    letters = coding(sorted(ranked)) if bytewise else names
+    coded = d.select("key", F.array_join(F.transform("tokens", lambda t: letters[t]), "").alias("text"), F.array_sort(F.transform("set", lambda t: names[t])).alias("set"))
     first = F.expr(f"slice(set, 1, cast(size(set) - ceil({j!r}D * size(set) - 1e-9) + 1 as int))")
     filed = coded.select("key", "text", "set", F.explode(first).alias("token"))
     x, y = (filed.select(F.col("key").alias(k), F.col("text").alias(f"t{k}"), F.col("set").alias(f"s{k}"), "token") for k in "ab")
     met = x.join(y, "token").where("a < b").drop("token").dropDuplicates(["a", "b"])
     jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    edit = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb"))
+    spelt = [F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") if bytewise else F.col(c) for c in ("ta", "tb")]  # a letter for each byte
+    edit = 1 - F.levenshtein(*spelt) / F.greatest(F.length("ta"), F.length("tb"))
     return met.withColumn("similarity", 0.6 * jaccard + 0.4 * edit).where(F.col("similarity") >= least - 1e-12).select("a", "b", "similarity")

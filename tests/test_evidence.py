@@ -221,3 +221,16 @@ def test_coverage_has_its_tier(spark):
     rows = [(lane, 5, i, 0.1) for lane, n in enumerate((399, 400, 799, 800)) for i in range(n)]
     got = L.coverage(spark.createDataFrame(rows, "lane int, horizon int, ts int, ic_ir double"))
     assert {r.lane: (r.trials, r.tier) for r in got.collect()} == {0: (399, "fresh"), 1: (400, "worn"), 2: (799, "worn"), 3: (800, "exhausted")}
+
+
+def test_structures_by_bytes_equal_duckdb(spark):
+    """Two swaps in a row are three changes of tokens, but four of bytes."""
+    tokens = [["add", "p", "q", "x", "y"], ["add", "q", "p", "y", "x"], ["add", "p", "q", "y", "x"], ["add", "p", "q", "x", "y", "z"]]
+    trials = spark.createDataFrame(list(enumerate(tokens)), "key long, tokens array<string>")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in A.structure_links(trials, 0.6, bytewise=True).collect()}
+    letter = {t: chr(0x4E00 + i) for i, t in enumerate(sorted({t for x in tokens for t in x}))}
+    want = {}
+    for (i, x), (j, y) in itertools.combinations(enumerate(tokens), 2):
+        far = edit(*("".join(letter[t] for t in z).encode() for z in (x, y)))
+        want[i, j] = round(0.6 * len(set(x) & set(y)) / len(set(x) | set(y)) + 0.4 * (1 - far / max(len(x), len(y))), 9)
+    assert got == {k: v for k, v in want.items() if v >= 0.6} and got[0, 1] == 0.68
