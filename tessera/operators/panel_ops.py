@@ -42,8 +42,17 @@ half = lambda w: max(2, w // 2)
 half3 = lambda w: max(3, w // 2)
 
 
-def rolled(f, x: Column, w: int, least: int) -> Column:
-    return gate(f(x).over(W(w)), F.count(x).over(W(w)), least)
+#: What each operator takes of its windows; over a column of the panel all come from one pass (``rolling``).
+TAKES = {
+    "ts_mean": ("avg",), "ts_std": ("std",), "ts_sum": ("sum",), "ts_max": ("max",), "ts_min": ("min",), "ts_zscore": ("avg", "std"), "ts_av_diff": ("avg",), "ts_vol_ratio": ("std",), "ts_winsor": ("avg", "std"),
+    "ts_drawdown": ("max",), "ts_range_pos": ("min", "max"),
+}
+PART = {F.avg: "avg", F.stddev_samp: "std", F.sum: "sum", F.min: "min", F.max: "max"}
+
+
+def rolled(f, stage, x: Column, w: int, least: int) -> Column:
+    found = stage.rolling.get((str(x), w, least, PART[f]))
+    return gate(f(x).over(W(w)), F.count(x).over(W(w)), least) if found is None else found
 
 
 def constant(x: Column, w: int) -> Column:
@@ -55,27 +64,27 @@ def constant(x: Column, w: int) -> Column:
 
 @op("ts", 1, "window", half)
 def ts_mean(stage, x, w):
-    return rolled(F.avg, x, w, half(w))
+    return rolled(F.avg, stage, x, w, half(w))
 
 
 @op("ts", 1, "window", half)
 def ts_std(stage, x, w):
-    return rolled(F.stddev_samp, x, w, half(w))
+    return rolled(F.stddev_samp, stage, x, w, half(w))
 
 
 @op("ts", 1, "window", half)
 def ts_max(stage, x, w):
-    return rolled(F.max, x, w, half(w))
+    return rolled(F.max, stage, x, w, half(w))
 
 
 @op("ts", 1, "window", half)
 def ts_min(stage, x, w):
-    return rolled(F.min, x, w, half(w))
+    return rolled(F.min, stage, x, w, half(w))
 
 
 @op("ts", 1, "window", half)
 def ts_sum(stage, x, w):
-    return rolled(F.sum, x, w, half(w))
+    return rolled(F.sum, stage, x, w, half(w))
 
 
 @op("ts", 1, "window", half)
@@ -186,7 +195,7 @@ def hump(stage, x, h):
 
 @op("ts", 2, "window", half)
 def ts_wmean(stage, x, y, w):
-    return rolled(F.sum, x * y, w, half(w)) / den(rolled(F.sum, y, w, half(w)))
+    return rolled(F.sum, stage, x * y, w, half(w)) / den(rolled(F.sum, stage, y, w, half(w)))
 
 
 @op("ts", 1, "window", half)
@@ -230,7 +239,7 @@ def ts_iqr(stage, x, w):
 
 @op("ts", 1, "window", half3)
 def ts_winsor(stage, x, w):
-    m, s = rolled(F.avg, x, w, half3(w)), rolled(F.stddev_samp, x, w, half3(w))
+    m, s = rolled(F.avg, stage, x, w, half3(w)), rolled(F.stddev_samp, stage, x, w, half3(w))
     return clip(x, m - 3 * s, m + 3 * s)
 
 

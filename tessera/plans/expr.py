@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite
-from ..operators.panel_ops import OPS
+from ..operators import rolling
+from ..operators.panel_ops import OPS, TAKES
 
 # The grids of windows, delays and hump sizes.
 WINDOWS = (3, 5, 10, 20, 60, 120, 250)
@@ -127,6 +128,12 @@ def unbounded(node: Node) -> bool:
     return node.op == "ts_streak" or any(map(unbounded, node.args))
 
 
+def rolled_inputs(node: Node) -> set[tuple[str, int, int, str]]:
+    """(column, window, least, part) of the windows that a tree takes straight from columns."""
+    own = {(a.op, int(node.param), OPS[node.op].least(int(node.param)), part) for part in TAKES.get(node.op, ()) for a in node.args if not a.args}
+    return own.union(*map(rolled_inputs, node.args))
+
+
 def evaluate(panel: DataFrame, factors: dict[str, Node | str], single: bool = False, since: int | None = None) -> DataFrame:
     """The panel with a column for each factor. ``since``: only rows from this t are wanted; earlier ones are read as far back as windows reach."""
     nodes = {k: parse(v) if isinstance(v, str) else v for k, v in factors.items()}
@@ -145,6 +152,10 @@ def evaluate(panel: DataFrame, factors: dict[str, Node | str], single: bool = Fa
         df = df.withColumn(name, c)
         return F.col(name)
 
+    wanted = set().union(*map(rolled_inputs, nodes.values()))
+    df = rolling.with_rolling(df, wanted) if wanted else df
+    stage.rolling = {(str(F.col(x)), *rest): F.col(rolling.name(x, *rest)) for x, *rest in wanted}
+
     def build(n: Node) -> Column:
         if not n.args:
             return F.col(n.op)

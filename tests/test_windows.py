@@ -59,3 +59,29 @@ def test_own_supports(spark, holed):
             want = expected(n, holed, w)
             assert (mine.isna().to_numpy() == want.isna().to_numpy()).all(), (n, w)
             np.testing.assert_allclose(mine.to_numpy(), want.to_numpy(), rtol=1e-5, atol=1e-5, err_msg=f"{n} {w}")
+
+
+def test_rolling_pass_equals_frames_without_frames(spark):
+    """Means, deviations and extremes over columns of the panel come from one pass by symbol, with holes, short and constant series, and no frame slides in the plan."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, n in (("a", 70), ("b", 1), ("c", 3), ("d", 130)):
+        for t in range(n):
+            rows.append((k, t, None if rng.random() < 0.3 else 7.0 if k == "c" else float(rng.normal() * 100)))
+    panel = spark.createDataFrame(rows, "symbol string, t int, c double").repartition(3)
+    made = {f"{op}{w}": f"{op}[{w}](c)" for op in ("ts_mean", "ts_std", "ts_sum", "ts_min", "ts_max", "ts_zscore", "ts_range_pos") for w in (3, 5, 10, 60)}
+    got = evaluate(panel, made)
+    assert "specifiedwindowframe(RowFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = got.toPandas().sort_values(["symbol", "t"]).set_index(["symbol", "t"])
+    for w in (3, 5, 10, 60):
+        least = max(2, w // 2)
+        r = got.groupby("symbol")["c"].rolling(w, min_periods=least)
+        want = {"ts_mean": r.mean(), "ts_std": r.std(), "ts_sum": r.sum(), "ts_min": r.min(), "ts_max": r.max()}
+        want = {k: v.droplevel(0) for k, v in want.items()}
+        want["ts_zscore"] = (got["c"] - want["ts_mean"]) / want["ts_std"].clip(lower=1e-12)
+        want["ts_range_pos"] = (got["c"] - want["ts_min"]) / (want["ts_max"] - want["ts_min"]).clip(lower=1e-12)
+        for op, values in want.items():
+            found = got[f"{op}{w}"].astype(float)
+            assert (found.isna() == values.isna()).all(), (op, w)
+            live = got.index.get_level_values(0) != "c" if op == "ts_zscore" else slice(None)
+            np.testing.assert_allclose(found[live].dropna(), values[live].dropna(), rtol=1e-6, atol=1e-6)
