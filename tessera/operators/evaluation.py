@@ -7,7 +7,7 @@ and t, so many factors and horizons share one job. Rows that are not sampled are
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,12 @@ def region(dev_end, sel_end) -> Column:
 
 def cells(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, execution: str = "t1") -> DataFrame:
     """Sampled valid cells (factor, t, date, symbol, f, fwd): tradable, factor and return present, t a multiple of step."""
-    df = panel.withColumn("fwd", forward_return(horizon, execution)).withColumn("ok", ok)
-    df = df.where((F.col("t") % step == 0) & F.col("ok") & F.col("fwd").isNotNull())
+    return sampled_cells(panel.withColumn("fwd", forward_return(horizon, execution)), factors, step, ok)
+
+
+def sampled_cells(valued: DataFrame, factors: list[str], step: int, ok: Column) -> DataFrame:
+    """``cells`` of a panel that has its ``fwd`` already."""
+    df = valued.withColumn("ok", ok).where((F.col("t") % step == 0) & F.col("ok") & F.col("fwd").isNotNull())
     pairs = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors])
     return df.select("t", "date", "symbol", "fwd", F.explode(pairs).alias("p")).select("p.factor", "t", "date", "symbol", "p.f", "fwd").where("f is not null")
 
@@ -144,41 +148,46 @@ def rank_autocorrelation(panel: DataFrame, factors: list[str], lag: int, step: i
 def factor_correlations(panel: DataFrame, factors: list[str], step: int, least: int = MIN_POOL, block: int = 128) -> DataFrame:
     """Rows (a, b, corr, days): mean daily correlation of ranks, each factor ranked on its own valid cells, for a < b.
 
-    A task holds a day's cross section of two blocks of factors and gives their correlations from products of matrices;
-    days are averaged by pair, combined before the shuffle. A day counts for a pair with ``least`` names valid in both.
+    A task holds a day's cross section of two blocks of factors as a matrix, ranks its columns and gives their
+    correlations from products of matrices; days are averaged by pair, combined before the shuffle. A day counts for a
+    pair with ``least`` names valid in both.
     """
     names = sorted(factors)
-    groups = range(-(-len(names) // block))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i // block).alias("g"), F.col(k).alias("f")) for i, k in enumerate(names)]))
-    long = panel.where(F.col("t") % step == 0).select("t", "symbol", cells.alias("s")).select("t", "symbol", "s.*").where("f is not null")
-    share = average_rank(F.col("f"), "i", "t") / F.count("*").over(Window.partitionBy("i", "t")) - 0.5
-    ranked = long.select("t", "symbol", "i", "g", share.alias("r"))
-    with_all = ranked.select("t", "symbol", "i", "g", "r", F.explode(F.array(*[F.lit(o) for o in groups])).alias("o"))
-    pairs = with_all.select("t", F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"), "symbol", "i", "g", "r")
-
-    def products(frame: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
-        at, symbols = pd.factorize(frame["symbol"])
-        columns, i = np.unique(frame["i"].to_numpy(), return_inverse=True)
-        m = np.full((len(symbols), len(columns)), np.nan)
-        m[at, i] = frame["r"].to_numpy()
-        left, right = columns // block == p, columns // block == q
-        x, y, u, v = m[:, left], m[:, right], ~np.isnan(m[:, left]), ~np.isnan(m[:, right])
-        x, y, u, v = np.where(u, x, 0), np.where(v, y, 0), u.astype(float), v.astype(float)
+    groups = [names[k : k + block] for k in range(0, len(names), block)]
+    both = [(p, q, groups[p] + (groups[q] if q > p else [])) for p in range(len(groups)) for q in range(p, len(groups))]
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.array(*[F.col(k).cast("double") for k in held]).alias("v")) for p, q, held in both]))
+    pairs = panel.where(F.col("t") % step == 0).select("t", rows.alias("s")).select("t", "s.*")
+
+    def products(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        m = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        there = ~np.isnan(m)
+        for k in range(m.shape[1]):
+            m[:, k][there[:, k]] = average_shares(m[:, k][there[:, k]])
+        m[~there] = 0
+        ones = there.astype(float)
+        left, right = slice(0, len(groups[p])), slice(0 if p == q else len(groups[p]), m.shape[1])
+        x, y, u, v = m[:, left], m[:, right], ones[:, left], ones[:, right]
         n, sx, sy = u.T @ v, x.T @ v, u.T @ y
         with np.errstate(divide="ignore", invalid="ignore"):
             vx, vy = (x * x).T @ v - sx * sx / n, u.T @ (y * y) - sy * sy / n
             r = (x.T @ y - sx * sy / n) / np.sqrt(vx * vy)
         a, b = np.nonzero((n >= least) & (vx > 1e-12) & (vy > 1e-12))
-        first, second = columns[left][a], columns[right][b]
+        first, second = a + p * block, b + q * block
         keep = first < second
-        return pd.DataFrame({"i": first[keep], "j": second[keep], "x": r[a, b][keep]})
+        return pa.table({"i": pa.array(first[keep], pa.int32()), "j": pa.array(second[keep], pa.int32()), "x": r[a, b][keep]})
 
-    day = pairs.groupBy("t", "p", "q").applyInPandas(products, "i int, j int, x double")
+    day = pairs.groupBy("t", "p", "q").applyInArrow(products, "i int, j int, x double")
     label = F.array(*[F.lit(k) for k in names])
     return day.groupBy("i", "j").agg(F.avg("x").alias("corr"), F.count("*").alias("days")).select(label[F.col("i")].alias("a"), label[F.col("j")].alias("b"), "corr", "days")
 
 
+def average_shares(v: np.ndarray) -> np.ndarray:
+    """Ranks with ties averaged over the number of values, less one half."""
+    _, at, ties = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(ties) - (ties - 1) / 2)[at] / max(1, len(v)) - 0.5
+
+
 def two_sided(z: str) -> Column:
     """erfc(|z| / sqrt 2) of a column, by rational fits to some 15 digits."""
     return F.expr(normal.two_sided_p(z))
