@@ -156,8 +156,7 @@ def top_k_block(valid: DataFrame, k_frac: float = 0.2) -> DataFrame:
     d = pooled(valid).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * k_frac).cast("int"))).withColumn("rn", F.row_number().over(w.orderBy(F.desc("f"), F.desc("symbol"))))
     d = d.withColumn("in", F.col("rn") <= F.col("k"))
     top = F.when(F.col("in"), F.lit(1))
-    inside = Window.partitionBy("factor", "t", "in")
-    r = lambda c: F.rank().over(inside.orderBy(c)) + (F.count("*").over(Window.partitionBy("factor", "t", "in", c)) - 1) / 2.0
+    r = lambda c: average_rank(F.col(c), "factor", "t", "in")
     d = d.withColumn("a", F.when(F.col("in"), r("f"))).withColumn("b", F.when(F.col("in"), r("fwd")))
     day = d.groupBy("factor", "t", "k").agg((F.avg(top * F.col("fwd")) - F.avg("fwd")).alias("spread"), correlation(F.col("a"), F.col("b")).alias("tail_ic"), F.array_sort(F.collect_list(F.when(F.col("in"), F.col("symbol")))).alias("held"))
     prev = F.lag("held", 1).over(Window.partitionBy("factor").orderBy("t"))
@@ -351,13 +350,35 @@ def verdicts(stats: DataFrame, nulls: DataFrame, summary: DataFrame, exposures:
 
 
 def placebo(valid: DataFrame, k_frac: float, draws: int, seed: int) -> DataFrame:
-    """Rows (factor, rep, spread): mean top-k spread with a day's returns dealt anew among its names."""
-    d = pooled(valid).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * k_frac).cast("int")))
-    day = d.groupBy("factor", "t", "k").agg(F.array_sort(F.collect_list(F.struct("symbol", "fwd"))).alias("c"), F.avg("fwd").alias("m"))
-    each = day.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    # Which k names come first in a random order is the same as which are best by a permuted factor.
-    top = F.expr(f"slice(array_sort(transform(c, v -> struct(md5(concat_ws(':', '{seed}', rep, t, v.symbol)) as h, v.fwd as r))), 1, k)")
-    return each.withColumn("s", F.aggregate(top, F.lit(0.0), lambda s, v: s + v["r"]) / F.col("k") - F.col("m")).groupBy("factor", "rep").agg(F.avg("s").alias("mean_ic"))
+    """Rows (factor, rep, spread): mean top-k spread with a day's returns dealt anew among its names.
+
+    Which k names come first in a random order is the same as which are best by a permuted factor. The order is of the
+    day's names, so one day is one row for all factors: a name is hashed once for each draw, and only numbers leave the row.
+    """
+    k = F.greatest(F.lit(1), F.bround(F.col("n") * k_frac).cast("int"))
+    names = pooled(valid).groupBy("t", "symbol").agg(F.collect_list(F.struct("factor", k.alias("k"), "fwd")).alias("held"))
+    days = names.groupBy("t").agg(F.collect_list(F.struct("symbol", "held")).alias("c"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, c in zip(*batch.columns):
+                held, keys = c.values.field("held"), [s.encode() for s in c.values.field("symbol").to_pylist()]
+                cells, owner = held.flatten(), np.repeat(np.arange(len(keys)), held.value_lengths().to_numpy())
+                factor, size, fwd = cells.field("factor").dictionary_encode(), cells.field("k").to_numpy(), cells.field("fwd").to_numpy()
+                at = factor.indices.to_numpy()
+                each = [(owner[at == i], fwd[at == i], size[at == i][0]) for i in range(len(factor.dictionary))]
+                out = np.empty((draws, len(each)))
+                place = np.empty(len(keys), np.int64)
+                for rep in range(draws):
+                    head = f"{seed}:{rep}:{t.as_py()}:".encode()
+                    hashed = np.frombuffer(b"".join([md5(head + x).digest() for x in keys]), ">u8").reshape(-1, 2)
+                    place[np.lexsort((hashed[:, 1], hashed[:, 0]))] = np.arange(len(keys))
+                    for i, (own, r, n) in enumerate(each):
+                        first = np.argpartition(place[own], n - 1)[:n]
+                        out[rep, i] = r[first].sum() / n - r.mean()
+                yield pa.RecordBatch.from_arrays([pa.array(factor.dictionary.to_pylist() * draws), pa.array(np.repeat(np.arange(draws, dtype=np.int32), len(each))), pa.array(out.ravel())], ["factor", "rep", "s"])
+
+    return days.select("t", "c").mapInArrow(deal, "factor string, rep int, s double").groupBy("factor", "rep").agg(F.avg("s").alias("mean_ic"))
 
 
 def leaks(panel: DataFrame, evaluate, factors: dict, inputs: list[str], cuts: list[int]) -> DataFrame:

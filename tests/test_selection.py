@@ -1,5 +1,6 @@
 """Residuals, selection luck, the tail wall and families against NumPy, sequential loops and known values."""
 
+import hashlib
 import math
 import random
 from statistics import NormalDist
@@ -11,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import normal
+from tessera.operators import evaluation as E
 from tessera.operators import families as G
+from tessera.operators import inference as I
 from tessera.operators import luck, residuals, tailwall
 
 PANEL = "symbol string, t int, date date, o double, h double, l double, c double, v double, amount double"
@@ -329,3 +332,34 @@ def test_factor_correlations_in_blocks(spark, block):
                     cs.append(np.corrcoef(shares[p][t][ok], shares[q][t][ok])[0, 1])
             want[p, q] = (pytest.approx(np.mean(cs)), len(cs))
     assert got == want and len(got) == 10
+
+
+def test_placebo_hashes_a_name_once_for_all_factors(spark):
+    rng = np.random.default_rng(8)
+    cells = [(f, t, f"s{i}", float(i), float(rng.normal())) for f, n in (("a", 35), ("b", 40)) for t in (0, 5) for i in range(n)] + [("c", 0, f"s{i}", 1.0, 1.0) for i in range(29)]
+    got = I.placebo(spark.createDataFrame(cells, "factor string, t int, symbol string, f double, fwd double"), 0.2, 4, 42)
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for f, n, k in (("a", 35, 7), ("b", 40, 8)):
+        for rep in range(4):
+            days = []
+            for t in (0, 5):
+                own = [(hashlib.md5(f"42:{rep}:{t}:{s}".encode()).hexdigest(), r) for g, u, s, _, r in cells if g == f and u == t]
+                days.append(np.mean([r for _, r in sorted(own)[:k]]) - np.mean([r for _, r in own]))
+            want[f, rep] = np.mean(days)
+    found = {(r.factor, r.rep): r.mean_ic for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_correlations_rank_inside_the_day(spark):
+    """Two blocks, ties and holes; no window ranks the cells one factor at a time."""
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({k: rng.integers(0, 12, 80).astype(float) for k in ("a", "b", "c")})
+    data.loc[rng.random(80) < 0.3, "b"] = np.nan
+    rows = [(0, f"s{i}", *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(data.to_numpy())]
+    got = E.factor_correlations(spark.createDataFrame(rows, "t int, symbol string, a double, b double, c double"), ["a", "b", "c"], 5, block=2)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ranks = data.rank()
+    found = {(r.a, r.b): (r.corr, r.days) for r in got.collect()}
+    want = {(x, y): ranks[x].corr(ranks[y]) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))}
+    assert found.keys() == want.keys() and all(abs(found[k][0] - v) < 1e-9 and found[k][1] == 1 for k, v in want.items())
