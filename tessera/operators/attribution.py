@@ -56,7 +56,7 @@ def leg_attribution(panel: DataFrame, composites: dict[str, Node | str], horizon
     spark = panel.sparkSession
     known = spark.createDataFrame([(k, i, f"{k}~{i}", str(part(nodes[k], p))) for k, ps in names.items() for i, p in enumerate(ps)], "factor string, leg int, variant string, expression string")
     valued = evaluate(panel.withColumn("zero", F.lit(0.0)), plan)
-    ic = E.rank_ic(E.cells(valued, list(plan), horizon, step, ok))
+    ic = E.day_ic(valued, list(plan), horizon, step, ok)
     t = series_moments(ic).select(F.col("factor").alias("variant"), deflated_t(F.col("sr"), F.col("n"), F.col("g3"), F.col("g4"), bar).alias("t"))
     d = known.join(t.select(F.col("variant").alias("factor"), F.col("t").alias("base")), "factor", "left").join(t.withColumnRenamed("t", "value"), "variant", "left")
     d = d.withColumn("delta", F.col("base") - F.col("value"))

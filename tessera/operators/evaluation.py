@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Wt, average_rank, correlation, finite, normal
+from .days import by_day, centred_ranks, numbers, pearson
 
 MIN_POOL = 30
 
@@ -48,6 +49,41 @@ def rank_ic(valid: DataFrame, least: int = MIN_POOL) -> DataFrame:
     return ranked.groupBy("factor", "t", "date").agg(correlation(F.col("rf"), F.col("rr")).alias("ic")).where("ic is not null")
 
 
+def sampled_days(panel: DataFrame, factors: list[str], step: int, ok: Column, *more: str) -> DataFrame:
+    """What ``cells`` keeps of a panel that has its ``fwd``, one row for all factors of a name: t, ``more``, fwd, and the factors as f0, f1, ..."""
+    kept = panel.where((F.col("t") % step == 0) & ok & F.col("fwd").isNotNull())
+    return kept.select("t", *more, F.col("fwd").cast("double").alias("fwd"), *[F.col(k).cast("double").alias(f"f{i}") for i, k in enumerate(factors)])
+
+
+def day_ic(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, execution: str = "t1", least: int = MIN_POOL) -> DataFrame:
+    """``rank_ic`` of the panel's ``cells``: a day's names with all their factors are ranked inside one task."""
+    return valued_ic(panel.withColumn("fwd", forward_return(horizon, execution)), factors, step, ok, least)
+
+
+def valued_ic(valued: DataFrame, factors: list[str], step: int, ok: Column, least: int = MIN_POOL) -> DataFrame:
+    """``day_ic`` of a panel that has its ``fwd`` already."""
+    names = list(factors)
+
+    def run(table: pa.Table) -> pa.Table:
+        fwd, out = numbers(table, "fwd"), []
+        mask, right = None, None
+        for i, factor in enumerate(names):
+            f = numbers(table, f"f{i}")
+            there = ~np.isnan(f)
+            if there.sum() < least:
+                continue
+            if mask is None or (there != mask).any():
+                mask, right = there, centred_ranks(fwd[there])
+            if (ic := pearson(centred_ranks(f[there]), right)) is not None:
+                out.append((factor, ic))
+        t, date = table.column("t")[0], table.column("date")[0]
+        found, ics = zip(*out) if out else ((), ())
+        return pa.table({"factor": pa.array(found, pa.string()), "t": pa.array([t.as_py()] * len(out), t.type), "date": pa.array([date.as_py()] * len(out), date.type), "ic": pa.array(ics, pa.float64())})
+
+    d = sampled_days(valued, names, step, ok, "date")
+    return by_day(d, run, f"factor string, t {dict(d.dtypes)['t']}, date {dict(d.dtypes)['date']}, ic double")
+
+
 def ic_stats(ic: DataFrame, *by: str) -> DataFrame:
     m, s = F.avg("ic"), F.stddev_samp("ic")
     return ic.groupBy("factor", *by).agg(m.alias("mean"), s.alias("std"), F.try_divide(m, s).alias("ir"), F.count("*").alias("n"))
@@ -105,7 +141,7 @@ def drawdown_ratio(ic: DataFrame) -> DataFrame:
 def shift_placebo(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, shifts: tuple[int, ...] = (0, 5, 10, 21)) -> DataFrame:
     """Mean rank IC of each factor as it was ``shift`` rows before; rows (factor, shift, mean, n), null under 2 days. All shifts share one pass."""
     late = panel.withColumns({f"{f}@{k}": F.lag(f, k).over(Wt()) for f in factors for k in shifts})
-    ic = rank_ic(cells(late, [f"{f}@{k}" for f in factors for k in shifts], horizon, step, ok))
+    ic = day_ic(late, [f"{f}@{k}" for f in factors for k in shifts], horizon, step, ok)
     name, shift = F.substring_index("factor", "@", 1).alias("factor"), F.substring_index("factor", "@", -1).cast("int").alias("shift")
     return ic.groupBy(name, shift).agg(F.when(F.count("*") >= 2, F.avg("ic")).alias("mean"), F.count("*").alias("n"))
 

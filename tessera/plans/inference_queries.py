@@ -31,7 +31,7 @@ def beta_exposure(s, d):
 
 
 def short_ic(s, d):
-    return E.rank_ic(E.cells(valued(s, d), NAMES, 2 * H, 2 * STEP, tradable()))
+    return E.day_ic(valued(s, d), NAMES, 2 * H, 2 * STEP, tradable())
 
 
 def verdict(s, d):

@@ -28,7 +28,7 @@ def valid(spark, d):
 
 
 def daily(spark, d):
-    return E.rank_ic(valid(spark, d))
+    return E.day_ic(valued(spark, d), list(FACTORS), H, STEP, tradable())
 
 
 def flagship(spark, d):

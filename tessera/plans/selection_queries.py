@@ -35,6 +35,10 @@ def trial_cells(s, d):
     return E.cells(factors(s, d), list(TRIALS), H, STEP, tradable())
 
 
+def trial_ic(s, d):
+    return E.day_ic(factors(s, d), list(TRIALS), H, STEP, tradable())
+
+
 def sampled_factors(s, d):
     """The sampled days of all trials with their returns, for queries that read them more than once."""
     valued = factors(s, d).withColumn("fwd", E.forward_return(H)).where(F.col("t") % STEP == 0)
@@ -43,18 +47,18 @@ def sampled_factors(s, d):
 
 def ir_and_correlations(s, d):
     valued = sampled_factors(s, d)
-    ir = written(E.ic_stats(E.rank_ic(E.sampled_cells(valued, list(TRIALS), STEP, tradable()))).select("factor", "ir"), "ir")
+    ir = written(E.ic_stats(E.valued_ic(valued, list(TRIALS), STEP, tradable())).select("factor", "ir"), "ir")
     return ir, written(E.factor_correlations(valued, list(TRIALS), STEP), "corr")
 
 
 def family_p(s, d):
-    ic = written(E.rank_ic(trial_cells(s, d)), "ic")  # read by the sketches and the scores
+    ic = written(trial_ic(s, d), "ic")  # read by the sketches and the scores
     z = E.ic_stats(ic).select(F.col("factor").alias("key"), (F.abs("ir") * F.sqrt("n")).alias("z"))
     return luck.family_p(luck.draw_maxima(luck.unit_tails(sketched(ic), POINTS)), z)
 
 
 def sketches(s, d):
-    return sketched(E.rank_ic(trial_cells(s, d)))
+    return sketched(trial_ic(s, d))
 
 
 def sketched(ic):
