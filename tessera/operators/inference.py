@@ -15,63 +15,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Wt, average_rank, correlation, normal
-from .evaluation import MIN_POOL, forward_return, pooled, rank_ic, two_sided
+from ..functions.hashing import Keys
+from ..sources.store import written
+from .days import PARTS, by_day, centred_ranks, numbers, symbols
+from .evaluation import MIN_POOL, forward_return, pooled, rank_ic, sampled_days, two_sided
 from .ledger import deflated_t, signature_similarity
 from .residuals import plain_mask, plain_rank_ic, summed_forward
 
 
+TILE = 32  # days of values, and of returns, that meet in one task
+
+
 def drawn(*parts) -> Column:
     """A hash that orders keys at random."""
     return F.md5(F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]))
 
 
-def array_corr(a: str, b: str) -> Column:
-    """Pearson of two arrays of doubles within a row; null where one does not vary."""
-    return F.expr(
-        f"""transform(array(struct({a} as a, {b} as b)), r -> aggregate(arrays_zip(r.a, r.b),
-          named_struct('n', 0D, 'x', 0D, 'y', 0D, 'xx', 0D, 'yy', 0D, 'xy', 0D),
-          (s, v) -> named_struct('n', s.n + 1, 'x', s.x + v.a, 'y', s.y + v.b, 'xx', s.xx + v.a * v.a, 'yy', s.yy + v.b * v.b, 'xy', s.xy + v.a * v.b),
-          s -> try_divide(s.n * s.xy - s.x * s.y, sqrt(greatest(0D, s.n * s.xx - s.x * s.x)) * sqrt(greatest(0D, s.n * s.yy - s.y * s.y)))))[0]"""
-    )
+def by_factor(table: pa.Table, names: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each factor of a day with enough cells: its name, the places of its symbols in order, and the centred ranks of factor and return in that order."""
+    place, found = symbols(table)
+    factor = table.column("factor").combine_chunks().dictionary_encode()
+    at, f, fwd = factor.indices.to_numpy(), numbers(table, "f"), numbers(table, "fwd")
+    for i, key in enumerate(factor.dictionary.to_pylist()):
+        rows = np.flatnonzero(at == i)
+        if len(rows) >= names:
+            rows = rows[np.argsort(place[rows])]
+            yield key, place[rows], centred_ranks(f[rows]), centred_ranks(fwd[rows])
 
 
-def ranked_days(valid: DataFrame) -> DataFrame:
-    """Rows (factor, t, names, rf, rr): a day's names in order and the centred ranks of factor and return, as arrays of one day's cross section."""
-    d = pooled(valid).withColumn("rf", average_rank(F.col("f"), "factor", "t") - (F.col("n") + 1) / 2.0).withColumn("rr", average_rank(F.col("fwd"), "factor", "t") - (F.col("n") + 1) / 2.0)
-    cells = F.array_sort(F.collect_list(F.struct("symbol", "rf", "rr")))
-    return d.groupBy("factor", "t").agg(cells.alias("c")).selectExpr("factor", "t", "c.symbol as names", "c.rf as rf", "c.rr as rr")
+def null_ics(found: list[tuple[str, np.ndarray]], reps: int) -> pa.Table:
+    rep = np.tile(np.arange(reps, dtype=np.int32), len(found))
+    ic = np.concatenate([x for _, x in found]) if found else np.empty(0)
+    return pa.table({"factor": pa.array([k for k, _ in found for _ in range(reps)], pa.string()), "rep": pa.array(rep, pa.int32()), "ic": pa.array(ic, pa.float64())})
 
 
 def permuted_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
     """Rows (factor, rep, mean_ic): returns' ranks dealt anew among a day's names, in the order of MD5 of (seed, rep, t, name).
 
-    A day is one row: its repetitions are made inside it, and only a number for each leaves it.
+    A day is one task's work: its names are hashed and put in order once a repetition for all factors, of which each
+    takes its own names; only a number for each repetition leaves the task.
     """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for factor, t, names, rf, rr in zip(*(c.to_pylist() for c in batch.columns)):
-                rf, rr, keys = np.array(rf), np.array(rr), [n.encode() for n in names]
-                norm = np.sqrt((rf @ rf) * (rr @ rr))
-                if norm == 0:
-                    continue
-                ic = np.empty(reps)
-                for rep in range(reps):
-                    head = f"{seed}:{rep}:{t}:".encode()
-                    hashed = np.frombuffer(b"".join([md5(head + k).digest() for k in keys]), ">u8").reshape(-1, 2)
-                    ic[rep] = rf @ rr[np.lexsort((hashed[:, 1], hashed[:, 0]))]
-                yield pa.RecordBatch.from_arrays([pa.array([factor] * reps), pa.array(np.arange(reps, dtype=np.int32)), pa.array(ic / norm)], ["factor", "rep", "ic"])
-
-    made = ranked_days(valid).select("factor", "t", "names", "rf", "rr").mapInArrow(deal, "factor string, rep int, ic double")
+    def deal(table: pa.Table) -> pa.Table:
+        t, keys = table.column("t")[0].as_py(), Keys(symbols(table)[1])
+        days = [(factor, own, rf, rr, (rf @ rf) * (rr @ rr)) for factor, own, rf, rr in by_factor(table, MIN_POOL)]
+        held = []
+        for factor, own, rf, rr, norm in days:
+            if norm > 0:
+                within = np.full(len(keys.names), -1)
+                within[own] = np.arange(len(own))
+                held.append((factor, within, rf, rr, norm**0.5, np.empty(reps)))
+        for rep in range(reps) if held else ():
+            order = keys.order(f"{seed}:{rep}:{t}:".encode())
+            for _, within, rf, rr, norm, ic in held:
+                mine = within[order]
+                ic[rep] = rf @ rr[mine[mine >= 0]] / norm
+        return null_ics([(k[0], k[-1]) for k in held], reps)
+
+    made = by_day(valid.select("factor", "t", "symbol", "f", "fwd"), deal, "factor string, rep int, ic double")
     return made.groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
 
 
 def rolled_ic(valid: DataFrame, reps: int, seed: int) -> DataFrame:
     """As ``permuted_ic``, with the day's returns turned by a random number of places (the audit's null)."""
-    each = ranked_days(valid).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    each = each.withColumn("k", F.expr(f"cast(conv(substr(md5(concat_ws(':', '{seed}', rep, t)), 1, 8), 16, 10) as bigint) % size(rr)"))
-    turned = F.expr("concat(slice(rr, cast(k as int) + 1, size(rr)), slice(rr, 1, cast(k as int)))")
-    return each.withColumn("rr", turned).withColumn("ic", array_corr("rf", "rr")).groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
+
+    def turn(table: pa.Table) -> pa.Table:
+        t = table.column("t")[0].as_py()
+        draws = [int(md5(f"{seed}:{rep}:{t}".encode()).hexdigest()[:8], 16) for rep in range(reps)]
+        held = []
+        for factor, _, rf, rr in by_factor(table, MIN_POOL):
+            if (norm := (rf @ rf) * (rr @ rr)) > 0:
+                n, twice = len(rr), np.concatenate([rr, rr])
+                held.append((factor, np.array([rf @ twice[k % n : k % n + n] for k in draws]) / norm**0.5))
+        return null_ics(held, reps)
+
+    made = by_day(valid.select("factor", "t", "symbol", "f", "fwd"), turn, "factor string, rep int, ic double")
+    return made.groupBy("factor", "rep").agg(F.avg("ic").alias("mean_ic"))
 
 
 def null_test(real: DataFrame, null: DataFrame) -> DataFrame:
@@ -88,37 +107,77 @@ def day_permutation(panel: DataFrame, factors: list[str], horizon: int, step: in
     """Rows (factor, rep, ir): mean over deviation of daily IC once whole days of returns change places; rep -1 is the true order.
 
     All days of the calendar change places, by a hash; a sampled day's tradable values meet the returns of the day that
-    came to it, by ordinal ranks (ties by symbol) of two names or more. A day is one row of arrays over the dense panel's
-    symbols, so pairs of days meet, not cells, and ranks are taken within the row. Null under two days.
+    came to it, by ordinal ranks (ties by symbol) of two names or more. A day is a row of places over the dense panel's
+    symbols, sorted once; two days that meet take their ranks from these places by counting. Null under two days.
     """
     d = panel.withColumn("fwd", forward_return(horizon))
-    row = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("symbol", c))), lambda x: x["v"])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors]))
-    values = d.where(F.col("t") % step == 0).select("t", "symbol", ok.alias("ok"), pairs.alias("p")).groupBy("p.factor", "t").agg(row(F.when(F.col("ok"), F.col("p.f")).alias("v")).alias("f"))
-    returns = d.groupBy(F.col("t").alias("u")).agg(row(F.col("fwd").alias("v")).alias("w"))
-    days = d.select("t").distinct()
+    names = list(factors)
+
+    def placed(table: pa.Table) -> pa.Table:
+        own = np.argsort(symbols(table)[0])
+        out = []
+        for i, key in enumerate([*names, None]):
+            v = numbers(table, "fwd" if key is None else f"f{i}")[own]
+            if key is not None:
+                v[~table.column("ok").to_numpy().astype(bool)[own]] = np.nan
+            place = np.full(len(v), -1, np.int32)
+            order = np.argsort(v, kind="stable")[: int((~np.isnan(v)).sum())]
+            place[order] = np.arange(len(order), dtype=np.int32)
+            out.append((key, place))
+        t = table.column("t")[0].as_py()
+        sampled = [k is None or t % step == 0 for k, _ in out]
+        keep = [x for x, s in zip(out, sampled) if s]
+        return pa.table({"factor": pa.array([k for k, _ in keep], pa.string()), "t": pa.array([t] * len(keep), pa.int32()), "place": pa.array([p.tobytes() for _, p in keep], pa.binary())})
+
+    wide = d.select("t", "symbol", F.coalesce(ok, F.lit(False)).alias("ok"), F.col("fwd").cast("double").alias("fwd"), *[F.col(k).cast("double").alias(f"f{i}") for i, k in enumerate(names)])
+    rows = written(by_day(wide, placed, "factor string, t int, place binary"), "places")
+    days = rows.where("factor is null").select("t")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(drawn(seed, F.col("rep"), F.col("u")), "u")) - 1
     moved = days.select(F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("t", place)
     order = moved.select("rep", "t", "u").unionByName(days.select(F.lit(-1).alias("rep"), "t", F.col("t").alias("u"))).where(F.col("t") % step == 0)
-
-    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            factor, rep, f, w = batch.columns
-            ends = [c.offsets.to_numpy() for c in (f, w)]
-            flat = [c.values.to_numpy(zero_copy_only=False).astype(float) for c in (f, w)]
-            out = np.full(batch.num_rows, np.nan)
-            for i in range(batch.num_rows):
-                x, y = (v[e[i] : e[i + 1]] for v, e in zip(flat, ends))
-                both = ~(np.isnan(x) | np.isnan(y))
-                n = int(both.sum())
+    # pairs of days lie in tiles of TILE days of values by TILE days of returns: a day is sent once to each tile, not once for each pair
+    down, across = F.expr(f"t div {step * TILE}"), F.expr(f"u div {TILE}")
+    tiles = order.select(down.alias("p"), across.alias("q")).distinct()
+    asked = order.select(down.alias("p"), across.alias("q"), "rep", "t", "u", F.lit(None).cast("string").alias("factor"), F.lit(None).cast("binary").alias("place"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("rep", "u")]
+    values = rows.where("factor is not null").withColumn("p", down).join(F.broadcast(tiles), "p").select("p", "q", none[0], "t", none[1], "factor", "place")
+    returns = rows.where("factor is null").select(F.col("t").alias("u"), "place").withColumn("q", across).join(F.broadcast(tiles), "q")
+    returns = returns.select("p", "q", none[0], F.lit(None).cast("int").alias("t"), "u", F.lit(None).cast("string").alias("factor"), "place")
+
+    def correlate(table: pa.Table) -> pa.Table:
+        left: dict[int, list[tuple[str, np.ndarray]]] = {}
+        right, pairs = {}, []
+        for rep, t, u, factor, held in zip(*(table.column(c) for c in ("rep", "t", "u", "factor", "place"))):
+            rep, t, u = rep.as_py(), t.as_py(), u.as_py()
+            if rep is not None:
+                pairs.append((rep, t, u))
+                continue
+            v = np.frombuffer(held.as_buffer(), np.int32)
+            if t is None:
+                right[u] = v
+            else:
+                left.setdefault(t, []).append((factor.as_py(), v))
+        out = []
+        for rep, t, u in pairs:
+            y = right[u]
+            for factor, x in left.get(t, ()):
+                both = np.flatnonzero((x >= 0) & (y >= 0))
+                n = len(both)
+                ic = None
                 if n >= 2:
-                    a, b = (np.argsort(np.argsort(v[both], kind="stable"), kind="stable") - (n - 1) / 2 for v in (x, y))
-                    out[i] = (a @ b) / (a @ a)
-            yield pa.RecordBatch.from_arrays([factor, rep, pa.array(out)], ["factor", "rep", "ic"])
+                    a, b = (np.empty(n) for _ in range(2))
+                    for v, r in ((x, a), (y, b)):
+                        mine = v[both]
+                        seen = np.zeros(len(v), np.int32)
+                        seen[mine] = 1
+                        r[:] = np.cumsum(seen, dtype=np.int32)[mine] - (n + 1) / 2
+                    ic = float(a @ b) / float(a @ a)
+                out.append((factor, rep, ic))
+        f, r, c = zip(*out) if out else ((), (), ())
+        return pa.table({"factor": pa.array(f, pa.string()), "rep": pa.array(r, pa.int32()), "ic": pa.array(c, pa.float64())})
 
-    met = order.join(values, "t").join(returns, "u").select("factor", "rep", "f", "w").mapInArrow(correlate, "factor string, rep int, ic double")
-    ic = F.when(~F.isnan("ic"), F.col("ic"))
-    return met.groupBy("factor", "rep").agg(F.when(F.count(ic) >= 2, F.try_divide(F.avg(ic), F.stddev_samp(ic))).alias("ir")).where("ir is not null")
+    met = asked.unionByName(values).unionByName(returns).repartition(PARTS, "p", "q").groupBy("p", "q").applyInArrow(correlate, "factor string, rep int, ic double")
+    return met.groupBy("factor", "rep").agg(F.when(F.count("ic") >= 2, F.try_divide(F.avg("ic"), F.stddev_samp("ic"))).alias("ir")).where("ir is not null")
 
 
 def alignment(irs: DataFrame, level: float = 0.01) -> DataFrame:
@@ -178,10 +237,71 @@ def tail_metrics(block: DataFrame, cost_bps: float = 10.0, least: int = 10) -> D
     return g.select("factor", "n", *[F.when(F.col("n") >= least, F.col(k)).alias(k) for k in g.columns if k not in ("factor", "n")])
 
 
+def least_hashes(t: int, names: list[bytes], selections: list[np.ndarray], width: int) -> list[list[str]]:
+    """For each selection (places in ``names``) the least MD5 of (position, t, name) by position; a name is hashed once for all selections."""
+    keys = Keys(names)
+    out: list[list[str]] = [[] for _ in selections]
+    for i in range(width):
+        hi, lo = keys.digests(f"{i}:{t}:".encode())
+        for own, sig in zip(selections, out):
+            h = hi[own]
+            first = h.min()
+            sig.append(f"{int(first):016x}{int(lo[own][h == first].min()):016x}")
+    return out
+
+
+def least_by_place(days: DataFrame, width: int) -> DataFrame:
+    return days.groupBy("factor").agg(F.array(*[F.min(F.col("sig")[i]) for i in range(width)]).alias("sig"))
+
+
 def selection_signature(block: DataFrame, width: int = 32) -> DataFrame:
-    """Rows (factor, sig): by position the least MD5 of (position, t, name) over all selections."""
-    picks = block.select("factor", "t", F.explode("held").alias("s")).select("factor", F.concat_ws(":", F.col("t").cast("string"), "s").alias("key"))
-    return picks.groupBy("factor").agg(F.array(*[F.min(drawn(i, F.col("key"))) for i in range(width)]).alias("sig"))
+    """Rows (factor, sig): by position the least MD5 of (position, t, name) over all selections. A day's names are hashed once for all factors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = table.column("held").combine_chunks()
+        flat = held.flatten().dictionary_encode()
+        ends, at = np.append(0, np.cumsum(held.value_lengths().to_numpy())), flat.indices.to_numpy()
+        some = [i for i in range(len(held)) if ends[i + 1] > ends[i]]
+        sigs = least_hashes(table.column("t")[0].as_py(), [k.encode() for k in flat.dictionary.to_pylist()], [at[ends[i] : ends[i + 1]] for i in some], width)
+        return pa.table({"factor": table.column("factor").take(some) if some else pa.array([], pa.string()), "sig": pa.array(sigs, pa.list_(pa.string()))})
+
+    return least_by_place(by_day(block.select("factor", "t", "held"), run, "factor string, sig array<string>"), width)
+
+
+def top_k_days(panel: DataFrame, factors: list[str], horizon: int, step: int, ok: Column, k_frac: float = 0.2, width: int = 0, least: int = MIN_POOL) -> DataFrame:
+    """Rows (factor, t, k, spread, sig): what ``top_k_block`` tells of the panel's cells, each day in one task; with ``width`` also the day's part of the signature.
+
+    The best k come by selection, not by sorting: all above the k-th value, and of its ties the last by symbol.
+    """
+    names = list(factors)
+
+    def run(table: pa.Table) -> pa.Table:
+        t, fwd, text = table.column("t")[0].as_py(), numbers(table, "fwd"), table.column("symbol")
+        found, held = [], []
+        for i, factor in enumerate(names):
+            f = numbers(table, f"f{i}")
+            there = np.flatnonzero(~np.isnan(f))
+            n = len(there)
+            if n < least:
+                continue
+            k = max(1, int(np.round(n * k_frac)))  # to even, as bround
+            v = f[there]
+            edge = np.partition(v, n - k)[n - k]
+            top = there[v > edge]
+            ties = there[v == edge]
+            if len(top) + len(ties) > k:
+                last = sorted(zip([x.encode() for x in text.take(ties).to_pylist()], ties.tolist()), reverse=True)[: k - len(top)]
+                ties = np.array([at for _, at in last], np.int64)
+            own = np.concatenate([top, ties])
+            held.append(own)
+            found.append((factor, k, float(fwd[own].mean() - fwd[there].mean())))
+        sigs = least_hashes(t, [x.encode() for x in text.to_pylist()], held, width) if width and held else [None] * len(held)
+        f, k, spread = zip(*found) if found else ((), (), ())
+        kind = table.column("t").type
+        return pa.table({"factor": pa.array(f, pa.string()), "t": pa.array([t] * len(found), kind), "k": pa.array(k, pa.int32()), "spread": pa.array(spread, pa.float64()), "sig": pa.array(sigs, pa.list_(pa.string()))})
+
+    d = sampled_days(panel.withColumn("fwd", forward_return(horizon)), names, step, ok, "symbol")
+    return by_day(d, run, f"factor string, t {dict(d.dtypes)['t']}, k int, spread double, sig array<string>")
 
 
 def selection_pairs(block: DataFrame) -> DataFrame:

@@ -70,13 +70,17 @@ def tails(s, d):
     return luck.unit_tails(sketches(s, d), POINTS)
 
 
-def signed(block):
-    made = I.selection_signature(block).select(F.col("factor").alias("key"), "sig", F.lit(0.2).alias("k_frac"))
+def signed(signatures):
+    made = signatures.select(F.col("factor").alias("key"), "sig", F.lit(0.2).alias("k_frac"))
     return written(made, "signatures")  # read several times
 
 
+def top_days(s, d, width=0):
+    return I.top_k_days(factors(s, d), list(TRIALS), H, STEP, tradable(), width=width)
+
+
 def signatures(s, d):
-    return signed(I.top_k_block(trial_cells(s, d)))
+    return signed(I.least_by_place(top_days(s, d, 32), 32))
 
 
 def signed_trail(s, d):
@@ -91,7 +95,7 @@ def residual_of(book):
 def admission(s, d):
     cells = written(trial_cells(s, d), "cells")
     block = written(I.top_k_block(cells), "block")  # read by the spreads and the signatures
-    return tailwall.admission(spread_blocks(cells, block), signed(block))
+    return tailwall.admission(spread_blocks(cells, block), signed(I.selection_signature(block)))
 
 
 def spread_blocks(cells, block):
@@ -107,7 +111,8 @@ def spread_blocks(cells, block):
 
 
 def fixed_deflation(s, d):
-    m = I.tail_metrics(I.top_k_block(trial_cells(s, d))).where("spread_ir is not null")
+    none = F.lit(None).cast("double")  # no turnover and no order within the best k is asked for
+    m = I.tail_metrics(top_days(s, d).withColumns({"tail_ic": none, "turn": none})).where("spread_ir is not null")
     b = m.select("factor", "spread_ir", "g3", "g4", "n", F.col("n").alias("n_days"), F.lit(None).cast("double").alias("s0_emp"))
     return rounded(tailwall.deflation(b, F.lit(0.0), fixed=F.lit(BAR)).select("factor", "spread_ir", "n", "sr0", "t_adj", "pass_g3", "required"))
 

@@ -1,10 +1,14 @@
 """Days ranked in one task against the windows and loops they stand for."""
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import Keys
 from tessera.operators import evaluation as E
+from tessera.operators import inference as I
 
 ROUND = 9
 
@@ -35,3 +39,42 @@ def test_day_ic_equals_the_windows_and_needs_none_by_factor(spark):
     assert "Window" not in plan and "Generate" not in plan  # no cell is sorted or copied for each factor
     near(E.day_ic(p.drop("fwd"), names, 3, 2, ok), E.rank_ic(E.cells(p.drop("fwd"), names, 3, 2, ok)), ["factor", "t"])
     assert E.valued_ic(p.limit(0), names, 2, ok).count() == 0
+
+
+def test_keys_hash_as_hashlib_does():
+    names = [b"", b"a", "ü".encode(), b"x" * 40, b"supplier-17"]
+    for held in (names, [*names, b"y" * 90]):
+        for head in (b"", b"7:", b"42:137:364:"):
+            hi, lo = Keys(held).digests(head)
+            assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(hi, lo)] == [md5(head + k).hexdigest() for k in held]
+            assert Keys(held).order(head).tolist() == sorted(range(len(held)), key=lambda i: md5(head + held[i]).hexdigest())
+
+
+def test_best_k_and_signature_by_day(spark):
+    p, names, ok = made_panel(spark).drop("fwd"), ["tied", "plain", "flat"], F.col("plain") > -1
+    block = I.top_k_block(E.cells(p, names, 3, 2, ok))
+    days = I.top_k_days(p, names, 3, 2, ok, width=4)
+    near(days.select("factor", "t", "k", "spread"), block.select("factor", "t", "k", "spread"), ["factor", "t"])
+    picks = block.select("factor", F.explode("held").alias("s"), "t").collect()
+    want = {f: [min(md5(f"{i}:{r.t}:{r.s}".encode()).hexdigest() for r in picks if r.factor == f) for i in range(4)] for f in {r.factor for r in picks}}
+    assert {r.factor: r.sig for r in I.least_by_place(days, 4).collect()} == want == {r.factor: r.sig for r in I.selection_signature(block, 4).collect()}
+
+
+def test_nulls_within_a_day(spark):
+    """A day is dealt over parts of its own, and its names are hashed once for all factors."""
+    cells = E.sampled_cells(made_panel(spark), ["tied", "plain", "flat"], 2, F.lit(True))
+    frame = cells.toPandas()
+    want: dict = {}
+    for (factor, t), g in frame.groupby(["factor", "t"]):
+        g = g.sort_values("symbol")
+        f, r = g.f.rank().to_numpy(), g.fwd.rank().to_numpy()
+        if len(g) < 30 or f.std() == 0:
+            continue
+        for rep in range(5):
+            order = np.argsort([md5(f"42:{rep}:{t}:{s}".encode()).hexdigest() for s in g.symbol])
+            k = int(md5(f"9:{rep}:{t}".encode()).hexdigest()[:8], 16) % len(g)
+            want.setdefault((factor, rep), []).append((np.corrcoef(f, r[order])[0, 1], np.corrcoef(f, np.roll(r, -k))[0, 1]))
+    for made, i in ((I.permuted_ic(cells, 5, 42), 0), (I.rolled_ic(cells, 5, 9), 1)):
+        got = {(r.factor, r.rep): r.mean_ic for r in made.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - np.mean([x[i] for x in v])) < 1e-12 for k, v in want.items())
+    assert "Generate" not in I.rolled_ic(cells, 5, 9)._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
