@@ -1,16 +1,21 @@
 """What is left of a factor once the factors of a book are taken out, day by day, in the space of ranks.
 
-The least squares of a day needs sums of products only: one aggregation gives them for every factor and day, and a
-Cholesky solve over arrays runs on the rows of that small table, in the JVM. Book columns that add nothing (copies,
-sums of others) get a zero pivot and are passed over, which changes no residual.
+A day's cross section is one task's work: its columns are ranked, the sums of products are made and solved by Cholesky
+there. Book columns that add nothing (copies, sums of others) get a zero pivot and are passed over, which changes no residual.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import Wt, correlation, finite
+from ..sources.store import written
+from .days import by_day, numbers, pearson, symbols
 from .evaluation import MIN_POOL
 
 TOLERANCE = 1e-10
@@ -23,19 +28,62 @@ def ordinal_share(x: str, *by: str, least: int = MIN_POOL) -> Column:
     return F.when(F.col(x).isNotNull() & (n >= least), place / (n + 1.0))
 
 
-def least_squares(gram: str, moments: str, m: int) -> Column:
-    """Coefficients that solve gram * b = moments for a flat m x m array and an array of m, by Cholesky; dependent columns get 0."""
-    total = lambda e: f"aggregate({e}, 0D, (s, v) -> s + v)"
-    own = total("if(j < i, zip_with(row, slice(get(L, j), 1, j), (a, b) -> a * b), transform(row, a -> a * a))")
-    entry = f"if(j < i, if(get(get(L, j), j) > 0, s / get(get(L, j), j), 0D), if(s > {TOLERANCE} * {gram}[i * {m} + i], sqrt(s), 0D))"
-    row = f"aggregate(sequence(0, i), cast(array() as array<double>), (row, j) -> concat(row, transform(array({gram}[i * {m} + j] - {own}), s -> {entry})))"
-    lower = f"aggregate(sequence(0, {m - 1}), cast(array() as array<array<double>>), (L, i) -> concat(L, array({row})))"
-    pivot = "if(get(get(L, i), i) > 0, s / get(get(L, i), i), 0D)"
-    down_dot = total("zip_with(y, slice(get(L, i), 1, i), (a, b) -> a * b)")
-    down = f"aggregate(sequence(0, {m - 1}), cast(array() as array<double>), (y, i) -> concat(y, transform(array({moments}[i] - {down_dot}), s -> {pivot})))"
-    up_dot = total(f"zip_with(x, slice(transform(L, r -> get(r, i)), i + 2, {m}), (a, b) -> a * b)")
-    up = f"aggregate(sequence({m - 1}, 0), cast(array() as array<double>), (x, i) -> concat(transform(array(y[i] - {up_dot}), s -> {pivot}), x))"
-    return F.expr(f"transform(array({lower}), L -> transform(array({down}), y -> {up})[0])[0]")
+def least_squares(gram: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    """Coefficients that solve gram * b = moments by Cholesky; dependent columns get 0."""
+    m = len(moments)
+    lower, y, x = np.zeros((m, m)), np.zeros(m), np.zeros(m)
+    for i in range(m):
+        for j in range(i):
+            lower[i, j] = (gram[i, j] - lower[i, :j] @ lower[j, :j]) / lower[j, j] if lower[j, j] > 0 else 0.0
+        left = gram[i, i] - lower[i, :i] @ lower[i, :i]
+        lower[i, i] = np.sqrt(left) if left > TOLERANCE * gram[i, i] else 0.0
+    for i in range(m):
+        y[i] = (moments[i] - lower[i, :i] @ y[:i]) / lower[i, i] if lower[i, i] > 0 else 0.0
+    for i in reversed(range(m)):
+        x[i] = (y[i] - lower[i + 1 :, i] @ x[i + 1 :]) / lower[i, i] if lower[i, i] > 0 else 0.0
+    return x
+
+
+def ordinal_shares(v: np.ndarray, least: int) -> np.ndarray:
+    """Ordinal ranks over n + 1 of values that lie in order of symbol; NaN for missing ones, all NaN where fewer than ``least`` are present."""
+    out = np.full(len(v), np.nan)
+    n = int((~np.isnan(v)).sum())
+    if n >= least:
+        out[np.argsort(v, kind="stable")[:n]] = np.arange(1, n + 1) / (n + 1.0)
+    return out
+
+
+def day_residuals(values: list[np.ndarray], book: list[np.ndarray], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``values``: its ordinal ranks on a day, NaN for missing ones, and what the ranks of ``book`` leave of them, NaN outside the fit. All in order of symbol."""
+    ranks = [ordinal_shares(v, least) for v in book]
+    given = [z for z in ranks if not np.isnan(z).all()]
+    whole = np.ones(len(values[0]), bool)
+    for z in given:
+        whole &= ~np.isnan(z)
+    for v in values:
+        x = ordinal_shares(v, least)
+        own = np.flatnonzero(whole & ~np.isnan(x))
+        if not given or len(own) < least:
+            yield x, x
+            continue
+        z = np.stack([k[own] for k in given], 1) - 0.5
+        y = x[own] - 0.5
+        mz, mx = z.mean(0), y.mean()
+        centred = z - mz
+        resid = np.full(len(x), np.nan)
+        resid[own] = y - mx - centred @ least_squares(centred.T @ centred, centred.T @ (y - mx))
+        yield x, resid
+
+
+def _columns(panel: DataFrame, factors: list[str], book: list[str], *more: Column) -> DataFrame:
+    return panel.select("t", "symbol", *more, *[F.col(k).cast("double").alias(f"{p}{i}") for p, ks in (("x", factors), ("z", book)) for i, k in enumerate(ks)])
+
+
+def _day(table: pa.Table, m: int, n: int, least: int):
+    """(rows in order of symbol, residuals of a day's factors)."""
+    order = np.argsort(symbols(table)[0])
+    held = [[numbers(table, f"{p}{i}")[order] for i in range(k)] for p, k in (("x", m), ("z", n))]
+    return order, day_residuals(*held, least)
 
 
 def orthogonal_residual(panel: DataFrame, factors: list[str], book: list[str], least: int = MIN_POOL) -> DataFrame:
@@ -44,31 +92,21 @@ def orthogonal_residual(panel: DataFrame, factors: list[str], book: list[str], l
     A day fits on the names present in the factor and in all book columns that have ranks that day. With no such
     column, or with fewer than ``least`` such names, the rank itself stands; names outside the fit have null. Days on
     which a factor has fewer than ``least`` values give no rows. ``book`` is a list of columns, so its square bounds
-    the sums of a day; the panel is shuffled once by day, and the table of days joins back on (factor, t).
+    the sums of a day; the panel is shuffled once by day, and a task ranks and fits one day.
     """
-    m = len(book)
-    ranks = panel.select("t", "symbol", *[ordinal_share(k, "t", least=least).alias(f"x{i}") for i, k in enumerate(factors)], *[ordinal_share(k, "t", least=least).alias(f"z{i}") for i, k in enumerate(book)])
-    day = Window.partitionBy("t")
-    there = [F.max(F.col(f"z{i}").isNotNull()).over(day) for i in range(m)]
-    whole, some = F.lit(True), F.lit(False)
-    for i in range(m):
-        whole, some = whole & (F.col(f"z{i}").isNotNull() | ~there[i]), some | there[i]
-    z = F.array(*[F.coalesce(F.col(f"z{i}") - 0.5, F.lit(0.0)) for i in range(m)]) if m else F.expr("cast(array() as array<double>)")
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), (F.col(f"x{i}") - 0.5).alias("x")) for i, k in enumerate(factors)]))
-    long = ranks.select("t", "symbol", z.alias("z"), whole.alias("whole"), some.alias("some"), cells.alias("c")).select("c.factor", "t", "symbol", "c.x", "z", "whole", "some").where("x is not null")
-    if not m:
-        return long.select("factor", "t", "symbol", (F.col("x") + 0.5).alias("resid"))
-    zi = [F.col("z")[i] for i in range(m)]
-    sums = long.where("whole").groupBy("factor", "t").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mx"), F.array(*[F.avg(c) for c in zi]).alias("mz"),
-        F.array(*[F.sum(zi[min(i, j)] * zi[max(i, j)]) for i in range(m) for j in range(m)]).alias("zz"), F.array(*[F.sum(F.col("x") * c) for c in zi]).alias("xz"),
-    )
-    centred = sums.withColumn("gram", F.expr(f"transform(zz, (v, k) -> v - n * mz[k div {m}] * mz[k % {m}])")).withColumn("moments", F.expr("zip_with(xz, mz, (v, z) -> v - n * mx * z)"))
-    fit = centred.select("factor", "t", "n", "mx", "mz", least_squares("gram", "moments", m).alias("beta"))
-    fitted = F.expr("aggregate(zip_with(zip_with(z, mz, (a, b) -> a - b), beta, (a, b) -> a * b), mx, (s, v) -> s + v)")
-    kept = ~F.col("some") | F.coalesce(F.col("n") < least, F.lit(True))
-    resid = F.when(kept, F.col("x") + 0.5).when(F.col("whole"), F.col("x") - fitted)
-    return long.join(fit, ["factor", "t"], "left").select("factor", "t", "symbol", resid.alias("resid"))
+    names = list(factors)
+
+    def run(table: pa.Table) -> pa.Table:
+        order, made = _day(table, len(names), len(book), least)
+        text, out = table.column("symbol").combine_chunks(), []
+        for factor, (x, resid) in zip(names, made):
+            kept = np.flatnonzero(~np.isnan(x))
+            r = resid[kept]
+            out.append(pa.table({"factor": pa.array([factor]).take(pa.array(np.zeros(len(kept), np.int64))), "t": table.column("t").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(kept), np.int64))), "symbol": text.take(pa.array(order[kept])), "resid": pa.array(r, mask=np.isnan(r))}))
+        return pa.concat_tables(out)
+
+    d = _columns(panel, names, book)
+    return by_day(d, run, f"factor string, t {dict(d.dtypes)['t']}, symbol string, resid double")
 
 
 def plain_mask() -> Column:
@@ -93,8 +131,12 @@ def plain_rank_ic(cells: DataFrame, least: int = MIN_POOL) -> DataFrame:
 
 def mean_autocorrelation(resid: DataFrame, lag: int = 1) -> DataFrame:
     """Rows (factor, means, autocorr): days that have residuals, and the correlation of their means with those ``lag`` such days later; null where these do not vary."""
-    means = resid.where("resid is not null").groupBy("factor", "t").agg(F.avg("resid").alias("a"))
-    means = means.withColumn("b", F.lead("a", lag).over(Window.partitionBy("factor").orderBy("t")))
+    return autocorrelation(resid.groupBy("factor", "t").agg(F.avg("resid").alias("a")), lag)
+
+
+def autocorrelation(means: DataFrame, lag: int = 1) -> DataFrame:
+    """``mean_autocorrelation`` of ``means(factor, t, a)``."""
+    means = means.where("a is not null").withColumn("b", F.lead("a", lag).over(Window.partitionBy("factor").orderBy("t")))
     x, y = F.when(F.col("b").isNotNull(), F.col("a")), F.col("b")
     return means.groupBy("factor").agg(F.count("*").alias("means"), F.when(F.stddev_pop(x) * F.stddev_pop(y) >= 1e-12, correlation(x, y)).alias("autocorr"))
 
@@ -106,11 +148,27 @@ def residual_metrics(panel: DataFrame, factors: list[str], book: list[str], hori
     each day that has residuals with the next one that has; null under ``least_means`` days, and where the means are all
     zero, as they are on days with a fit. An empty book has no residuals to speak of: both are null.
     """
-    resid = orthogonal_residual(panel, factors, book)
-    ahead = summed_forward(panel, horizon).where(plain_mask()).select("t", "symbol", "fwd")
-    ic = plain_rank_ic(resid.join(ahead, ["t", "symbol"]).select("factor", "t", "symbol", F.col("resid").alias("f"), "fwd"))
-    signal = ic.groupBy("factor").agg(F.avg("ic").alias("m"), F.count("*").alias("days"))
-    auto = mean_autocorrelation(resid)
+    held = list(factors)
+
+    def run(table: pa.Table) -> pa.Table:
+        order, made = _day(table, len(held), len(book), MIN_POOL)
+        fwd, out = numbers(table, "fwd")[order], []
+        for factor, (_, resid) in zip(held, made):
+            there = ~np.isnan(resid)
+            both, ic = there & ~np.isnan(fwd), None
+            if (n := int(both.sum())) >= MIN_POOL:
+                a, b = (ordinal_shares(v[both], MIN_POOL) * (n + 1) - (n + 1) / 2 for v in (resid, fwd))
+                ic = pearson(a, b)
+            out.append((factor, float(resid[there].mean()) if there.any() else None, ic))
+        f, a, c = zip(*out)
+        t = table.column("t").combine_chunks().slice(0, 1)
+        return pa.table({"factor": pa.array(f, pa.string()), "t": t.take(pa.array([0] * len(out))), "a": pa.array(a, pa.float64()), "ic": pa.array(c, pa.float64())})
+
+    ahead = F.when(plain_mask(), F.col("fwd")).cast("double").alias("fwd")
+    d = _columns(summed_forward(panel, horizon), held, book, ahead)
+    days = written(by_day(d, run, f"factor string, t {dict(d.dtypes)['t']}, a double, ic double"), "residual_days")  # read twice
+    signal = days.where("ic is not null").groupBy("factor").agg(F.avg("ic").alias("m"), F.count("*").alias("days"))
+    auto = autocorrelation(days)
     names = panel.sparkSession.createDataFrame([(k,) for k in factors], "factor string")
     d = names.join(signal, "factor", "left").join(auto, "factor", "left").na.fill(0, ["days", "means"])
     ok = F.lit(bool(book))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import Keys
 from tessera.operators import evaluation as E
 from tessera.operators import inference as I
+from tessera.operators import residuals
 
 ROUND = 9
 
@@ -78,3 +79,10 @@ def test_nulls_within_a_day(spark):
         got = {(r.factor, r.rep): r.mean_ic for r in made.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - np.mean([x[i] for x in v])) < 1e-12 for k, v in want.items())
     assert "Generate" not in I.rolled_ic(cells, 5, 9)._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_residuals_take_no_window_by_day(spark):
+    """Ranks of a day's columns were windows, each with a sort of the whole day in the memory of one task."""
+    p = made_panel(spark)
+    plan = residuals.orthogonal_residual(p, ["plain"], ["tied", "flat"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
