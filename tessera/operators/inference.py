@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import Wt, average_rank, correlation, normal
 from ..functions.hashing import Keys
 from ..sources.store import written
+from . import rolling
 from .days import PARTS, by_day, centred_ranks, numbers, symbols
-from .evaluation import MIN_POOL, forward_return, pooled, rank_ic, sampled_days, two_sided
+from .evaluation import MIN_POOL, forward_return, pooled, rank_ic, sampled_days, two_sided, valued_ic
 from .ledger import deflated_t, signature_similarity
 from .residuals import plain_mask, plain_rank_ic, summed_forward
 
@@ -367,17 +368,16 @@ def u_regime_gated(days: DataFrame, regimes: DataFrame, least_cos: float = 0.0,
 def beta_rolling(panel: DataFrame, window: int = 60, least: int = 30) -> DataFrame:
     """The panel with ``beta``: rolling mean-product covariance with the equal-weight market over its variance."""
     r = panel.withColumn("_r", F.try_divide(F.col("c"), F.lag("c", 1).over(Wt())) - 1).withColumn("_m", F.avg("_r").over(Window.partitionBy("t")))
-    w = Wt().rowsBetween(-(window - 1), 0)
-    m = lambda c: F.when(F.count(c).over(w) >= least, F.avg(c).over(w))
-    x, y = F.col("_r"), F.col("_m")
-    return r.withColumn("beta", F.try_divide(m(x * y) - m(x) * m(y), m(y * y) - m(y) * m(y))).drop("_r", "_m")
+    sums = {"_r": F.col("_r"), "_m": F.col("_m"), "_rm": F.col("_r") * F.col("_m"), "_mm": F.col("_m") * F.col("_m")}
+    d = rolling.with_rolling(r.withColumns(sums), {(k, window, least, "avg") for k in sums})
+    m = lambda k: F.col(rolling.name(k, window, least, "avg"))
+    return d.withColumn("beta", F.try_divide(m("_rm") - m("_r") * m("_m"), m("_mm") - m("_m") * m("_m"))).select(*panel.columns, "beta")
 
 
 def exposure(panel: DataFrame, factors: list[str], to: str, step: int, least: int = MIN_POOL) -> DataFrame:
     """Rows (factor, exposure, days): mean daily rank correlation of each factor with the column ``to``."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("f")) for k in factors])
-    d = panel.where((F.col("t") % step == 0) & F.col(to).isNotNull()).select("t", "symbol", F.col(to).alias("fwd"), F.explode(pairs).alias("p")).select("p.factor", "t", F.lit(None).cast("date").alias("date"), "symbol", "p.f", "fwd").where("f is not null")
-    return rank_ic(d, least).groupBy("factor").agg(F.avg("ic").alias("exposure"), F.count("*").alias("days"))
+    ic = valued_ic(panel.withColumns({"fwd": F.col(to), "date": F.lit(None).cast("date")}), factors, step, F.lit(True), least)
+    return ic.groupBy("factor").agg(F.avg("ic").alias("exposure"), F.count("*").alias("days"))
 
 
 def region_stability(ic: DataFrame, dev_end: str, sel_end: str, months: tuple[int, ...] = (-3, -2, -1, 1, 2, 3), spread: float = 0.5, least: int = 10) -> DataFrame:

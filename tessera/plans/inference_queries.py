@@ -11,6 +11,7 @@ from ..operators import evaluation as E
 from ..operators import inference as I
 from ..sources.market import panel
 from ..sources.panel import tradable
+from ..sources.store import written
 from .expr import evaluate
 from .research_queries import _VALUED, D, FACTORS, H, STEP, daily, rounded, valid, valued
 
@@ -34,9 +35,29 @@ def short_ic(s, d):
     return E.day_ic(valued(s, d), NAMES, 2 * H, 2 * STEP, tradable())
 
 
+def sampled(panel):
+    """The sampled days of both factors with their returns, for queries that read them more than once."""
+    d = panel.withColumn("fwd", E.forward_return(H)).where(F.col("t") % STEP == 0)
+    return written(d.select("t", "date", "symbol", "fwd", "listed", "amount", *NAMES, *[c for c in d.columns if c == "beta"]), "sampled")
+
+
+def real_and_cells(days):
+    ic = written(E.valued_ic(days, NAMES, STEP, tradable()), "ic")
+    return ic, ic.groupBy("factor").agg(F.avg("ic").alias("real_mean")), E.sampled_cells(days, NAMES, STEP, tradable())
+
+
 def verdict(s, d):
-    ic, v = daily(s, d), valid(s, d)
-    return I.verdicts(E.ic_stats(ic), I.null_test(I.mean_rank_ic(v), I.permuted_ic(v, REPS, SEED)), E.top_k_summary(E.top_k(v), 52 / STEP), beta_exposure(s, d), I.series_moments(ic), BAR)
+    days = sampled(I.beta_rolling(valued(s, d)))
+    ic, real, v = real_and_cells(days)
+    return I.verdicts(E.ic_stats(ic), I.null_test(real, I.permuted_ic(v, REPS, SEED)), E.top_k_summary(E.top_k(v), 52 / STEP), I.exposure(days, NAMES, "beta", STEP), I.series_moments(ic), BAR)
+
+
+def null_of(make, seed):
+    def made(s, d):
+        _, real, cells = real_and_cells(sampled(valued(s, d)))
+        return tested(real, make(cells, REPS, seed))
+
+    return made
 
 
 def tested(real, null):
@@ -49,8 +70,8 @@ def causal(s, d):
 
 
 QUERIES = {
-    "permutation_null": lambda s, d: tested(I.mean_rank_ic(valid(s, d)), I.permuted_ic(valid(s, d), REPS, SEED)),
-    "cyclic_permutation": lambda s, d: tested(I.mean_rank_ic(valid(s, d)), I.rolled_ic(valid(s, d), REPS, 123)),
+    "permutation_null": null_of(I.permuted_ic, SEED),
+    "cyclic_permutation": null_of(I.rolled_ic, 123),
     "day_permutation": lambda s, d: rounded(I.alignment(I.day_permutation(valued(s, d), NAMES, H, STEP, tradable(), REPS, SEED))),
     "ordinal_ic": lambda s, d: rounded(I.ordinal_ic(valid(s, d))),
     "tail_block": lambda s, d: rounded(block(s, d).drop("held")),
