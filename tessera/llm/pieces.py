@@ -22,6 +22,8 @@ CHUNK = re.compile("\n[^▁\n]*|▁+[^▁\n]*")
 
 
 CACHE = 200_000
+SHORT = 31  # characters of the longest chunk whose agenda is a column among others
+COLUMNS = 16_384  # chunks merged in step
 
 
 class Pieces:
@@ -29,7 +31,9 @@ class Pieces:
 
     No piece holds a space mark after another character or a line feed beside one (checked on loading), so a text
     can be cut before each run of space marks and around line feeds without changing its pieces. What became of such
-    chunks, and of their parts, is kept in two generations of ``cache`` entries at most: what is met again stays.
+    chunks, and of the parts of long ones, is kept in two generations of ``cache`` entries at most: what is met again stays.
+    Chunks of up to ``SHORT`` characters have their agendas side by side in arrays, and each round takes the best entry of every
+    one (``merge_many``); longer ones, and those that end in a space mark or hold characters that are no pieces, have an agenda of their own on a heap (``merge``).
     ``check`` compares new chunks with the library, batch by batch.
     """
 
@@ -67,6 +71,48 @@ class Pieces:
         self.bos, self.eos = self.lib.bos_id(), self.lib.eos_id()
         self.chunks, self.parts = Generations(cache), Generations(cache)
         self.check, self.fresh = check, []
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Numbers of symbols (pieces and single characters), and a hash table from two numbers to that of the piece they join to."""
+        singles = sorted({c for p in self.ids for c in p} - self.ids.keys())
+        number = {p: n for n, p in enumerate([*self.ids, *singles])}
+        self.none = len(number)  # no symbol: what stands beyond a chunk's ends, and characters in no piece
+        self.id_of = np.array([*self.ids.values()] + [-1] * (len(singles) + 1), np.int64)
+        self.rank_of = np.array([self.rank[p] for p in self.ids] + [-1] * (len(singles) + 1), np.int64)
+        self.long = np.array([len(t) for t in self.shown])
+        known = {ord(p): n for p, n in number.items() if len(p) == 1}
+        self.symbol = np.full(max(known) + 2, self.none, np.int32)
+        self.symbol[[*known]] = [*known.values()]
+        found = {number[p[:i]] * (self.none + 1) + number[p[i:]]: number[p] for p in self.ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number}
+        self.slots = 2 + max(1, len(found)).bit_length()  # at most a quarter is taken
+        self.pair_keys, self.pair_made = np.full(1 << self.slots, -1, np.int64), np.full(1 << self.slots, self.none, np.int32)
+        keys, made = np.array([*found], np.int64), np.array([*found.values()], np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            one = np.zeros(len(keys), bool)
+            one[np.unique(at, return_index=True)[1]] = True
+            one &= self.pair_keys[at] < 0
+            self.pair_keys[at[one]], self.pair_made[at[one]] = keys[one], made[one]
+            keys, made, at = keys[~one], made[~one], at[~one] + 1 & (1 << self.slots) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slots)).astype(np.int64)
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbols that pairs join to, ``none`` for those that are no piece."""
+        keys = a.astype(np.int64) * (self.none + 1) + b
+        at = self._slot(keys)
+        held = self.pair_keys[at]
+        out = np.where(held == keys, self.pair_made[at], self.none)
+        live = np.flatnonzero((held != keys) & (held >= 0))
+        while len(live):
+            at[live] = at[live] + 1 & (1 << self.slots) - 1
+            held = self.pair_keys[at[live]]
+            hit = held == keys[live]
+            out[live[hit]] = self.pair_made[at[live[hit]]]
+            live = live[~hit & (held >= 0)]
+        return out
 
     def merge(self, part: str) -> list[int]:
         """Identifiers of a part. The agenda holds rank of the score and place, so the best score comes first, then the leftmost place."""
@@ -106,6 +152,45 @@ class Pieces:
                 out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
         return out
 
+    def merge_many(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, how many of each chunk) of chunks of known characters, given one after another as numbers.
+
+        A chunk is a column: its symbols, the places of their neighbours to the left and right, and its agenda, which holds rank of the score and
+        place of each pair as ``merge`` does. Each round pops the best entry of every column, joins that pair, and enters its two new neighbours.
+        """
+        n, wide = len(sizes), int(sizes.max())
+        place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sym = np.full((wide + 1, n), self.none, np.int32)  # the last row is what lies beyond both ends
+        sym[place, np.repeat(np.arange(n), sizes)] = symbols
+        here = np.arange(wide + 1, dtype=np.int32)[:, None]
+        right = np.where(here + 1 < sizes, here + 1, wide).astype(np.int32)
+        left = np.repeat(np.where(here > 0, here - 1, wide).astype(np.int32), n, axis=1)
+        bits, nothing = wide.bit_length(), np.iinfo(np.int32).max
+        made, agenda = np.full((wide + 1, n), self.none, np.int32), np.full((wide + 1, n), nothing, np.int32)
+
+        def enter(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            got = self._joined(a, b)
+            made.reshape(-1)[at] = got
+            agenda.reshape(-1)[at] = np.where(got == self.none, nothing, self.rank_of[got] << bits | at // n)
+
+        first = np.flatnonzero(right[:-1].ravel() < wide)
+        enter(first, sym.ravel()[first], sym.ravel()[first + n])
+        sym_, right_, left_, made_, agenda_ = (x.reshape(-1) for x in (sym, right, left, made, agenda))
+        while True:
+            best = agenda.min(axis=0)
+            c = np.flatnonzero(best != nothing)
+            if not len(c):
+                break
+            i = (best[c] & (1 << bits) - 1) * n + c
+            s, j = made_[i], right_[i] * n + c
+            k = right_[j]
+            sym_[i], sym_[j], agenda_[j], right_[i] = s, self.none, nothing, k
+            k, h = k * n + c, left_[i] * n + c
+            left_[k] = i // n
+            enter(np.concatenate([i, h]), np.concatenate([s, sym_[h]]), np.concatenate([sym_[k], s]))
+        got = self.id_of[sym[:-1].T]
+        return got[got >= 0], (got >= 0).sum(axis=1)
+
     def plain(self, ids: list[int]) -> str:
         """The text of identifiers, the leading space mark still on; runs of byte pieces are read as UTF-8."""
         out, run = [], bytearray()
@@ -145,27 +230,56 @@ class Pieces:
                 return found
         return [c if c[0] == "\n" else c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
-    def code(self, key: str) -> tuple[bytes, str]:
-        """Of a chunk: its identifiers as little-endian 32-bit integers, and their text."""
-        chunk, parts, ids = key if key[:1] == "\n" else SPACE + key, self.parts, []
-        for p in (chunk,) if key.isalnum() else self.cut(chunk):
+    def code(self, chunk: str) -> tuple[bytes, str]:
+        """Of a chunk: its identifiers as little-endian 32-bit integers, and their text. Its parts are merged one by one."""
+        parts, ids = self.parts, []
+        for p in self.cut(chunk):
             got = parts.young.get(p)
             if got is None and (got := parts.get(p)) is None:
                 got = parts.put(p, self.merge(p))
             ids += got
         if self.check:
-            self.fresh.append((chunk, ids))
-        shown = self.shown
-        return b"".join([self.raw[i] for i in ids]), "".join([shown[i] for i in ids]) if min(ids) > self.last_byte else self.plain(ids)
+            self.fresh.append((chunk, np.array(ids, np.int64)))
+        return b"".join([self.raw[i] for i in ids]), self.plain(ids)
+
+    def codes(self, keys: list[str]) -> Iterator[tuple[str, tuple[bytes, str]]]:
+        """Each key with what became of its chunk, as ``code`` gives it."""
+        chunks = [k if k[:1] == "\n" else SPACE + k for k in keys]
+        sizes = np.array([len(c) for c in chunks])
+        symbols = self.symbol[np.minimum(np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32), len(self.symbol) - 1)]
+        ends = np.cumsum(sizes)
+        strange = np.append(0, np.cumsum(self.id_of[symbols] < 0))
+        own = (sizes > SHORT) | (strange[ends] > strange[ends - sizes]) | np.array([c.endswith(SPACE) for c in chunks])
+        for k in np.flatnonzero(own).tolist():
+            yield keys[k], self.code(chunks[k])
+        order = np.flatnonzero(~own)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for a in range(0, len(order), COLUMNS):
+            some = order[a : a + COLUMNS]
+            size = sizes[some]
+            at = np.arange(int(size.sum())) + np.repeat(ends[some] - np.cumsum(size), size)
+            ids, count = self.merge_many(symbols[at], size)
+            if self.check:
+                self.fresh.append(("".join([chunks[k] for k in some.tolist()]), ids))
+            raw, shown = ids.astype("<u4").tobytes(), "".join(map(self.shown.__getitem__, ids.tolist()))
+            upto = np.cumsum(count)
+            text = np.append(0, np.cumsum(self.long[ids]))[np.append(0, upto)].tolist()
+            b = t = 0
+            for k, e, u in zip(some.tolist(), (4 * upto).tolist(), text[1:]):
+                yield keys[k], (raw[b:e], shown[t:u])
+                b, t = e, u
 
     def many(self, texts: list[str | None]) -> Iterator[tuple[bytes, int, str]]:
         """For each text: identifiers as little-endian 32-bit integers, their number, decoded text; with begin and end identifiers."""
-        held, chunks, now = [self.keys(t) for t in texts], self.chunks, {}
+        held, chunks, now, new = [self.keys(t) for t in texts], self.chunks, {}, []
         for k in set().union(*held):
             got = chunks.young.get(k)
             if got is None and (got := chunks.get(k)) is None:
-                got = chunks.put(k, self.code(k))
-            now[k] = got
+                new.append(k)
+            else:
+                now[k] = got
+        for k, got in self.codes(new) if new else ():
+            now[k] = chunks.put(k, got)
         bos, eos = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
         for h in held:
             codes, shown = zip(*map(now.__getitem__, h)) if h else ((), ())
@@ -176,15 +290,29 @@ class Pieces:
         return next(iter([*self.many([text])]))
 
     def compare(self) -> None:
-        """Hold the chunks first met in this batch against the library; a difference raises ValueError."""
+        """Hold the chunks first met in this batch against the library, many in one text, as no piece crosses them; a difference raises ValueError."""
         fresh, self.fresh = self.fresh, []
         lead = self.lib.encode("\n")  # the space mark that the library puts first, and what parts it from the chunk
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            for (chunk, ids), want in zip(some, self.lib.encode(["\n" + c for c, _ in some], num_threads=1)):
-                del want[: len(lead)]
-                if want != ids:
-                    raise ValueError(f"the library encodes {chunk[:80]!r} otherwise")
+        for run in slices_of(fresh):
+            # a chunk that ends in a space mark only stands at a text's end or before a line feed
+            text = "".join([c + "\n" if c.endswith(SPACE) else c for c, _ in run])
+            ids = np.concatenate([x for c, i in run for x in ((i, lead[1:]) if c.endswith(SPACE) else (i,))])
+            want = self.lib.encode("\n" + text)
+            if want[: len(lead)] != lead or not np.array_equal(np.array(want[len(lead) :], np.int64), ids):
+                raise ValueError(f"the library encodes {text[:80]!r} or what follows otherwise")
+
+
+def slices_of(fresh: list[tuple[str, np.ndarray]], size: int = 100_000) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """Runs of chunks of about ``size`` characters together."""
+    run, held = [], 0
+    for f in fresh:
+        run.append(f)
+        held += len(f[0])
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def loaded(path: str, check: bool, cache: int = CACHE) -> Pieces:

@@ -183,6 +183,21 @@ def test_counts_match_the_library():
     assert count.many(texts) == count.many(texts)
 
 
+def test_pieces_merged_in_step_match_one_agenda_each():
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(["th", "ing", "é", "a", "aa", "ß", "x", ",", "#", "\u4e00", "tion"], int(rng.integers(1, 14)))) for _ in range(3000)] + ["", "\n", "\nthe", "a" * 30, "a" * 31, "th" * 400]
+    got = dict(p.codes(keys))
+    p.compare()
+    for k in keys:
+        ids = p.merge(k if k[:1] == "\n" else pieces.SPACE + k)
+        assert got[k] == (np.array(ids, "<u4").tobytes(), p.plain(ids))
+    p.codes(["the"]).__next__()
+    p.fresh[0][1][0] += 1
+    with pytest.raises(ValueError, match="otherwise"):
+        p.compare()
+
+
 def test_pieces_match_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
