@@ -231,6 +231,33 @@ def test_webp_writes_references():
         assert webp.read_webp(f)[..., 1:].astype(np.uint8).tobytes() == t
 
 
+def test_webp_writes_every_step_that_shortens_a_tile():
+    rng = np.random.default_rng(2)
+    n = 64 * 40
+    values, at = rng.integers(0, 256, n), np.arange(n)
+    colours = rng.integers(0, 256, (300, 3))
+    rows = {  # what a tile of such pixels begins with: no transform and a cache, or the kind of its first transform
+        "cache": colours[np.minimum(rng.geometric(0.01, n), 299)],
+        "predictor": np.stack([at // 3, at // 2 + 7, at], 1),
+        "cross": np.stack([2 * values + rng.integers(0, 4, n), values, -values], 1),
+        "green": np.stack([values + rng.integers(0, 2, n), values, values], 1),
+        "palette": colours[(rng.random(n) < 0.1).astype(int)],
+    }
+    tiles = [(v % 256).astype(np.uint8).tobytes() for v in rows.values()]
+    files = webp.write_tiles(tiles)
+    found = []
+    for f in files:
+        b = webp.Bits(f[21:])
+        b.read(32)
+        found.append(("predictor", "cross", "green", "palette")[b.read(2)] if b.read(1) else "cache" if b.read(1) else "none")
+    assert found == [*rows]
+    assert [x.tobytes() for x in webp.read_tiles(files)] == tiles
+    assert all(len(f) < len(g) for f, g in zip(files, webp.write_literals(tiles)))
+    for t in [*tiles, b" " * 192, bytes(range(192))]:  # each way of writing, read pixel by pixel
+        made = [webp._write_cached(t), webp._write_palette(t), *(webp._write_transformed(t, g, p, c) for g in (0, 1) for p in (0, 1) for c in (0, 1))]
+        assert all(webp.read_webp(f)[..., 1:].astype(np.uint8).tobytes() == t for f in made if f)
+
+
 def test_webp_transforms_references_and_cache():
     """A stream put together by hand: subtract green, a colour cache, a back-reference; then the inverses one by one."""
     v, n = 0, 0
