@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.llm import audit, html, periodic, suffix, webp, windows
@@ -257,3 +258,21 @@ def test_names_within_articles_that_merely_hold_a_word():
         "Plan the menu a week ahead, she says, and shop but once."
     )
     assert [html.wholly_unlikely(n) for n in ("share-bar", "share-of-market", "x comments", "related_posts_2", "commentary")] == [True, False, True, True, False]
+
+
+def test_equal_cuts_are_sorted_once():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 100, 40).astype(np.uint8)) for _ in range(6)]
+    cuts = [b"".join(words[k] for k in rng.integers(0, 6, 3)) for _ in range(60)]
+    owners, starts = rng.integers(0, 9, 60), rng.integers(0, 3, 60) * 7
+    # a place holds one text, so equal places get equal cuts
+    at = {}
+    cuts = [at.setdefault((o, s), c) for o, s, c in zip(owners.tolist(), starts.tolist(), cuts)]
+    apart = [o * 1000 + s for o, s in zip(owners.tolist(), starts.tolist())]
+    got = suffix.repeated_cuts(cuts, np.array(apart), np.zeros(60, np.int64), 50)
+    places = {}
+    for c, o in zip(cuts, apart):
+        for k in range(len(c) - 49):
+            places.setdefault(c[k : k + 50], set()).add((o, k))
+    assert [f.tolist() for f in got] == [[len(places[c[k : k + 50]]) > 1 for k in range(len(c) - 49)] for c in cuts]
+    assert suffix.SCREEN == 5 and sum(f.sum() for f in got) > 0
