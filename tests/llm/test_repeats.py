@@ -276,3 +276,20 @@ def test_equal_cuts_are_sorted_once():
             places.setdefault(c[k : k + 50], set()).add((o, k))
     assert [f.tolist() for f in got] == [[len(places[c[k : k + 50]]) > 1 for k in range(len(c) - 49)] for c in cuts]
     assert suffix.SCREEN == 5 and sum(f.sum() for f in got) > 0
+
+
+def test_only_whole_strings_are_sorted_and_long_contexts_keep_theirs():
+    """Contexts of many times the length, of few symbols, with copies of parts; suffixes wanted here and there."""
+    rng = random.Random(8)
+    for _ in range(400):
+        length, few = rng.choice([3, 5, 8, 12]), rng.choice([1, 2, 3])
+        pool = [bytes(rng.choices(range(97, 97 + few), k=rng.randint(0, 60))) for _ in range(5)]
+        contexts = [rng.choice(pool)[rng.randint(0, 5) :] + rng.choice(pool) for _ in range(rng.randint(1, 6))]
+        places = Counter(c[k : k + length] for c in contexts for k in range(len(c) - length + 1))
+        want = [[places[c[k : k + length]] > 1 for k in range(len(c) - length + 1)] for c in contexts]
+        got = suffix.repeated_strings(contexts, np.arange(len(contexts)), np.zeros(len(contexts), np.int64), length)
+        assert [f.tolist() for f in got] == want
+        text = np.frombuffer(b"\0".join(contexts), np.uint8)
+        wanted = np.array([rng.random() < 0.3 for _ in text], bool)
+        order = sorted(np.flatnonzero(wanted).tolist(), key=lambda i: text[i:].tobytes())
+        assert suffix.suffix_array(text, wanted=wanted).tolist() == order
