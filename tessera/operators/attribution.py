@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.expr import Node, evaluate, leaf, parse
 from . import evaluation as E
+from .days import PARTS
 from .inference import series_moments
 from .ledger import deflated_t
 
@@ -102,12 +103,16 @@ def block_names(node: Node) -> list[str]:
     return out
 
 
-def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000, bytewise: bool = False) -> DataFrame:
+def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000, bytewise: bool = False, tile: int = 1_000) -> DataFrame:
     """Rows (a, b, similarity) for a < b of ``trials(key, tokens array<string>)`` with 0.6 * Jaccard + 0.4 * edit similarity >= least.
 
     Exact, and no pair is lost: as the edit part gives 0.4 at most, the sets must reach j = (least - 0.4) / 0.6, so two
     sets share one of the first |set| - ceil(j * |set|) + 1 tokens, taken from the rarest on; only such pairs are
-    compared. Tokens become single characters, so Spark's own edit distance runs over them: ``bound`` different tokens
+    compared, at the rarest token that both hold and nowhere else. Equal lists count as one: different lists are compared
+    once, and the keys that have them are paired at the end, so that nothing but the links grows with the copies of a
+    list. Keys of a list are dealt to tiles of about ``tile``, each paired in a group of its own, over PARTS partitions
+    or more: few keys make many links, so the partitions' number cannot follow from the keys' bytes.
+    Tokens become single characters, so Spark's own edit distance runs over them: ``bound`` different tokens
     at most (operators, parameters and columns are a grid). A null or empty array is linked to nothing, ``least`` must exceed 0.4.
     The distance counts tokens, or with ``bytewise`` the bytes of their characters in UTF-8, dealt in order of token, as
     DuckDB's levenshtein does: then a token more or less counts three, one replaced by one of the same 64 counts one.
@@ -115,22 +120,31 @@ def structure_links(trials: DataFrame, least: float = 0.7, bound: int = 20_000,
     j = (least - 0.4) / 0.6
     if j <= 0:
         raise ValueError("a similarity above 0.4 is needed")
-    d = trials.where("size(tokens) > 0").select("key", "tokens", F.array_distinct("tokens").alias("set"))
-    counts = d.select(F.explode("set").alias("token")).groupBy("token").count()
+    d = trials.where("size(tokens) > 0").select("key", "tokens")
+    counts = d.select("tokens").distinct().select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count()
     ranked = [r.token for r in counts.orderBy("count", "token").limit(bound + 1).collect()]  # bounded by the check below
     if len(ranked) > bound:
         raise ValueError(f"{bound} different tokens at most")
     if not ranked:
         return d.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("similarity"))
-    coding = lambda tokens: F.create_map(*[F.lit(x) for i, t in enumerate(tokens) for x in (t, chr(0x4E00 + i) if i < 0x5200 else chr(0x20000 + i))])
-    names = coding(ranked)
-    letters = coding(sorted(ranked)) if bytewise else names
-    coded = d.select("key", F.array_join(F.transform("tokens", lambda t: letters[t]), "").alias("text"), F.array_sort(F.transform("set", lambda t: names[t])).alias("set"))
+    coding = lambda tokens, code: F.create_map(*[F.lit(x) for i, t in enumerate(tokens) for x in (t, code(i))])
+    ranks = coding(ranked, lambda i: i)
+    letters = coding(sorted(ranked) if bytewise else ranked, lambda i: chr(0x4E00 + i) if i < 0x5200 else chr(0x20000 + i))
+    coded = d.select("key", F.array_join(F.transform("tokens", lambda t: letters[t]), "").alias("text"), F.array_sort(F.array_distinct(F.transform("tokens", lambda t: ranks[t]))).alias("set"))
+    kinds = coded.groupBy("text", "set").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     first = F.expr(f"slice(set, 1, cast(size(set) - ceil({j!r}D * size(set) - 1e-9) + 1 as int))")
-    filed = coded.select("key", "text", "set", F.explode(first).alias("token"))
-    x, y = (filed.select(F.col("key").alias(k), F.col("text").alias(f"t{k}"), F.col("set").alias(f"s{k}"), "token") for k in "ab")
-    met = x.join(y, "token").where("a < b").drop("token").dropDuplicates(["a", "b"])
-    jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    filed = kinds.select("text", "set", "tiles", F.explode(first).alias("token"))
+    x, y = (filed.select(F.col("text").alias(f"t{k}"), F.col("set").alias(f"s{k}"), F.col("tiles").alias(f"n{k}"), "token") for k in "ab")
+    both = F.array_intersect("sa", "sb")  # in order: what is first in both is among the first of each
+    jaccard = F.size(both) / F.size(F.array_union("sa", "sb"))
     spelt = [F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") if bytewise else F.col(c) for c in ("ta", "tb")]  # a letter for each byte
     edit = 1 - F.levenshtein(*spelt) / F.greatest(F.length("ta"), F.length("tb"))
-    return met.withColumn("similarity", 0.6 * jaccard + 0.4 * edit).where(F.col("similarity") >= least - 1e-12).select("a", "b", "similarity")
+    met = x.join(y, "token").where("ta < tb").where(F.get(both, F.lit(0)) == F.col("token")).where(jaccard >= j - 1e-9)
+    near = met.withColumn("similarity", 0.6 * jaccard + 0.4 * edit).where(F.col("similarity") >= least - 1e-12).select("ta", "tb", "nb", "similarity")
+    alike = kinds.where(F.lit(least <= 1 + 1e-12)).select(F.col("text").alias("ta"), F.col("text").alias("tb"), F.col("tiles").alias("nb"), F.lit(1.0).alias("similarity"))
+    held = coded.select("key", "text").distinct()
+    left = held.select(F.col("key").alias("x"), F.col("text").alias("ta")).join(near.unionByName(alike), "ta").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    sized = held.join(kinds.select("text", "tiles"), "text")
+    right = sized.select(F.col("key").alias("y"), F.col("text").alias("tb"), F.pmod(F.xxhash64("key"), F.col("tiles")).alias("tile"))
+    pairs = left.repartition(PARTS, "tb", "tile").join(right, ["tb", "tile"]).where("x < y or (ta <> tb and x > y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

@@ -234,3 +234,27 @@ def test_structures_by_bytes_equal_duckdb(spark):
         far = edit(*("".join(letter[t] for t in z).encode() for z in (x, y)))
         want[i, j] = round(0.6 * len(set(x) & set(y)) / len(set(x) | set(y)) + 0.4 * (1 - far / max(len(x), len(y))), 9)
     assert got == {k: v for k, v in want.items() if v >= 0.6} and got[0, 1] == 0.68
+
+
+def written_records(spark):
+    """Records that stages of this session have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_copies_of_a_structure_are_compared_once(spark):
+    """600 keys of 12 lists: all pairs of keys are linked that should be, but what is shuffled grows with keys, not with pairs."""
+    lists = [["add", "p", "q", x, y] for x in "abc" for y in "defg"]
+    trials = spark.createDataFrame([(k, lists[k * 7 % 12]) for k in range(600)], "key long, tokens array<string>")
+    alike = {}
+    for (i, x), (j, y) in itertools.product(enumerate(lists), repeat=2):
+        alike[i, j] = 0.6 * len(set(x) & set(y)) / len(set(x) | set(y)) + 0.4 * (1 - edit(x, y) / 5)
+    want = {(a, b): s for a, b in itertools.combinations(range(600), 2) if (s := alike[a * 7 % 12, b * 7 % 12]) >= 0.7}
+    before = written_records(spark)
+    rows = A.structure_links(trials).collect()
+    assert written_records(spark) - before < 20 * 600
+    assert len(rows) == len(want) > 80_000 and {(r.a, r.b): round(r.similarity, 9) for r in rows} == {k: round(s, 9) for k, s in want.items()}
+    tiled = A.structure_links(trials, tile=7).collect()
+    assert len(tiled) == len(rows) and set(tiled) == set(rows)
